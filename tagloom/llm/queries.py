@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import normalize as N
-from tagloom.llm import consensus, cooccur, crosssplit, fusion, groupsplit, matchgroups, mixture, quota, tokenizer
+from tagloom.llm import abuse, consensus, cooccur, crosssplit, fusion, groupsplit, matchgroups, mixture, quota, tokenizer
 from tagloom.session import Scratch, table
 
 
@@ -198,7 +198,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    back = tokenizer.decode_corpus(tokenizer.encode_corpus(docs, keep=("doc_id", "text")), keep=("doc_id", "text")) if False else tokenizer.decode_corpus(tokenizer.encode_corpus(docs))
+    back = tokenizer.decode_corpus(tokenizer.encode_corpus(docs))
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("given")).join(back, "doc_id").select("doc_id", (F.col("given") == F.col("text")).alias("same"))
 
 
@@ -222,6 +222,21 @@ def p9_schedule(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).schedule
 
 
+# 10 ------------------------------------------------------------------------------------------------------------------
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_documents(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_documents(table(spark, d, "documents"), keep=("doc_id",)).where("abusive").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(p10_scores(spark, d)).withColumn("rate", F.round("rate", 9))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
