@@ -17,27 +17,26 @@ def read_events(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def stream_delta(events: DataFrame, key: str, ts: str, counter: str, idle: str = "1 hour") -> DataFrame:
-    """(key, ts, percent): the rate against the key's previous sample; a key that stays away is forgotten."""
-    rows = events.select(F.col(key).cast("string").alias("key"), micros(F.col(ts)).alias("us"), F.col(counter).cast("double").alias("c"))
+def stream_delta(events: DataFrame, key: str, ts: str, counter: str, idle_seconds: float = 86_400.0) -> DataFrame:
+    """(key, us, percent): the rate against the key's previous sample; a key that stays away for so long, by the stream's own time, is forgotten."""
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), micros(F.col(ts)).alias("us"), F.col(counter).cast("double").alias("c")).withWatermark("ts", "0 seconds")
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
         if state.hasTimedOut:
             state.remove()
-            return
-        last = state.get if state.exists else None
-        out = []
-        for t, c in sorted((t, c) for b in batches for t, c in zip(b.us.tolist(), b.c.tolist())):
-            if last is not None:
-                dt = (t - last[0]) / 1e6
-                out.append((k[0], t, max(0.0, (c - last[1]) / dt * 100) if dt > 0 else 0.0))
-            last = (t, c)
-        if last is not None:
+        else:
+            last = state.get if state.exists else None
+            for t, c in sorted((t, c) for b in batches for t, c in zip(b.us.tolist(), b.c.tolist())):
+                if last is not None:
+                    dt = (t - last[0]) / 1e6
+                    out.append((k[0], t, max(0.0, (c - last[1]) / dt * 100) if dt > 0 else 0.0))
+                last = (t, c)
             state.update(last)
-            state.setTimeoutDuration(pd.Timedelta(idle) // pd.Timedelta("1ms"))
+            state.setTimeoutTimestamp(max(int(last[0] // 1000 + idle_seconds * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "us", "percent"])
 
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, us bigint, percent double", "us bigint, c double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, us bigint, percent double", "us bigint, c double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_breaches(events: DataFrame, key: str, ts: str, value: str, limit: float, least: int = 2) -> DataFrame:
