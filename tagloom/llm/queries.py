@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import normalize as N
 from tagloom.llm import abuse, consensus, cooccur, crosssplit, fusion, groupsplit, matchgroups, mixture, quota, tokenizer
+from tagloom.llm.oracles import SQL
 from tagloom.session import Scratch, table
 
 
@@ -242,4 +243,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
