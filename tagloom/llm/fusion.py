@@ -60,16 +60,17 @@ def vote(mask: int, accuracy: np.ndarray, copies: np.ndarray, n_false: int) -> f
     before: list[int] = []
     for s in sorted(_bits(mask), key=lambda s: (-accuracy[s], s)):
         a = accuracy[s]
-        own = math.prod(1.0 - 0.8 * copies[s][t] for t in before)
+        # whoever of the two copies, only one of them saw for itself
+        own = math.prod(1.0 - 0.8 * min(1.0, copies[s][t] + copies[t][s]) for t in before)
         total += own * math.log(n_false * a / (1.0 - a))
         before.append(s)
     return total
 
 
 def _evidence(batches, k: int, acc: np.ndarray, dep: np.ndarray, n_false: int):
-    """Sums over counted patterns under the present model: right, said (per source), same_true, same_false, differ (per pair)."""
+    """Sums over counted patterns under the present model: right, said (per source); shared surely true, surely false, neither, and not shared (per pair)."""
     right, said = np.zeros(k), np.zeros(k)
-    pair = np.zeros((3, k, k))
+    pair = np.zeros((4, k, k))
     seen: dict[int, float] = {}
     for batch in batches:
         for masks, ns, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -94,10 +95,9 @@ def _evidence(batches, k: int, acc: np.ndarray, dep: np.ndarray, n_false: int):
                     both = set(where[a]) & set(where[b])
                     if both:
                         p = max(post[i] for i in both)
-                        pair[0, a, b] += n * p
-                        pair[1, a, b] += n * (1 - p)
+                        pair[0 if p > 0.9 else 1 if p < 0.1 else 2, a, b] += n
                     else:
-                        pair[2, a, b] += n
+                        pair[3, a, b] += n
     flat = np.concatenate([right, said, pair.ravel()])
     at = np.flatnonzero(flat)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at])], ["i", "x"])
@@ -119,25 +119,27 @@ def estimate_sources(claimed: DataFrame, names: list[str], prior: list[float] |
     patterns = scratch.keep(per.groupBy("p").count().select(F.col("p.mask").alias("masks"), F.col("p.n").alias("ns"), "count"), "patterns")
     base = np.array(prior if prior is not None else [0.8] * k, float)
     acc, dep = base.copy(), np.zeros((k, k))
-    for _ in range(rounds):
+    for n in range(rounds):
         now = (acc, dep)
-        sums = patterns.mapInArrow(lambda it, m=now: _evidence(it, k, m[0], m[1], n_false), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # at most 2 k + 3 k k numbers
-        flat = np.zeros(2 * k + 3 * k * k)
+        sums = patterns.mapInArrow(lambda it, m=now: _evidence(it, k, m[0], m[1], n_false), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # at most 2 k + 4 k k numbers
+        flat = np.zeros(2 * k + 4 * k * k)
         for r in sums:
             flat[r.i] = r.x
         right, said = base * 4.0 + flat[:k], 4.0 + flat[k : 2 * k]
-        same_true, same_false, differ = flat[2 * k :].reshape(3, k, k)
-        acc = np.clip(right / said, 0.05, 0.98)
+        same_true, same_false, same, differ = flat[2 * k :].reshape(4, k, k)
+        if n:  # the first round only looks for copying, or a crowd of copies would pass for the truth
+            acc = np.clip(right / said, 0.05, 0.98)
         dep = np.zeros((k, k))
         c, e = 0.8, 1e-9  # a copier copies this share of its values
         for a in range(k):
             for b in range(a + 1, k):
                 x, y = acc[a], acc[b]
-                p_true, p_false = x * y, (1 - x) * (1 - y) / n_false
-                p_diff = max(e, 1 - p_true - p_false)
+                t_, f_ = x * y, max(e, (1 - x) * (1 - y) / n_false)  # both true, the same false one, by chance
                 for s, t in ((a, b), (b, a)):  # s copies from t
-                    q_true, q_false, q_diff = c * acc[t] + (1 - c) * p_true, c * (1 - acc[t]) + (1 - c) * p_false, (1 - c) * p_diff
-                    llr = same_true[a, b] * math.log(q_true / p_true) + same_false[a, b] * math.log(q_false / max(p_false, e)) + differ[a, b] * math.log(q_diff / p_diff)
+                    own = 1 - c
+                    llr = same_true[a, b] * math.log((c * acc[t] + own * t_) / t_) + same_false[a, b] * math.log((c * (1 - acc[t]) + own * f_) / f_)
+                    # while it is open which value is true, only the agreement counts
+                    llr += same[a, b] * math.log((c + own * (t_ + f_)) / (t_ + f_)) + differ[a, b] * math.log(own)
                     dep[s, t] = 1 / (1 + math.exp(min(700.0, max(-700.0, math.log(4.0) - llr))))
         dep = dep / np.maximum(1.0, dep + dep.T)
     scratch.drop(patterns)
