@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm import abuse_lexicon as L
+from tagloom.llm._common import fresh
 
 STRONG, MILD = 10.0, 0.05
 #: Score from which a document counts as abusive.
@@ -43,10 +44,38 @@ _GLYPHS = str.maketrans(L.HOMOGLYPHS)
 _LEET = str.maketrans(L.LEET)
 
 
+def _plain(word: str) -> str:
+    return _DROP.sub("", unicodedata.normalize("NFD", unicodedata.normalize("NFKC", word).casefold()))
+
+
+_KNOWN: set[str] = set()
+
+
+def _known() -> set[str]:
+    """Words that letters set apart may spell: those of the lexicon, and words of one letter."""
+    if not _KNOWN:
+        phrases = itertools.chain.from_iterable(map(_alternatives, L.PHRASES))
+        _KNOWN.update(_plain(w) for p in (*L.INSULTS, *L.EXPLICIT, *L.MILD, *phrases) for w in p.split() if not _IS_CJK.search(w))
+        _KNOWN.update("aiouey")
+    return _KNOWN
+
+
+def _words_of(letters: str) -> list[str]:
+    """The letters as the fewest lexicon words, or as one word if they are none."""
+    known, best = _known(), {0: []}
+    for j in range(1, len(letters) + 1):
+        for i in range(max(0, j - 24), j):
+            if i in best and letters[i:j] in known and (j not in best or len(best[i]) + 1 < len(best[j])):
+                best[j] = [*best[i], letters[i:j]]
+    return best.get(len(letters), [letters])
+
+
 def _join_apart(m: regex.Match) -> str:
     s = m.group().replace(m.group(2), "")
     # three letters at least, or it is an initial or a size
-    return f" {s} " if len(s) >= 3 and not s.isdigit() else m.group()
+    if len(s) < 3 or s.isdigit():
+        return m.group()
+    return f" {' '.join(_words_of(s.translate(_LEET) if not s.isalpha() else s))} " if len(s) <= 200 else f" {s} "
 
 
 def fold(text: str) -> str:
@@ -94,7 +123,6 @@ class Lexicon:
 
     def __init__(self) -> None:
         self.words = ahocorasick.Automaton()
-        self.inner = ahocorasick.Automaton()
         self.safe = ahocorasick.Automaton()
         self.cues = ahocorasick.Automaton()
         weights: dict[str, float] = {}
@@ -118,10 +146,6 @@ class Lexicon:
                             add(f" {m} ", w)
         for form, w in weights.items():
             self.words.add_word(form, (len(form), w))
-        for p in [*L.INSULTS, *L.EXPLICIT]:
-            f = fold(p).strip()
-            if not _IS_CJK.search(p) and len(f) >= 5:
-                self.inner.add_word(f, len(f))
         for p in L.HARMLESS:
             f = fold(p)
             f = f.strip() if _IS_CJK.search(p) else f
@@ -135,7 +159,7 @@ class Lexicon:
         for p, n in L.NAMED_AFTER_CJK:
             f = fold(p).strip()
             self.cues.add_word(f, (len(f), n, False))
-        for a in (self.words, self.inner, self.safe, self.cues):
+        for a in (self.words, self.safe, self.cues):
             a.make_automaton()
 
     def _excepted(self, t: str) -> list[tuple[int, int]]:
@@ -171,25 +195,9 @@ class Lexicon:
             if w == STRONG:
                 strong += 1
             total += w
-        for w in t.split():
-            if len(w) >= 12 and w.isascii():  # words set apart that ran together
-                for e, n in self.inner.iter(w):
-                    if f" {w[e - n + 1 : e + 1]} " != f" {w} " and self._was_apart(text, w):
-                        total += STRONG
-                        strong += 1
-                        break
         words = len(t) / 6
         return total, total / (1 + math.log10(1 + words / 50)), strong
 
-    @staticmethod
-    def _was_apart(text: str, word: str) -> bool:
-        """Was this folded word spelled with its letters apart?"""
-        for m in _APART.finditer(_DROP.sub("", unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).casefold())).translate(_GLYPHS)):
-            s = m.group().replace(m.group(2), "")
-            if _REPEAT.sub(r"\1", s.translate(_LEET)) == word:
-                return True
-        return False
-
 
 _READY: list[Lexicon] = []
 
@@ -206,7 +214,7 @@ def score_documents(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     NULL, empty and blank texts score 0.  Whole texts are scored, whatever their
     length; rows stay where they are (no shuffle).
     """
-    src = df.select(*keep, F.col(text).cast("string").alias("_text"))
+    src = df.select(*keep, F.col(text).cast("string").alias(fresh(df, "_value")))
     k = len(keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + (", " if keep else "") + "weight double, score double, n_strong int, abusive boolean"
 
