@@ -48,7 +48,7 @@ def pack_answers(answers: DataFrame, item: str, annotator: str, lists: dict[str,
     annotator calls both present and absent is left open.
     """
     stated = lambda s: lambda i: F.struct(i.alias("label"), F.lit(s).alias("s"))
-    parts = F.flatten(F.array(*[F.transform(c, stated(s)) for c, s in lists.values()]))
+    parts = F.flatten(F.array(*[F.transform(F.coalesce(c, F.array().cast("array<int>")), stated(s)) for c, s in lists.values()]))
     seen = F.array(F.struct(F.lit(-1).alias("label"), F.lit(0).alias("s")))
     feats = F.array_sort(F.array(*[F.pmod(F.xxhash64(F.lit(i), F.coalesce(c.cast("string"), F.lit(""))), F.lit(FEATURES)).cast("int") for i, c in enumerate(features)])) if features else F.array().cast("array<int>")
     long = answers.where(F.col(item).isNotNull() & F.col(annotator).isNotNull()).select(F.col(item).alias("item"), F.col(annotator).alias("a"), feats.alias("f"), F.explode(F.concat(seen, parts)).alias("x"))

@@ -80,6 +80,8 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = items.filter(pa.array(whole))
         off = lists.offsets.to_numpy().astype(np.int64)
         values = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(values) and (values.min() < 0 or values.max() >= _MASK):
+            raise ValueError("item ids must be 0 .. 2**30 - 2")
         parts = [kind[whole][np.diff(off) > 0] | (_MASK << ITEM_BITS | _MASK)]
         for part in (*parts, *_pair_codes(off, values, kind[whole])):
             held.append(part)
@@ -121,7 +123,8 @@ def pair_counts(items: DataFrame, kind: str = "kind", basket: str = "basket", it
     """Code table (kind, label_a, label_b, n) of all baskets; ``label_a = label_b`` counts an item, both NULL counts baskets.
 
     ``items`` has a row per item of a basket; repeated rows count once, rows with
-    a NULL in any of the three columns count nothing.  ``kind`` is 0 .. 7 and
+    a NULL in any of the three columns count nothing; an item id out of range
+    raises.  ``kind`` is 0 .. 7 and
     keeps several families of baskets apart in one pass.  ``vocabulary`` is the
     number of different items if known; above ``BLOCK_ITEMS`` (or unknown) large
     baskets are cut into blocks that are paired on different tasks.

@@ -111,6 +111,8 @@ def cross_split_pairs(rows: DataFrame, key: str, side: str, exact: dict[str, Col
     """
     base = rows.where(F.col(key).isNotNull() & F.col(side).isin("train", "eval"))
     parts = []
+    if not exact and not near:
+        raise ValueError("nothing to compare")
     if exact:
         named = [F.struct(F.lit(i).alias("by"), c.alias("v")) for i, c in enumerate(exact.values())]
         long = base.select(F.col(key).alias("k"), F.col(side).alias("side"), F.explode(F.array(*named)).alias("x")).where("x.v is not null")

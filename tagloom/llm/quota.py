@@ -121,9 +121,9 @@ def draw_to_targets(rows: DataFrame, category: str, row_id: list[str], targets:
     drawn = max(1, sum(x["quota"] for x in leaves))
     lines = [(x["c"], x["ppm"], x["least"], x["rows"], x["asked"], x["quota"], x["passed"], x["rows"] * 1_000_000 < x["ppm"] * size, x["rows"] < x["least"], x["quota"] * 1e6 / drawn) for x in leaves]
     report = spark.createDataFrame(lines, f"`{category}` {kind}, target_ppm bigint, min_rows bigint, rows bigint, asked bigint, quota bigint, passed bigint, below_share boolean, below_min boolean, reached_ppm double")
-    rank, quota = fresh(rows, "_rank"), fresh(rows, "_quota")
-    quotas = report.select(F.col(category).alias("_c"), F.col("quota").alias(quota)).where(F.col(quota) > 0)
-    open_ = rows.join(F.broadcast(quotas), rows[category] == F.col("_c")).drop("_c")  # at most MAX_CATEGORIES rows of 16 bytes
+    rank, quota, cat = fresh(rows, "_rank"), fresh(rows, "_quota"), fresh(rows, "_cat")
+    quotas = report.where("quota > 0").select(F.col(category).alias(cat), F.col("quota").alias(quota))
+    open_ = rows.join(F.broadcast(quotas), F.col(f"`{category}`") == F.col(cat)).drop(cat)  # at most MAX_CATEGORIES rows of 16 bytes
     perm = keep_order_hash(seed, *row_id) if order is None else order
     ranked = spread_rank(open_, [category], [perm, *map(F.col, row_id)], rank)
     return Drawn(ranked.where(F.col(rank) <= F.col(quota)).select(*[F.col(f"`{c}`") for c in rows.columns]), report)

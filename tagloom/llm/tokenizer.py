@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm._common import fresh
+
 #: Where the public vocabularies lie; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pre-split pattern of this family of vocabularies, with white space as Unicode defines it.
@@ -187,6 +189,13 @@ def _codec(df: DataFrame, file: str, tokenizers: str):
     return df.sparkSession.sparkContext.broadcast(load_vocabulary(f"{tokenizers}/{file}"))
 
 
+def _source(df: DataFrame, keep: tuple[str, ...], value: Column, result: str) -> DataFrame:
+    """The kept columns and the value under a name that none of them has."""
+    if result in keep:
+        raise ValueError(f"the kept columns may not hold {result!r}, the name of the result")
+    return df.select(*keep, value.alias(fresh(df, "_value")))
+
+
 def encode_corpus(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), file: str = "byte_bpe_50k.json", tokenizers: str = TOKENIZERS, counts_only: bool = False) -> DataFrame:
     """Ids of every text: ``keep`` columns and ``ids`` ARRAY<INT> (or ``n_tokens`` BIGINT).
 
@@ -196,8 +205,8 @@ def encode_corpus(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     ``keep`` are dropped at the scan.
     """
     packed = _codec(df, file, tokenizers)
-    src = df.select(*keep, F.col(text).cast("string").alias("_text"))
     out_field = "n_tokens bigint" if counts_only else "ids array<int>"
+    src = _source(df, keep, F.col(text).cast("string"), out_field.split()[0])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + (", " if keep else "") + out_field
     k = len(keep)
 
@@ -217,7 +226,7 @@ def encode_corpus(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
 def decode_corpus(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), file: str = "byte_bpe_50k.json", tokenizers: str = TOKENIZERS) -> DataFrame:
     """``keep`` columns and ``text``: the arc labels of the ids in a row; NULL or empty ids give empty text."""
     packed = _codec(df, file, tokenizers)
-    src = df.select(*keep, F.col(ids).cast("array<int>").alias("_ids"))
+    src = _source(df, keep, F.col(ids).cast("array<int>"), "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + (", " if keep else "") + "text string"
     k = len(keep)
 
