@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,8 +131,6 @@ def label_indices(c: Column, lookup: dict[str, int]) -> Column:
 
 
 def _lookup_udf(lookup: dict[str, int]):
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def find(tags: pd.Series) -> pd.Series:
         return tags.map(lambda ts: None if ts is None else sorted({lookup[k] for t in ts if t is not None and (k := t.strip(WHITE_SPACE)) in lookup}))
