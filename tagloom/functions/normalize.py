@@ -7,6 +7,7 @@ text and stand-ins for "no value" to NULL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 import pandas as pd
@@ -42,16 +43,19 @@ def first_non_blank(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in cols])
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` refers to it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def sha256_hex(c: Column) -> Column:
     """64 lower-case hex digits; a ``sha256:`` prefix is dropped; anything else is NULL."""
-    s = F.regexp_replace(F.lower(strip(c)), "^sha256:", "")
-    return F.when(s.rlike("^[0-9a-f]{64}$"), s)
+    return F.nullif(F.regexp_extract(F.lower(strip(c)), "^(?:sha256:)?([0-9a-f]{64})$", 1), F.lit(""))
 
 
 def phash_hex(c: Column) -> Column:
     """16 lower-case hex digits of a 64-bit fingerprint; ``0x`` and dropped leading zeros are allowed."""
-    s = F.regexp_replace(F.lower(strip(c)), "^0x", "")
-    return F.when(s.rlike("^[0-9a-f]{1,16}$"), F.lpad(s, 16, "0"))
+    return F.lpad(F.nullif(F.regexp_extract(F.lower(strip(c)), "^(?:0x)?([0-9a-f]{1,16})$", 1), F.lit("")), 16, "0")
 
 
 def hex_to_long(c: Column) -> Column:
@@ -73,19 +77,22 @@ def image_path(c: Column) -> Column:
     White space around it, percent-encoded or doubled separators, back slashes,
     a query string, ``.`` and ``..`` steps do not matter; stand-ins are NULL.
     """
-    s = blank_to_null(c)
-    s = F.when(s.contains("%"), F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "(?i)%2f", "/"), "(?i)%5c", "/"), "%20", " ")).otherwise(s)
-    s = F.translate(s, "\\", "/")
-    s = F.when(s.contains("?"), F.substring_index(s, "?", 1)).otherwise(s)
-    s = F.when(s.contains("#"), F.substring_index(s, "#", 1)).otherwise(s)
-    s = F.when(s.contains("//"), F.regexp_replace(s, "/{2,}", "/")).otherwise(s)
-    steps = F.aggregate(
-        F.filter(F.split(s, "/"), lambda x: x != "."),
-        F.array().cast("array<string>"),
-        lambda acc, x: F.when((x == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(x))),
-    )
-    s = F.when(s.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(steps, "/")).otherwise(s)
-    return F.nullif(s, F.lit(""))
+    s = strip(c)
+    for code, sign in (("%2F", "/"), ("%2f", "/"), ("%5C", "/"), ("%5c", "/"), ("%20", " ")):
+        s = F.replace(s, F.lit(code), F.lit(sign))
+    s = F.regexp_replace(F.translate(s, "\\", "/"), "(?s)[?#].*$", "")
+    s = F.regexp_replace(s, "/{2,}", "/")
+
+    def steps(x: Column) -> Column:
+        kept = F.aggregate(
+            F.filter(F.split(x, "/"), lambda p: p != "."),
+            F.array().cast("array<string>"),
+            lambda acc, p: F.when((p == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(p))),
+        )
+        walked = F.when(x.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(kept, "/")).otherwise(x)
+        return F.when(F.lower(x).isin(*STAND_INS), None).otherwise(walked)
+
+    return F.nullif(_once(s, steps), F.lit(""))
 
 
 def record_name(c: Column) -> Column:
@@ -94,9 +101,8 @@ def record_name(c: Column) -> Column:
     Letter case, the separator (dash, underscore, space, none) and leading
     zeros do not matter: prefix and number make the record.
     """
-    s = F.upper(blank_to_null(c))
-    pat = r"^([A-Z]+)[\s_\-]*0*([0-9]+)$"
-    return F.when(s.rlike(pat), F.regexp_replace(s, pat, "$1-$2")).otherwise(s)
+    s = F.regexp_replace(F.upper(strip(c)), r"^([A-Z]+)[\s_\-]*0*([0-9]+)$", "$1-$2")
+    return F.when(s.isin(*map(str.upper, STAND_INS)), None).otherwise(s)
 
 
 def tag_lookup(labels: DataFrame, aliases: DataFrame | None = None, limit: int = 100_000) -> dict[str, int]:
