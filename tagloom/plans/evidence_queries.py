@@ -147,6 +147,7 @@ def _resolved(spark: SparkSession, d: str):
     e = table(spark, d, "evidence")
     rows = e.select(N.sha256_hex(F.col("sha256")).alias("g"), *[c.alias(n) for n, c in _lists(spark, d).items()]).where("g is not null")
     cl = resolve.claims(rows, "g", {resolve.PN_POSITIVE: "pn_positive", resolve.PU_POSITIVE: "pu_positive", resolve.PN_NEGATIVE: "pn_negative"})
+    cl = Scratch(spark, "claims").keep(cl)  # several branches read the claims
     dim = table(spark, d, "label_dim")
     rules = spark.createDataFrame(RULES, "rule string, if_idx int, if_state string, then_idx int")
     return cl, dim, rules
