@@ -52,7 +52,7 @@ def _draw(spark: SparkSession, d: str) -> quota.Drawn:
     t = table(spark, d, "sample_target")
     dim = table(spark, d, "label_dim").select(F.col("idx").alias("balanced_label_index"), "category", "subcategory")
     targets = t.withColumn("stream", stream()).join(F.broadcast(dim), "balanced_label_index", "left")
-    # -1 stands for a null index on both sides; a written -1 is no index of a label
+    # one number that is no index stands for a null index on both sides
     index = lambda c: F.coalesce(c, F.lit(-(2**31))).alias("i")
     cats = F.broadcast(t.select(stream().alias("s"), index(F.col("balanced_label_index")), "category_id").where("s is not null"))  # as many rows as targets
     slots = table(spark, d, "sample_reference").where("global_batch is not null and slot is not null")
