@@ -41,13 +41,13 @@ class SourceModel(NamedTuple):
 def claims(rows: DataFrame, group: str, source_bit: str, fields: dict[str, Column]) -> DataFrame:
     """(g, field, value, mask): each value that a group's rows give for a field, with the mask of its sources.
 
-    ``value`` is the value's 64-bit hash.  Rows without a known source support a
+    Group and values are 64-bit hashes (``g``, ``fields``).  Rows without a known source support a
     value with an empty mask.  Aggregated before the shuffle, so copies of one
     row cost nothing.
     """
     named = F.array(*[F.struct(F.lit(i).alias("field"), c.alias("v")) for i, c in enumerate(fields.values())])
-    long = rows.select(F.xxhash64(F.col(group)).alias("g"), F.coalesce(F.col(source_bit), F.lit(0).cast("bigint")).alias("bit"), F.explode(named).alias("x")).where("x.v is not null")
-    return long.select("g", F.col("x.field").cast("byte").alias("field"), F.xxhash64("x.v").alias("value"), "bit").groupBy("g", "field", "value").agg(F.bit_or("bit").alias("mask"))
+    long = rows.select(F.col(group).alias("g"), F.coalesce(F.col(source_bit), F.lit(0).cast("bigint")).alias("bit"), F.explode(named).alias("x")).where("x.v is not null")
+    return long.select("g", F.col("x.field").cast("byte").alias("field"), F.col("x.v").alias("value"), "bit").groupBy("g", "field", "value").agg(F.bit_or("bit").alias("mask"))
 
 
 def _bits(mask: int) -> list[int]:
@@ -188,10 +188,10 @@ def best_records(rows: DataFrame, group: str, key: str, source: str, sources: Da
     flags = F.lit(0)
     for i, c in enumerate(present.values()):
         flags = flags + F.when(c.isNotNull(), 1 << i).otherwise(0)
-    base = base.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.col(source).alias("_src"), F.unix_micros(F.col(recency).cast("timestamp")).alias("at"), flags.cast("int").alias("has"), *[c.alias(f"f_{n}") for n, c in fields.items()])
+    base = base.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.col(source).alias("_src"), F.unix_micros(F.col(recency).cast("timestamp")).alias("at"), flags.cast("int").alias("has"), F.xxhash64(F.col(group)).alias("g"), F.xxhash64(F.col(key)).alias("kh"), *[F.when(c.isNotNull(), F.xxhash64(c)).alias(f"f_{n}") for n, c in fields.items()])
     base = base.join(F.broadcast(ranks), base["_src"] == ranks["_s"], "left").drop("_src", "_s").withColumn("rank", F.coalesce("_r", F.lit(2**31 - 1))).drop("_r")  # at most MAX_SOURCES rows
     fcols = {n: F.col(f"f_{n}") for n in fields}
-    claimed = claims(base, "grp", "_bit", fcols)
+    claimed = claims(base, "g", "_bit", fcols)
     model = estimate_sources(claimed, names, prior, rounds=rounds)
     scored = claimed.withColumn("score", score_masks(model)("mask"))
     fused = scored.groupBy("g").agg(*[F.max(F.when(F.col("field") == i, F.struct("score", "value"))).getField("value").alias(f"v_{n}") for i, n in enumerate(fields)])
@@ -199,14 +199,15 @@ def best_records(rows: DataFrame, group: str, key: str, source: str, sources: Da
     at = F.coalesce("at", F.lit(-(2**63) + 1))
     agree = F.lit(0)
     for n in fields:
-        agree = agree + F.coalesce((F.xxhash64(f"f_{n}") == F.col(f"v_{n}")).cast("int"), F.lit(0))
-    joined = base.withColumn("g", F.xxhash64("grp")).join(fused, "g", "left")
+        agree = agree + F.coalesce((F.col(f"f_{n}") == F.col(f"v_{n}")).cast("int"), F.lit(0))
+    joined = base.join(fused, "g", "left")
     down = F.struct((-F.bit_count("has")).alias("n"), F.col("rank").alias("t"), (-at).alias("at"), (-agree).alias("same"), F.col("key").alias("key"))
-    rival = F.struct(F.bit_count("has").alias("n"), (-F.col("rank")).alias("t"), at.alias("at"), F.col("key").alias("key"))
-    rival_low = F.struct((-F.bit_count("has")).alias("n"), F.col("rank").alias("t"), (-at).alias("at"), F.col("key").alias("key"))
+    rival = F.struct(F.bit_count("has").alias("n"), (-F.col("rank")).alias("t"), at.alias("at"), F.col("kh").alias("key"))
+    rival_low = F.struct((-F.bit_count("has")).alias("n"), F.col("rank").alias("t"), (-at).alias("at"), F.col("kh").alias("key"))
+    # keys of one group are told apart by their hashes; only the survivor's name is carried along
     out = joined.groupBy("grp").agg(
         F.min(down).alias("best"), F.max(rival).getField("key").alias("_hi"), F.min(rival_low).alias("_lo"),
-        F.bit_or("has").alias("_has"), F.min("rank").alias("_rank"), F.max(at).alias("_at"), F.min("key").alias("_k0"), F.max("key").alias("_k1"),
+        F.bit_or("has").alias("_has"), F.min("rank").alias("_rank"), F.max(at).alias("_at"), F.min("kh").alias("_k0"), F.max("kh").alias("_k1"),
         F.min_by("has", F.struct((-F.bit_count("has")).alias("n"), F.col("rank"), (-at).alias("at"))).alias("_own"),
         *[F.first(f"v_{n}").alias(f"v_{n}") for n in fields],
     )
