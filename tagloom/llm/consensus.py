@@ -6,6 +6,10 @@ annotators' confusion matrices (truth x answer, by label mode) the likelihood;
 both are fitted in turns by expectation-maximisation over all items.  A round is
 one pass over a table with a row per item that returns sums per annotator and
 per feature; nothing that grows with the items reaches the driver.
+
+Of labels that only presence is stated of, a cell exists only if somebody named
+it.  Likelihoods are conditioned on that, and the fit counts the cells that the
+model expects beside them, or honest people would seem to err too often.
 """
 
 from __future__ import annotations
@@ -110,8 +114,15 @@ def _posterior(batch: pa.RecordBatch, modes: np.ndarray, confusion: np.ndarray,
     m = modes[c_lab[a_cell]] if len(a_cell) else np.zeros(0, int)
     llr = np.log(confusion[a_who, m, 1, answer]) - np.log(confusion[a_who, m, 0, answer])
     total = z + np.bincount(a_cell, llr, minlength=len(c_row))
+    # a label that only presence is stated of shows up only if somebody named it: condition on that
+    seen = modes[c_lab] == 1
+    silent = np.zeros((2, len(c_row)))
+    for t in (0, 1):
+        silent[t] = np.where(seen, np.exp(np.bincount(a_cell, np.log(confusion[a_who, m, t, OPEN]), minlength=len(c_row))), 0.0)
+    silent = np.minimum(silent, 0.98)
+    total += np.log1p(-silent[0]) - np.log1p(-silent[1])
     q = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
-    return c_row, c_lab, a_cell, a_who, answer, m, x, z, q
+    return c_row, c_lab, a_cell, a_who, answer, m, x, z, q, silent
 
 
 def _round(batches, modes, confusion, weights, n_ann: int):
@@ -122,11 +133,15 @@ def _round(batches, modes, confusion, weights, n_ann: int):
     for batch in batches:
         if not batch.num_rows:
             continue
-        c_row, c_lab, a_cell, a_who, answer, m, x, z, q = _posterior(batch, modes, confusion, weights)
+        c_row, c_lab, a_cell, a_who, answer, m, x, z, q, silent = _posterior(batch, modes, confusion, weights)
         if not len(c_row):
             continue
         at = ((a_who * 2 + m) * 2) * 3 + answer
         conf += np.bincount(at, 1 - q[a_cell], minlength=len(conf)) + np.bincount(at + 3, q[a_cell], minlength=len(conf))
+        # the cells of that kind that nobody named, as many as the model expects: all their answers are open
+        unseen = np.stack([(1 - q) * silent[0] / (1 - silent[0]), q * silent[1] / (1 - silent[1])])
+        for t in (0, 1):
+            conf += np.bincount(((a_who * 2 + m) * 2 + t) * 3 + OPEN, unseen[t][a_cell], minlength=len(conf))
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         v = p * (1 - p)
         for i in range(x.shape[1]):
@@ -204,7 +219,7 @@ def consensus(answers: DataFrame, item: str, annotator: str, lists: dict[str, tu
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c_row, c_lab, a_cell, a_who, answer, m, x, z, q = _posterior(batch, mode, model.confusion, model.weights)
+            c_row, c_lab, a_cell, a_who, answer, m, x, z, q, _ = _posterior(batch, mode, model.confusion, model.weights)
             count = lambda v: pa.array(np.bincount(a_cell[answer == v], minlength=len(c_row)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c_row)), pa.array(c_lab, pa.int32()), count(PRESENT), count(ABSENT), count(OPEN), pa.array(q)], ["item", "label_idx", "n_present", "n_absent", "n_open", "probability"])
 
