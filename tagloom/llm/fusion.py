@@ -185,10 +185,16 @@ def best_records(rows: DataFrame, group: str, key: str, source: str, sources: Da
     prior = [0.95 - 0.35 * i / span for i in range(len(names))]
     ranks = spark.createDataFrame([(r._s, r._r, 1 << i) for i, r in enumerate(dim)], "_s string, _r int, _bit bigint")
     base = rows.where(F.col(group).isNotNull() & F.col(key).isNotNull())
+    # values first, in a projection of their own, so that each is computed once for its hash and its presence
+    named = {f"f_{n}": c for n, c in fields.items()}
+    has = {n: f"f_{n}" if fields.get(n) is c else f"p_{n}" for n, c in present.items()}
+    named |= {has[n]: c for n, c in present.items()}
+    base = base.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.col(source).alias("_src"), F.unix_micros(F.col(recency).cast("timestamp")).alias("at"), *[c.alias(n) for n, c in named.items()])
     flags = F.lit(0)
-    for i, c in enumerate(present.values()):
-        flags = flags + F.when(c.isNotNull(), 1 << i).otherwise(0)
-    base = base.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.col(source).alias("_src"), F.unix_micros(F.col(recency).cast("timestamp")).alias("at"), flags.cast("int").alias("has"), F.xxhash64(F.col(group)).alias("g"), F.xxhash64(F.col(key)).alias("kh"), *[F.when(c.isNotNull(), F.xxhash64(c)).alias(f"f_{n}") for n, c in fields.items()])
+    for i, n in enumerate(has.values()):
+        flags = flags + F.when(F.col(n).isNotNull(), 1 << i).otherwise(0)
+    hashed = [F.when(F.col(f"f_{n}").isNotNull(), F.xxhash64(f"f_{n}")).alias(f"f_{n}") for n in fields]
+    base = base.select("grp", "key", "_src", "at", flags.cast("int").alias("has"), F.xxhash64("grp").alias("g"), F.xxhash64("key").alias("kh"), *hashed)
     base = base.join(F.broadcast(ranks), base["_src"] == ranks["_s"], "left").drop("_src", "_s").withColumn("rank", F.coalesce("_r", F.lit(2**31 - 1))).drop("_r")  # at most MAX_SOURCES rows
     fcols = {n: F.col(f"f_{n}") for n in fields}
     claimed = claims(base, "g", "_bit", fcols)
