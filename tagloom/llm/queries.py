@@ -208,7 +208,8 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def _mixture(spark: SparkSession, d: str) -> mixture.Mixture:
     docs = tokenizer.encode_corpus(table(spark, d, "documents").where("source is not null"), keep=("doc_id", "source"), counts_only=True)
-    return mixture.mix_sources(docs, table(spark, d, "mix_target"))
+    # texts are encoded once for the sums, the blocks and the report
+    return mixture.mix_sources(Scratch(spark, "p9").keep(docs, "sizes"), table(spark, d, "mix_target"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -223,6 +224,18 @@ def p9_schedule(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).schedule
 
 
+def p9_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).blocks
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture with its documents: a row per slot and piece of a document in it, as far as the slot takes it."""
+    m = _mixture(spark, d)
+    piece = m.blocks.select("source", "block", "doc_id", F.col("n_tokens").alias("n"), "start", "doc_start")
+    taken = F.least("n", F.col("n_tokens") - (F.col("start") - F.col("block") * mixture.BLOCK_TOKENS))
+    return m.schedule.join(piece, ["source", "block"]).select("slot", "source", "block", "repeat", "doc_id", "start", "doc_start", taken.alias("n_tokens")).where("n_tokens > 0")
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 
 

@@ -376,6 +376,31 @@ def test_mixture(spark):
         mixture.mix_sources(df, targets.union(targets))
 
 
+def test_mixture_reaches_in_tokens_what_it_reports(spark):
+    # a repeated source whose last block is short, a document of many blocks, and a source of less than one block
+    docs = [(0, "small", 5000), (1, "long", 50_000), (2, "tiny", 300)] + [(i, "rest", 37) for i in range(10, 1500)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    total = sum(d[2] for d in docs)
+    asked = {"small": 280_000, "long": 300_000, "tiny": 20_000, "rest": 400_000}
+    targets = spark.createDataFrame([(s, p, 8) for s, p in asked.items()], "source string, target_ppm int, max_repeats int")
+    m = mixture.mix_sources(df, targets, block_tokens=4096)
+    size = collections.Counter()
+    for b in m.blocks.collect():
+        size[b.source, b.block] += b.n_tokens
+    assert all(n == 4096 for (s, b), n in size.items() if (s, b + 1) in size) and sum(size.values()) == total
+    taken, used = collections.Counter(), collections.Counter()
+    for r in m.schedule.collect():
+        assert 0 < r.n_tokens <= size[r.source, r.block]
+        taken[r.source] += r.n_tokens
+        used[r.source, r.block] += 1
+    assert max(used.values()) <= 8
+    rep = {r.source: r for r in m.report.collect()}
+    assert {s: r.used_tokens for s, r in rep.items()} == dict(taken)
+    want = {s: min(-(-p * total // 1_000_000), 8 * {"small": 5000, "tiny": 300, "long": 50_000, "rest": 37 * 1490}[s]) for s, p in asked.items()}
+    assert dict(taken) == want
+    assert sum(r.reached_ppm for r in rep.values()) == pytest.approx(1e6)
+
+
 # 10 -------------------------------------------------------------------------------------------------------------------
 
 BAD = ["What an idiot you are", "you m0r0n", "WHAT A B i t c h", "such an i*iot", "you іdіоt!", "bitccch", "i​d​i​o​t", "𝓲𝓭𝓲𝓸𝓽", "go to hell!!", "写这个的人是脑.残吧", "滚 蛋", "今晚约pao加我", "du Arschloch", "eres un imbécil", "you d-u-m-b-a-s-s"]
