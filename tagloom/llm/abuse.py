@@ -3,7 +3,8 @@
 Folding undoes what hides a word: letter case, accents, full-width and
 mathematical alphabets, zero-width characters, look-alike letters of other
 scripts, digits for letters, letters set apart by a sign, repeated letters, and
-one or two letters replaced by a sign.  Matches inside an exception phrase, or
+letters replaced by a sign each: such a word is read as every lexicon word that
+it fits with two letters or more, or with its first of four if it is an oath.  Matches inside an exception phrase, or
 shortly after a phrase that only names a word (rules, reports, lists of removed
 posts), do not count.  The weights that remain are summed and divided by a slowly
 growing function of the length, so a long text needs more mild words than a
@@ -12,6 +13,7 @@ short one, while one strong match suffices in a text of any length.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import unicodedata
@@ -34,6 +36,7 @@ _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}"
 _DROP = regex.compile(r"[\p{Mn}\p{Cf}\p{Me}]+")
 _APART = regex.compile(r"(?<![\p{L}\p{N}])(\p{L}|[0-9])([ ._\-·•|~+])(?:(?:\p{L}|[0-9*@#$])\2)*(?:\p{L}|[0-9*@#$])(?![\p{L}\p{N}])")
 _MIXED = regex.compile(r"[\p{Latin}0-9$€£]*\p{Latin}[\p{Latin}0-9$€£*@#]*")
+_SIGNS = regex.compile(r"(?<![\p{L}\p{N}*@#%])(?=[*@#%]*\p{Latin})(?=\p{Latin}*[*@#%])[\p{Latin}*@#%]+(?![\p{L}\p{N}])")
 _MASK = regex.compile(r"(?<=\p{L})[*@#%]|[*@#%](?=\p{L})")
 _REPEAT = regex.compile(r"(\p{L})\1+")
 _OTHER = regex.compile(rf"[^\p{{L}}\p{{N}}*]+")
@@ -49,25 +52,52 @@ def _plain(word: str) -> str:
 
 
 _KNOWN: set[str] = set()
+_BY_LENGTH: dict[int, list[str]] = {}
+#: Letters that known words beside unknown ones must have together, where letters are set apart.
+LEAST_APART = 5
 
 
 def _known() -> set[str]:
-    """Words that letters set apart may spell: those of the lexicon, and words of one letter."""
+    """Words that letters set apart or behind signs may spell: those of the lexicon, and words that join them."""
     if not _KNOWN:
         phrases = itertools.chain.from_iterable(map(_alternatives, L.PHRASES))
-        _KNOWN.update(_plain(w) for p in (*L.INSULTS, *L.EXPLICIT, *L.MILD, *phrases) for w in p.split() if not _IS_CJK.search(w))
+        _KNOWN.update(_plain(w) for p in (*L.INSULTS, *L.EXPLICIT, *L.MILD, *phrases, *L.JOINING) for w in p.split() if not _IS_CJK.search(w))
         _KNOWN.update("aiouey")
     return _KNOWN
 
 
 def _words_of(letters: str) -> list[str]:
-    """The letters as the fewest lexicon words, or as one word if they are none."""
-    known, best = _known(), {0: []}
-    for j in range(1, len(letters) + 1):
-        for i in range(max(0, j - 24), j):
-            if i in best and letters[i:j] in known and (j not in best or len(best[i]) + 1 < len(best[j])):
-                best[j] = [*best[i], letters[i:j]]
-    return best.get(len(letters), [letters])
+    """The letters as lexicon words and what lies between them, with as few letters between and then as few words as can be."""
+    known, n = _known(), len(letters)
+    # state: position, letters of the known words before it (0: an unknown letter); value: cost, state before
+    best: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(n + 1)]
+    whole = LEAST_APART + 1  # nothing but known words from the beginning on
+    best[0][whole] = (0, 0, 0)
+
+    def reach(j: int, k: int, cost: int, i: int, before: int) -> None:
+        if k not in best[j] or cost < best[j][k][0]:
+            best[j][k] = (cost, i, before)
+
+    for i in range(n):
+        for k, (cost, _, _) in list(best[i].items()):
+            if k in (0, LEAST_APART) or i == 0:
+                reach(i + 1, 0, cost + 1000, i, k)
+            for j in range(i + 1, min(i + 24, n) + 1):
+                if letters[i:j] in known:
+                    reach(j, whole if k == whole else min(k + j - i, LEAST_APART), cost + 1, i, k)
+                    if k == whole and j >= LEAST_APART:
+                        reach(j, LEAST_APART, cost + 1, i, k)
+    ends = {k: v[0] for k, v in best[n].items() if k in (0, LEAST_APART, whole)}
+    out, j, k, last = [], n, min(ends, key=ends.get), False
+    while j:
+        _, i, before = best[j][k]
+        if k == 0 and last:
+            out[-1] = letters[i:j] + out[-1]
+        else:
+            out.append(letters[i:j])
+        last = k == 0
+        j, k = i, before
+    return out[::-1]
 
 
 def _join_apart(m: regex.Match) -> str:
@@ -75,22 +105,70 @@ def _join_apart(m: regex.Match) -> str:
     # three letters at least, or it is an initial or a size
     if len(s) < 3 or s.isdigit():
         return m.group()
-    return f" {' '.join(_words_of(s.translate(_LEET) if not s.isalpha() else s))} " if len(s) <= 200 else f" {s} "
-
-
-def fold(text: str) -> str:
-    """The folded form: lower-case Latin words between single spaces; runs of CJK characters without any."""
+    if any(c in "*@#%" for c in s):
+        return f" {s} "
+    return f" {' '.join(_words_of(s.translate(_LEET) if not s.isalpha() else s))} "
+
+
+@functools.lru_cache(100_000)
+def _behind(token: str) -> tuple[str, ...]:
+    """Lexicon words that a token with signs for letters may stand for; each sign is one letter."""
+    if not _BY_LENGTH:
+        for w in sorted(_known()):
+            _BY_LENGTH.setdefault(len(w), []).append(w)
+    if token[0] == "@":
+        token = "a" + token[1:]
+    token = token.lstrip("#%")
+    if token[:1] == "*" and token[-1:] == "*":  # markup around a word
+        token = token.strip("*")
+    seen = sum(c.isalpha() for c in token)
+    if seen == len(token):
+        return (token,)
+    if not seen or not (token[0].isalpha() or token[-1].isalpha()):
+        return ()
+    if seen == 1 and not (len(token) == 4 and token[0].isalpha()):
+        return ()
+    like = regex.compile("".join(c if c.isalpha() else r"\p{L}" for c in token))
+    found = [w for w in _BY_LENGTH.get(len(token), ()) if like.fullmatch(w) and (seen > 1 or w in L.INSULTS or w in L.EXPLICIT or w in L.MASKED)]
+    if not found and (short := _REPEAT.sub(r"\1", token)) != token:
+        return _behind(short)
+    return tuple(found)
+
+
+def _fold(text: str, choice: int = 0) -> tuple[str, int]:
     t = unicodedata.normalize("NFKC", text).casefold()
     t = _DROP.sub("", unicodedata.normalize("NFD", t))
     t = unicodedata.normalize("NFC", t).translate(_GLYPHS)
     t = _APART.sub(_join_apart, t)
     t = _MIXED.sub(lambda m: m.group().translate(_LEET), t)
+    choices = 1
+
+    def unmask(m: regex.Match) -> str:
+        nonlocal choices
+        words = _behind(m.group())
+        choices = max(choices, len(words))
+        return words[choice % len(words)] if words else m.group()
+
+    t = _SIGNS.sub(unmask, t)
     t = _MASK.sub("*", t)
     t = _REPEAT.sub(r"\1", t)
     t = _OTHER.sub(" ", t)
     t = _CJK_GAP.sub("", t)
     t = _BORDER.sub(" ", t)
-    return f" {' '.join(t.split())} "
+    return f" {' '.join(t.split())} ", choices
+
+
+def fold(text: str) -> str:
+    """The folded form: lower-case Latin words between single spaces; runs of CJK characters without any."""
+    return _fold(text)[0]
+
+
+def folds(text: str) -> Iterator[str]:
+    """The folded forms: one, or as many as a word behind signs may be lexicon words."""
+    t, n = _fold(text)
+    yield t
+    for choice in range(1, n):
+        yield _fold(text, choice)[0]
 
 
 def _alternatives(phrase: str) -> list[str]:
@@ -98,18 +176,6 @@ def _alternatives(phrase: str) -> list[str]:
     return ["".join(x) for x in itertools.product(*[p.split("|") if i % 2 else [p] for i, p in enumerate(parts)])]
 
 
-def _masked(word: str) -> Iterator[str]:
-    """The word with one letter, or if it is long two, behind a sign."""
-    at = [i for i, c in enumerate(word) if c.isalpha()]
-    if len(at) < 3:
-        return
-    for i in at:
-        yield word[:i] + "*" + word[i + 1 :]
-    if len(at) >= 5 and " " not in word:
-        for i, j in itertools.combinations(at, 2):
-            yield word[:i] + "*" + word[i + 1 : j] + "*" + word[j + 1 :]
-
-
 def _cjk_forms(word: str) -> Iterator[str]:
     """The word, and with one character written as pinyin or a look-alike."""
     yield word
@@ -139,11 +205,7 @@ class Lexicon:
                         f = (f if not _IS_CJK.match(f.strip()[0]) else f.lstrip()) if f.strip() else f
                         add(f.rstrip() if _IS_CJK.match(f.strip()[-1]) else f, w)
                 else:
-                    f = fold(p)
-                    add(f, w)
-                    if w == STRONG:
-                        for m in _masked(f.strip()):
-                            add(f" {m} ", w)
+                    add(fold(p), w)
         for form, w in weights.items():
             self.words.add_word(form, (len(form), w))
         for p in L.HARMLESS:
@@ -185,7 +247,9 @@ class Lexicon:
         """(sum of weights, score, strong matches) of a text; zeros for NULL and for empty text."""
         if not text:
             return 0.0, 0.0, 0
-        t = fold(text)
+        return max(map(self._weigh, folds(text)), key=lambda x: x[1])
+
+    def _weigh(self, t: str) -> tuple[float, float, int]:
         spans = self._excepted(t)
         total, strong = 0.0, 0
         for e, (n, w) in self.words.iter(t):

@@ -204,6 +204,15 @@ mierda estupido estupida desnudo inutil
 蠢 恶心 性感 变态
 """.split()
 
+# Words that stand between others where letters are set apart.
+JOINING = """
+the a an is are was this that these those of to in on at and or but so such not no it he she they we my his her our their who what with for from all just
+der die das ein eine ist sind war und oder so nicht er sie es wir mein dein auf von mit fur zu el la los las un una es son era y o no tan de del en con por para mi su
+""".split()
+
+# Words that a first letter and three signs may stand for, beside the insults.
+MASKED = {"fuck", "shit"}
+
 # Harmless phrases; a hit inside one does not count.
 HARMLESS = """
 idiot proof

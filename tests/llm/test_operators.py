@@ -416,3 +416,14 @@ def test_abuse(spark):
     rate = {r.source: r for r in abuse.rates(abuse.score_documents(df)).collect()}
     assert rate["s"].n_docs + rate[None].n_docs == len(texts) and 0 < rate["s"].rate < 1
     assert abuse.score_documents(df.limit(0)).count() == 0
+
+
+def _abusive(text):
+    return abuse.lexicon().weigh(text)[1] >= abuse.THRESHOLD
+
+
+def test_letters_behind_signs_and_set_apart():
+    bad = ["f**k you", "you c**t", "you a**hole", "what an a**h*le", "f*** you all", "piece of sh**", "you m***n", "i will k*ll y*u", "t h e s e l l e r i s a n i d i o t", "w-h-o-e-v-e-r-w-r-o-t-e-i-t-i-s-a-b-a-s-t-a-r-d", "x y z w " * 60 + "y o u i d i o t"]
+    fine = ["*it* fits, **its** seams hold", "#its a coat", "a 5*4 grid", "c u t t o s i z e", "g r a p e", "size s*m*l", "the s**e seam", ""]
+    assert [x for x in bad if not _abusive(x)] == []
+    assert [x for x in fine if _abusive(x)] == []
