@@ -6,18 +6,20 @@ scripts, digits for letters, letters set apart by a sign, repeated letters, and
 letters replaced by a sign each: such a word is read as every lexicon word that
 it fits with two letters or more, or with its first of four if it is an oath.  Matches inside an exception phrase, or
 shortly after a phrase that only names a word (rules, reports, lists of removed
-posts), do not count.  The weights that remain are summed and divided by a slowly
+posts) and in its sentence, do not count, unless they are said to somebody.  The weights that remain are summed and divided by a slowly
 growing function of the length, so a long text needs more mild words than a
 short one, while one strong match suffices in a text of any length.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import itertools
 import math
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
@@ -39,10 +41,15 @@ _MIXED = regex.compile(r"[\p{Latin}0-9$€£]*\p{Latin}[\p{Latin}0-9$€£*@#]*"
 _SIGNS = regex.compile(r"(?<![\p{L}\p{N}*@#%])(?=[*@#%]*\p{Latin})(?=\p{Latin}*[*@#%])[\p{Latin}*@#%]+(?![\p{L}\p{N}])")
 _MASK = regex.compile(r"(?<=\p{L})[*@#%]|[*@#%](?=\p{L})")
 _REPEAT = regex.compile(r"(\p{L})\1+")
+#: A full stop between letters may only hide a word, and one after a single letter shortens it.
+_SENTENCE = regex.compile(r"[!?;。｡\n\r\u2028\u2029]+|(?<!(?<![\p{L}\p{N}])\p{L})\.+(?=[\s\p{P}]|$)|(?<=\p{Han})\.+(?=\s|$)")
 _OTHER = regex.compile(rf"[^\p{{L}}\p{{N}}*]+")
 _CJK_GAP = regex.compile(rf"(?<=[{_CJK}])[ *]+(?=[{_CJK}])")
 _BORDER = regex.compile(rf"(?<=[{_CJK}])(?=[^{_CJK} ])|(?<=[^{_CJK} ])(?=[{_CJK}])")
 _IS_CJK = regex.compile(rf"[{_CJK}]")
+#: What stands right before an insult that is said to somebody, and before a cue that then announces one.
+_ADDRESSED = regex.compile(r" (?:you|u|ya|du|ihr|tu|eres|sois|usted|youre|(?:you|u|they|he|she) (?:are|re|r|is)|du bist|ihr seid)(?: (?:all|just|such|nothing but|a|an|so|really|ein|eine|echt|un|una|tan|muy|total|fucking|bloody|stupid|dumb|little|old|absolute|complete|total|dummer|dumme|verdammter))* $|(?:你|您|妳)们?(?:们|全是|都是|就是|真是|是|真)?(?:这个|这种|这些|这群|个|这|一个|群)? ?$")
+_TOLD = regex.compile(r" (?:te|os|dich|euch)(?: \p{L}+){0,2} $")
 _GLYPHS = str.maketrans(L.HOMOGLYPHS)
 _LEET = str.maketrans(L.LEET)
 
@@ -135,7 +142,15 @@ def _behind(token: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def _fold(text: str, choice: int = 0) -> tuple[str, int]:
+class Folded(NamedTuple):
+    text: str
+    #: Where a sentence ends in the text.
+    ends: list[int]
+    #: Readings of the word behind signs that has the most.
+    choices: int
+
+
+def _fold(text: str, choice: int = 0) -> Folded:
     t = unicodedata.normalize("NFKC", text).casefold()
     t = _DROP.sub("", unicodedata.normalize("NFD", t))
     t = unicodedata.normalize("NFC", t).translate(_GLYPHS)
@@ -152,23 +167,31 @@ def _fold(text: str, choice: int = 0) -> tuple[str, int]:
     t = _SIGNS.sub(unmask, t)
     t = _MASK.sub("*", t)
     t = _REPEAT.sub(r"\1", t)
-    t = _OTHER.sub(" ", t)
-    t = _CJK_GAP.sub("", t)
-    t = _BORDER.sub(" ", t)
-    return f" {' '.join(t.split())} ", choices
+    out, ends = " ", []
+    for part in _SENTENCE.split(t):
+        part = _CJK_GAP.sub("", _OTHER.sub(" ", part))
+        part = " ".join(_BORDER.sub(" ", part).split())
+        if not part:
+            continue
+        if len(out) > 1:
+            ends.append(len(out) - 1)
+            if _IS_CJK.match(out[-2]) and _IS_CJK.match(part):
+                out = out[:-1]
+        out += f"{part} "
+    return Folded(out, ends, choices)
 
 
 def fold(text: str) -> str:
     """The folded form: lower-case Latin words between single spaces; runs of CJK characters without any."""
-    return _fold(text)[0]
+    return _fold(text).text
 
 
-def folds(text: str) -> Iterator[str]:
+def folds(text: str) -> Iterator[Folded]:
     """The folded forms: one, or as many as a word behind signs may be lexicon words."""
-    t, n = _fold(text)
-    yield t
-    for choice in range(1, n):
-        yield _fold(text, choice)[0]
+    first = _fold(text)
+    yield first
+    for choice in range(1, first.choices):
+        yield _fold(text, choice)
 
 
 def _alternatives(phrase: str) -> list[str]:
@@ -224,15 +247,21 @@ class Lexicon:
         for a in (self.words, self.safe, self.cues):
             a.make_automaton()
 
-    def _excepted(self, t: str) -> list[tuple[int, int]]:
-        spans = [(e - n + 1, e + 1) for e, n in self.safe.iter(t)]
+    def _excepted(self, t: str, ends: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """Spans of harmless phrases, and spans in which words are only named, which end with the sentence of their cue."""
+        safe = [(e - n + 1, e + 1) for e, n in self.safe.iter(t)]
+        named = []
         for e, (n, reach, by_word) in self.cues.iter(t):
-            end = e + 1
+            end, first = e + 1, e - n + 1
+            at = bisect.bisect_left(ends, e)
             if reach < 0:
-                start = e - n + 2
+                start = first + 1
                 for _ in range(-reach):
                     start = max(t.rfind(" ", 0, max(start - 1, 0)), 0)
-                spans.append((start, end))
+                before = bisect.bisect_right(ends, first) - 1
+                named.append((max(start, ends[before] if before >= 0 else 0), end))
+                continue
+            if _TOLD.search(t, max(0, first - 24), first + 1):
                 continue
             if by_word:
                 for _ in range(reach):
@@ -240,8 +269,8 @@ class Lexicon:
                     end = nxt + 1 if nxt >= 0 else len(t)
             else:
                 end += reach
-            spans.append((e - n + 1, end))
-        return spans
+            named.append((first, min(end, ends[at] + (t[ends[at]] == " ")) if at < len(ends) else end))
+        return safe, named
 
     def weigh(self, text: str | None) -> tuple[float, float, int]:
         """(sum of weights, score, strong matches) of a text; zeros for NULL and for empty text."""
@@ -249,12 +278,14 @@ class Lexicon:
             return 0.0, 0.0, 0
         return max(map(self._weigh, folds(text)), key=lambda x: x[1])
 
-    def _weigh(self, t: str) -> tuple[float, float, int]:
-        spans = self._excepted(t)
+    def _weigh(self, f: Folded) -> tuple[float, float, int]:
+        t = f.text
+        safe, named = self._excepted(t, f.ends)
+        within = lambda a, b, spans: any(x <= a + 1 and b - (t[b - 1] == " ") <= y for x, y in spans)
         total, strong = 0.0, 0
         for e, (n, w) in self.words.iter(t):
             a, b = e - n + 1, e + 1
-            if any(x <= a + 1 and b - 1 <= y for x, y in spans):
+            if within(a, b, safe) or within(a, b, named) and not _ADDRESSED.search(t, max(0, a - 40), a + (t[a] == " ")):
                 continue
             if w == STRONG:
                 strong += 1

@@ -427,3 +427,10 @@ def test_letters_behind_signs_and_set_apart():
     fine = ["*it* fits, **its** seams hold", "#its a coat", "a 5*4 grid", "c u t t o s i z e", "g r a p e", "size s*m*l", "the s**e seam", ""]
     assert [x for x in bad if not _abusive(x)] == []
     assert [x for x in fine if _abusive(x)] == []
+
+
+def test_a_cue_ends_with_its_sentence():
+    bad = ["Put me on your block list, you idiot", "Enough posts about zips. You idiot.", "te voy a llamar idiota", "Enough comments about hems! Idiots.", "Steht auf der Sperrliste, du Idiot", "屏蔽词太多了。脑残", "屏蔽词太多了，你这个脑残"]
+    fine = ["Our block list: idiot, moron, bitch and bastard", "Removed 3 posts with the word idiot. The hem is fine.", "屏蔽词：脑残、傻逼、贱人", "No se debe llamar idiota a nadie", "Comments about idiots were removed", "Sperrliste: z. B. Idiot"]
+    assert [x for x in bad if not _abusive(x)] == []
+    assert [x for x in fine if _abusive(x)] == []
