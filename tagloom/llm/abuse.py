@@ -17,6 +17,7 @@ import bisect
 import functools
 import itertools
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -69,6 +70,8 @@ def _known() -> set[str]:
     if not _KNOWN:
         phrases = itertools.chain.from_iterable(map(_alternatives, L.PHRASES))
         _KNOWN.update(_plain(w) for p in (*L.INSULTS, *L.EXPLICIT, *L.MILD, *phrases, *L.JOINING) for w in p.split() if not _IS_CJK.search(w))
+        patterns = regex.sub(r"\\p\{\p{L}+\}", " ", " ".join((*L.PATTERNS, *L.SETS.values())))
+        _KNOWN.update(w for w in regex.findall(r"\p{Latin}{2,}", patterns))
         _KNOWN.update("aiouey")
     return _KNOWN
 
@@ -207,6 +210,16 @@ def _cjk_forms(word: str) -> Iterator[str]:
             yield word[:i] + v + word[i + 1 :]
 
 
+def _pattern(p: str) -> str:
+    for _ in range(2):
+        p = regex.sub(r"\{([a-z\u7fa4]+)\}", lambda m: L.SETS[m[1]], p)
+    # folded text has no doubled letters, and spaces at the ends may belong to two matches
+    p = p.replace("~", r"(?:\p{L}+ ){0,2}")
+    p = regex.sub(r"(?<![\\\p{L}{])(\p{Latin}+)|\\p\{\p{L}+\}", lambda m: _REPEAT.sub(r"\1", m[1]) if m[1] else m[0], p)
+    p = regex.sub("^_", r"(?<=\\s)", p).replace("_", r"(?=\s)")
+    return p.replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{Han}", "[\u4e00-\u9fff]")
+
+
 class Lexicon:
     """Compiled automata; one per Python worker."""
 
@@ -229,6 +242,7 @@ class Lexicon:
                         add(f.rstrip() if _IS_CJK.match(f.strip()[-1]) else f, w)
                 else:
                     add(fold(p), w)
+        self.patterns = [(bool(_IS_CJK.search(p)), re.compile(_pattern(p))) for p in L.PATTERNS]
         for form, w in weights.items():
             self.words.add_word(form, (len(form), w))
         for p in L.HARMLESS:
@@ -283,8 +297,23 @@ class Lexicon:
         safe, named = self._excepted(t, f.ends)
         within = lambda a, b, spans: any(x <= a + 1 and b - (t[b - 1] == " ") <= y for x, y in spans)
         total, strong = 0.0, 0
-        for e, (n, w) in self.words.iter(t):
-            a, b = e - n + 1, e + 1
+        found = [(e - n + 1, e + 1, w) for e, (n, w) in self.words.iter(t)]
+        # weaker words count together within a sentence only: a border is a line break, put in where no space is
+        marked, put, last = [], [], 0
+        for x in f.ends:
+            marked += [t[last:x], "\n"]
+            last = x + (t[x] == " ")
+            if t[x] != " ":
+                put.append(x + len(put))
+        whole = "".join([*marked, t[last:]])
+        cjk = bool(_IS_CJK.search(t))
+        for is_cjk, p in self.patterns:
+            if is_cjk and not cjk:
+                continue
+            for m in p.finditer(whole):
+                a, b = m.start() - bisect.bisect_left(put, m.start()), m.end() - bisect.bisect_left(put, m.end())
+                found.append((a - (t[a - 1] == " "), b + (t[b : b + 1] == " "), STRONG))
+        for a, b, w in found:
             if within(a, b, safe) or within(a, b, named) and not _ADDRESSED.search(t, max(0, a - 40), a + (t[a] == " ")):
                 continue
             if w == STRONG:

@@ -10,6 +10,13 @@ idiot idiots moron morons imbecile imbeciles cretin cretins dumbass dumbasses as
 scumbag scumbags motherfucker dickhead wanker whore whores slut sluts cunt cunts retard faggot subhuman subhumans dipshit shithead
 schwachkopf schwachkopfe vollpfosten missgeburt wichser drecksau arschloch arschlocher hurensohn fotze schlampe vollidiot idioten untermensch dreckschwein
 imbecil imbeciles idiota idiotas cabron cabrones gilipollas subnormal subnormales hijoputa zorra malparido pendejo mierdoso
+nigger niggers nigga niggas spic spics kike kikes wetback wetbacks gook gooks raghead ragheads towelhead towelheads paki pakis faggots fags tranny trannies shemale retards
+halfwit halfwits nitwit nitwits dimwit dimwits numbskull bonehead jackass jackasses douchebag douchebags douche twat twats tosser bellend fuckface fucker fuckers fuckwit fuckhead dumbfuck dumbfucks
+motherfuckers cocksuckers skank skanks scumbags lowlife lowlifes asshat asswipe shitbag shitheads dickheads wankers bastards arseholes subhumans fatso lardass whoreson simpleton nincompoop
+kanake kanaken neger negers schwuchtel schwuchteln spast spasti spasten hure huren nutte nutten schlampen trottel volltrottel depp deppen dummkopf dreckskerl miststuck mistkerl drecksack penner mongo
+hurensohne fotzen idiotin arsch arschgeige vollhonk hackfresse scheisskerl drecksvolk
+maricon maricones puta putas puto putos sudaca sudacas tarado tarada retrasado retrasados mongolo capullo capullos cretino cretina bastardo bastarda zorras pendejos culero lameculos hijoputas mamon soplapollas payaso
+黑鬼 支那猪 死基佬 死娘炮 尼哥 绿茶婊 臭婊子 智障 弱智 傻子 狗东西 狗杂种 龟儿子 王八羔子 混蛋 全家死光 死全家 去你妈 操你 日你妈 肥猪 死胖子 母狗 低能儿 死变态 垃圾人 贱种 蠢猪 蠢驴 猪头 小人渣 傻屌 煞逼 尼玛 你妈死了 丧门星
 傻逼 傻比 煞笔 沙比 傻叉 王八蛋 贱人 贱货 脑残 蠢货 畜生 废物 费物 白痴 婊子 狗娘养的 人渣 混账东西 杂种 滚犊子 草泥马 操你妈 尼玛死
 """.split()
 
@@ -17,184 +24,160 @@ imbecil imbeciles idiota idiotas cabron cabrones gilipollas subnormal subnormale
 EXPLICIT = """
 porn porno pornos pornhub blowjob handjob cumshot dildo nudes horny pussy tits titties cocksucker masturbate masturbating orgasm
 ficken fickt titten muschi nacktbilder nacktfotos wichsen
-follar follarte tetas polla cachondo cachonda pornografia
-黄片 果照 裸照 裸聊 约炮 约泡 做爱 打飞机 口交 淫荡 骚货 艹模特 操模特 偷拍裙底
+blowjobs handjobs cumshots dildos milf gangbang creampie deepthroat bukkake fellatio cunnilingus upskirt upskirts titjob camgirl hentai xxx
+fickfoto fickfotos porno pornos pornografisch muschis schwanzlutscher upskirtfotos nacktvideo nacktvideos bumsen blasen
+follar follarte follarme follarla pollas mamada mamadas corrida tetona tetonas chochos masturbarme masturbarse tetas polla cachondo cachonda pornografia
+黄色视频 色情 成人片 自慰 手淫 射精 乳交 肛交 内射 援交 嫖娼 裸体照 裸体视频 上床 一夜情 开房 性交易 操逼 鸡巴 奶子 黄片 果照 裸照 裸聊 约炮 约泡 做爱 打飞机 口交 淫荡 骚货 艹模特 操模特 偷拍裙底
 """.split()
 
-# Phrases that insult, threaten, wish harm, demean a group, or are sexual in their context.
+# Phrases that are abusive in themselves.
 PHRASES = """
-piece of shit
-human garbage
-what {a|an} {pig|loser} you are
-only {a|an} {pig|loser} would ask
-{you|listen} {pig|loser}
-{useless|worthless|stupid|brainless|pathetic|disgusting|filthy|rotten} {pig|loser|scum|creature}
-nobody wants your
-crawl back under your rock
-back under your rock
-shut your mouth
-shut the fuck up
-fuck off
-fuck you
-drop dead you
-go to hell
-nobody would miss you
-if you stopped breathing
-until it bleeds
-should beat the
-make me want to spit
-people like you make me
-sick with shame that they raised
-parents must be sick
-sick with shame
-that they raised you
-you were a mistake and
-a mistake and everyone around you
-where you work and i will
-i will break your
-break your fingers
-come to your house and
-and hurt you
-hope you choke
-you choke on it
-favour and never wake up
-and never wake up
-kill yourself
-i will kill you
-are vermin
-are a disease
-are subhuman
-are parasites
-are filth
-kept out of the shop
-do not deserve to live
-deserve to live among us
-were allowed to breathe our air
-better off before
-touch this they are
-they are filth
-deport all
-do not dress them
-{lock|lock up} {women|immigrants|foreigners|them} in a cage
-in a cage
-send me your nudes
-take everything off and
-touch yourself for me
-for me on camera
-show us that wet
-that wet pussy
-want to fuck
-fuck the model
-licked her all over
-until she came
-looking for sex
-sex tonight
-had sex in
-sex in the fitting room
-free porn
-clips from the fitting room
-cock stood hard
-stood hard under the
-almost fall out and i
-i got horny
-jerk off to
-off to these photos
-wurde dich vermissen
-niemand wurde dich
-wenn du nicht mehr da warst
-schlag dich tot
-ich finde dich und
-ich bring dich um
-fahr zur holle
-zur holle du
-halt die fresse
-halt dein maul
+piece of {shit|crap|filth|garbage}
+{human|absolute} {garbage|trash|waste|filth}
+waste of {space|air|oxygen|skin}
+shut {up|your mouth|your face|your trap|the fuck up}
+{fuck|screw|damn} you
+fuck {off|yourself|him|her|them|your mother}
+{go to|rot in|burn in} hell
+drop dead
+{kill|hang|shoot|drown} yourself
+{crawl|go} back {under|to} your {rock|hole|cave|country}
+son of a {bitch|whore}
+{halt|haltet} {die fresse|dein maul|das maul|die klappe}
 verpiss dich
-stirb endlich
-sind eine seuche
-sind ungeziefer
-sind abschaum
-sind parasiten
-sind tiere
-in den kafig
-verdienen es nicht zu leben
-kein recht zu leben
-gehoren weggesperrt
-gehoren vergast
-die gehoren weg
-model ficken
-ich will das model
-titten machen mich
-machen mich geil
-schick mir nacktbilder
-suche sex
-sex fur heute nacht
-zieh dich aus und
-hijo de puta
-hija de puta
-basura humana
-vete al infierno
+{fahr|geh} zur holle
+{stirb|verreck|krepier} {endlich|doch|du}
+{bring|hang} dich um
+fick dich
+{hijo|hija|hijos} de {puta|perra}
+{basura|escoria} humana
 al infierno
-cierra la boca
-muerete
-muerete ya
-si desaparecieras
-nadie lloraria
-te voy a partir
-partir las piernas
-donde vives y te
-te voy a matar
-son una plaga
-son animales
-son escoria
-son parasitos
-no merecen vivir
-hay que echar a
-se le ven las tetas
-me pone cachondo
-pone cachondo
-quiero follar
-mandame fotos desnuda
-fotos desnuda
-busco sexo
-sexo esta noche
-打断你的腿
-我知道你在哪上班
-从楼上跳下去
-你爸妈生你真是
-生你真是丢人
-活着就是浪费空气
-浪费空气
-你早该消失
-早该消失
-去死吧
+{cierra|cerra} {la boca|el pico}
+{muerete|matate|pudrete}
+{vete|iros} {a la mierda|al carajo}
+que te {jodan|follen|den}
 去死
 不得好死
-闭上你的狗嘴
 狗嘴
-滚出去
 滚蛋
+滚出去
 滚回去
-赶出去
-都是寄生虫
-是社会的毒瘤
-的毒瘤
-全是畜生
-不配活着
-就恶心
+滚开
+闭嘴
+闭上你的嘴
+下地狱
+死了算了
+"""
+PHRASES = PHRASES.strip().split("\n")
+
+# Fixed values: {name} in a pattern stands for one of these.
+SETS = {
+    "weak": "stupid|dumb|pathetic|disgusting|filthy|worthless|brainless|ugly|useless|rotten|vile|repulsive|ignorant|miserable|mindless|spineless|lazy|fat|dirty|hideous|clueless|loser|losers|pig|pigs|scum|trash|garbage|rat|rats|worm|worms|creature|clown|cow|dog|dogs|freak|freaks|pervert|perverts|prick|pricks|crap|shit|filth|vermin|disgrace|nobody|failure|parasite|leech|animal|animals|monster|cockroach|ape|apes|monkey|monkeys",
+    "base": "vermin|filth|scum|trash|garbage|parasites?|animals|subhumans?|(?:a )?disease|(?:a )?plague|(?:a )?cancer|rats|cockroaches|lice|pigs|dogs|apes|monkeys|savages|criminals|thieves|inferior|worthless|disgusting|stupid|dirty|lazy|retarded|dumb|brainless|pests?|leeches|dirt",
+    "group": "(?:people|folks?|women|men|girls|immigrants|migrants|foreigners|refugees|muslims|jews|christians|hindus|arabs|africans|asians|blacks|whites|mexicans|gays|lesbians|gypsies|disabled|elderly|northerners|southerners|easterners|westerners|peasants|natives)(?: (?:of|from|with|like|in) (?:\\p{L}+ ){0,2}\\p{L}+)?|their kind",
+    "you": "you|u|ya|youre|yall|you all|you two",
+    "body": "fingers?|legs?|arms?|neck|bones?|jaw|face|skull|knees?|teeth|nose|head|hands?|throat|ribs",
+    "harm": "kill|murder|stab|beat|strangle|rape|shoot|hurt|smash|burn|punch|choke|slaughter|gut|bury|destroy|hunt|find|slap|whip|hang|drown|gas|cut|break",
+    "person": "you|u|him|her|them|me|your|the model|this model|that model|this girl|that girl|the girl|this woman|that woman|the woman|models|women|girls|his|everyone",
+    "gruppe": "(?:frauen|manner|auslander|fluchtlinge|migranten|juden|muslime|schwarze|schwule|lesben|behinderte|alte|leute|menschen|deutschen|polen|turken|araber|russen|afrikaner|asiaten|fremden|fremde)",
+    "grupo": "(?:los |las |esos |esas |estos |todos los |todas las )?(?:mujeres|hombres|inmigrantes|extranjeros|refugiados|negros|negras|judios|musulmanes|moros|gitanos|gays|maricones|viejos|viejas|gordos|gordas|pobres|chinos|indios|indias|latinos|africanos|discapacitados|invalidos|minusvalidos|ninas|chicas|gente|vecinos)(?: (?:de|del|con) \\p{L}+){0,2}|ellos|ellas",
+    "群": "(?:(?:人|女人|男人|女的|男的|妇女|同性恋|难民|移民|穆斯林|黑人|老人|胖子|穷人|乡巴佬|残疾人)|他们|她们|这些人|这种人|这帮人|那帮人|你们)",
+}
+
+# Patterns over the folded text; ``_`` stands for a space at either end, ``~`` for up to two words between.
+PATTERNS = r"""
+_(?:{you})(?: (?:are|re|r|is))?(?: (?:such|just|all|nothing|but|a|an|so|really|the|bunch|of|most|absolute|complete|total|fucking|bloody|utter|little|old|and))* (?:{weak})_
+_what (?:a|an) ~(?:{weak}) (?:you|he|she|they) (?:are|is)_
+_only (?:a|an) ~(?:{weak}) (?:would|could|can)_
+_(?:listen|hey|oi|shut up)(?: you)? (?:{weak})_
+_(?:nobody|no one|noone) (?:~)(?:likes|wants|needs|loves|would miss|will miss|cares about|asked for) (?:you|your)(?: (?:(?:stupid|brainless|dumb|worthless|pathetic|ugly) )?(?:opinion|face|kind|here))?_
+_(?:world|earth|everyone|we)(?: \p{L}+){0,3} better(?: off)? (?:without|before) (?:you|{group})_
+_if you (?:just )?(?:stopped breathing|were dead|died|disappeared|never woke up)_
+_(?:hope|wish|pray)(?: that)? (?:you|he|she|they|your \p{L}+) (?:all )?(?:die|dies|choke|chokes|rot|burn|suffer|bleed|drown|get cancer|get hit|get run over|get raped|never wake up|were dead|fall down|go blind|crash)_
+_(?:go to sleep and |and |please |just )never wake up_
+_you (?:were|are) (?:a mistake|better off dead|born a mistake|not even human)_
+_(?:your )?(?:parents|mother|father|family) (?:must|should) (?:be|feel) (?:sick|ashamed|disgusted)_
+_ashamed ~raised you_
+_(?:make|makes) me (?:want to )?(?:spit|puke|vomit|throw up|sick|gag)_
+_i (?:will|ll|am going to|am gonna|m going to|gonna|shall|want to|would love to)(?: \p{L}+){0,5} (?:{harm}) (?:you|your (?:{body}|family|kids|children|face)|u|him|her|them)_
+_(?:i know|know) where you (?:live|work|sleep|park)_
+_come to your (?:house|home|place|work|door)(?: \p{L}+){0,2} and_
+_(?:someone|somebody|they|one|i|we)(?: \p{L}+)? (?:should|ought to|needs to|must) (?:{harm}) (?:the model|her|him|you|them|these people|those people|the seller|the \p{L}+er)_
+_(?:break|smash|cut|crush|rip)(?: off)? your (?:{body})_
+_(?:{group}) (?:are|is)(?: (?:all|just|nothing|but|the|really|only|like))* (?:{base})_
+_(?:they|those|them)(?: (?:are|re))?(?: (?:all|just|nothing|but|really|only))* (?:vermin|filth|scum|subhumans?|parasites|savages|cockroaches|lice|leeches)_
+_they (?:do not|dont|don t) deserve to (?:live|breathe|exist)_
+_(?:die|sie|solche)(?: leute)? (?:sind|gehoren)(?: (?:alle|nur|doch|wie|wirklich|nichts|als))* (?:ungeziefer|abschaum|parasiten|untermenschen|tiere|weggesperrt|vergast|erschossen|ausgerottet|eingesperrt|vernichtet|weg)_
+_(?:{group}) (?:do not|dont|don t|should not|shouldn t|never) (?:deserve to|be allowed to|be able to|have the right to|have a right to)?(?: )?(?:live|breathe|exist|vote|breed|be born|be here)(?: \p{L}+)*_
+_(?:{group}) (?:should|must|ought to|deserve to|have to|need to) (?:all )?(?:be|get)?(?: )?(?:wiped out|shot|killed|gassed|deported|exterminated|hanged|burned|burnt|locked up|caged|kept out|put down|sterilized|beaten|die|banned from|thrown out|whipped|drowned|removed from)_
+_(?:lock|put|throw|keep|shut)(?: up)? (?:all )?(?:the )?(?:[^\W\d_]+ )?(?:them|{group}) (?:up |away )?(?:in|into|behind|out)(?: of)? (?:a |the )?(?:cage|cages|camp|camps|prison|bars|country|ovens|zoo)_
+_(?:deport|exterminate|gas|hang|shoot|kill|sterilize) (?:all |every )?(?:the |of )?(?:[^\W\d_]+ )?(?:{group})_
+_(?:let|letting|allow|allowed|allowing|were|was)(?: \p{L}+){0,2} (?:breathe|share) our (?:air|country)_
+_(?:never|dont|not)(?: \p{L}+)? (?:let|dress|serve|sell to) (?:{group})_(?=.{0,60}_(?:{base})_)
+_(?:want|wants|wanna|like|love|going|gonna|need|wish|dying)(?: to)? (?:fuck|bang|screw|lick|rape|finger) (?:{person})_
+_fuck (?:{person})_
+_(?:lick|licked|licks|sucked|suck|fingered|fucked|banged|groped|fondled) (?:{person})_
+_(?:send|show|give|post|mail)(?: \p{L}+){0,3} (?:nudes?|naked|tits|pussy|boobs|cock|dick|ass)_
+_(?:take|strip|pull)(?: \p{L}+)? (?:everything|clothes|your clothes|it all) off(?: \p{L}+){0,2} (?:for me|on camera|touch|show|slowly|now)_
+_touch (?:yourself|your (?:self|tits|body))_
+_(?:looking|look|searching|up|ready) for (?:\p{L}+ )?(?:sex|hookups?|a fuck|a blowjob|a quickie)_
+_(?:had|have|having|want|wants|free|hot|anal|oral|wild|paid|hard)(?: \p{L}+)? sex (?:in|on|with|tonight|now|chat|video|videos|cam)_
+_(?:sex|fuck|hookup) tonight_
+_(?:his|her|my|your|the) (?:\p{L}+ )?(?:cock|dick|pussy|tits|clit|nipples|boobs)(?: (?:is|was|got|stood|gets|almost|were|are))* (?:hard|wet|stiff|dripping|throbbing|erect|hanging out|fall out|falling out|pop out|bare)_
+_(?:wet|tight|hot|shaved|dripping) (?:pussy|cunt|clit)_
+_(?:until|till|made|make) (?:she|he|her|him|you|me) (?:came|cum|climax|orgasm|squirt)_
+_(?:jerk|jerked|jerking|jack|jacked|wank|wanked|rub one|get|got|gets)(?: myself)? off (?:to|on|over)_
+_(?:got|get|gets|makes me|made me|feel) (?:so )?(?:horny|hard|wet) (?:for|from|looking|watching|over|at|seeing)_
+_(?:leaked|hidden|secret|spy|hot) (?:clips|camera|cam|video|videos|footage)(?: \p{L}+)? (?:the )?(?:changing|fitting|dressing|locker|shower) rooms?_
+_(?:clips|videos|footage|pics) from the (?:changing|fitting|dressing|locker|shower) rooms?_
+_(?:du|ihr)(?: (?:bist|seid|bleibst))?(?: (?:so|echt|ein|eine|nur|wirklich|doch|ganz|verdammter|verdammte|dreckiger))* (?:dumm|dumme|dummer|blod|bloder|blode|hasslich|ekelhaft|widerlich|wertlos|nutzlos|erbarmlich|schwein|schweine|sau|abschaum|dreck|mull|versager|ratte|ungeziefer|affe|parasit|opfer|lappen)_
+_niemand(?: \p{L}+){0,3} (?:vermissen|vermisst|leiden|braucht dich|mag dich)_(?=.{0,40}_(?:du|dich|dir)_|)
+_wenn du (?:nicht mehr|tot|weg|stirbst|sterben)_
+_ich (?:\p{L}+ ){0,3}(?:schlag|schlage|bring|bringe|mach|mache|stech|steche|steck|finde|find|krieg|breche|brech|hau|haue|knall) (?:dich|dir|euch)_
+_(?:schlag|schlage|bring|stech|mach|prugel) (?:dich|euch) (?:tot|um|ab|fertig|kaputt)_
+_(?:{gruppe}) (?:sind|gehoren)(?: (?:alle|nur|doch|wie|eine|der|wirklich|nichts|als))* (?:seuche|ungeziefer|abschaum|parasiten|tiere|dreck|schweine|untermenschen|ratten|krebs|pest|mull|affen|kriminelle|weggesperrt|vergast|erschossen|ausgerottet|abgeschoben|eingesperrt|vernichtet|weg|raus|minderwertig|dumm)_
+_(?:verdienen|verdient)(?: es)? nicht zu leben_
+_kein recht (?:auf leben|zu leben|zu atmen)_
+_(?:in den kafig|ins gas|ins lager|an die wand)_
+_(?:will|wurde|mochte|wollte)(?: \p{L}+){0,4} (?:ficken|bumsen|vogeln|durchficken)_
+_(?:suche|biete|will)(?: \p{L}+){0,2} sex_
+_(?:schick|zeig|schickt|sende)(?: \p{L}+){0,2} (?:nackt\p{L}*|titten|muschi|brüste|bruste|arsch)_
+_zieh dich(?: \p{L}+)? (?:aus|nackt)_(?=.{0,40}(?:fur mich|fass|kamera|zeig|beruhr))
+_(?:macht|machen|bin)(?: \p{L}+)? (?:geil|feucht|notgeil)(?: auf| wenn|_)
+_(?:eres|sois|tu|estas)(?: (?:un|una|unos|tan|muy|solo|de|lo|mas|verdadero|pedazo|puro|pura))* (?:estupid[oa]s?|tont[oa]s?|fe[oa]s?|basura|inutil|inutiles|cerd[oa]s?|perr[oa]s?|rata|escoria|asco|asqueros[oa]s?|parasito|mierda|patetic[oa]s?|animal|gusano|fracasad[oa]s?)_
+_(?:si|ojala)(?: te)? (?:desaparecieras|desaparezcas|murieras|mueras|te mueras|te murieras)_
+_nadie te (?:quiere|soporta|extranaria|echaria de menos|lloraria)_
+_(?:te|os) (?:voy|vamos) a (?:matar|partir|romper|pegar|reventar|encontrar|violar|rajar|quemar|hundir|dar)_
+_(?:se )?donde (?:vives|trabajas)_
+_(?:{grupo}) son (?:(?:una|unos|unas|todos|todas|solo|como|pura|puros) )*(?:plaga|animales|escoria|parasitos|basura|ratas|cerdos|cancer|delincuentes|subhumanos|inferiores|bestias|mierda|peste|enfermedad|estupidos)_
+_no (?:merecen|merece|mereces|merecéis|tienen derecho a) (?:vivir|respirar|existir)_
+_(?:hay que|deberian|habria que|deben) (?:echar|matar|encerrar|expulsar|exterminar|eliminar|quemar|fusilar|gasear) a_
+_(?:me|te|nos) (?:pone|ponen|pones|puso) (?:muy )?(?:cachond[oa]s?|caliente|duro|dura|mojada)_
+_(?:quiero|busco|vamos a|ofrezco|necesito)(?: \p{L}+)? (?:follar\p{L}*|sexo|coger|chupar\p{L}*|polvo)_
+_(?:mandame|enviame|pasame|ensename|muestrame)(?: \p{L}+){0,3} (?:desnud[oa]s?|tetas|nudes|culo|coño|cono|polla)_
+_sexo (?:esta noche|gratis|ahora|oral|anal)_
+(?:你|妳|您)们?(?:真|就|全|都)?(?:是|这|这个|个|这种|真是)*(?:蠢|笨|丑|垃圾|猪|狗|臭|恶心|没用|废|烂|贱|虫|变态)(?!.{0,3}(?:衣|货|色))
+(?:你|妳|您)(?:活着|生下来|出生|怎么).{0,6}(?:浪费|多余|错误|去死|跳楼|跳下去|不死)
+(?:你|妳)早(?:就)?(?:该|应该)(?:去)?(?:死|消失|自杀)
+(?:浪费|污染)(?:空气|粮食)
+(?:从|去)(?:楼|桥|天台|窗).{0,2}跳
+(?:你)?(?:爸妈|父母|爹妈|妈|家人).{0,6}(?:丢人|丢脸|后悔|生了个|瞎了眼)
+(?:打断|砍断|打折|敲碎|弄死|打死|砍死|捅死|杀了|掐死|整死|揍死|揍扁)(?:了)?(?:你|他|她)
+(?:我)?知道你(?:住|在)(?:哪|什么)
+{群}(?:就|都|全|全都|统统|真)?(?:是|像).{0,4}(?:寄生虫|毒瘤|畜生|垃圾|害虫|蛀虫|渣|劣等|猪|狗|病毒|祸害|贱)
+{群}(?:就|都|全|全都|根本)?(?:不配|没资格|不该|没脸)(?:活|出生|进|呼吸|做人|当人)
+{群}(?:就|都|全|全都|统统)?(?:该|应该|应当).{0,3}(?:死|杀|赶|关|灭绝|消失|枪毙|滚|阉)
+(?:把)?{群}(?:都|全)?(?:赶出|关进|关起|赶走|灭)
+(?:看见|看到|一见|见到){群}.{0,3}(?:恶心|想吐|来气)
 关进笼子
-看得我硬了
-我硬了
-想操
-想艹
-全脱了摸
-脱了摸给我看
-试衣间偷拍
-在试衣间做
-约炮加我
-发点模特的
-发点裸照
-""".strip().split("\n")
+(?:看|搞|弄|撩)得我(?:都)?(?:硬|湿)|我(?:都)?硬了|我湿了
+(?:想|要|好想)(?:操|艹|干|上|日|睡|肏)(?:死)?(?:你|她|他|模|女|这个)
+全?脱(?:光|了|掉).{0,6}(?:摸|给我|镜头|拍|看)
+(?:试衣间|更衣室|厕所|浴室|裙底)(?:偷拍|激情|做爱|做|约|自拍视频)|偷拍(?:视频|照片|裙底|片)
+(?:发|来|给|求|传)(?:我|点|几张|张|些)?.{0,4}(?:裸|果照|私密照|黄图|露点|奶|胸照)
+(?:约|找|求)(?:炮|泡|人睡|一夜)
+"""
+PATTERNS = PATTERNS.strip().split("\n")
 
 # Words that only add up with others.
 MILD = """
@@ -217,20 +200,21 @@ MASKED = {"fuck", "shit"}
 HARMLESS = """
 idiot proof
 idiot checked
-you idiot checked
+cock feather
 cock feathers
 pig leather
 moth vermin
+vermin proof
 dead pixels
 kill switch
 naked seam
 nude shade
 tono nude
-hardcore hikers
+hardcore
 a prueba de idiotas
-was stupid enough
+stupid enough
 son of a bitch of a zip
-性别女
+性别
 """.strip().split("\n")
 
 # Fixed values: (cue, words): phrases after which up to so many words are only named, in rules, reports and lists of removed posts.

@@ -434,3 +434,10 @@ def test_a_cue_ends_with_its_sentence():
     fine = ["Our block list: idiot, moron, bitch and bastard", "Removed 3 posts with the word idiot. The hem is fine.", "屏蔽词：脑残、傻逼、贱人", "No se debe llamar idiota a nadie", "Comments about idiots were removed", "Sperrliste: z. B. Idiot"]
     assert [x for x in bad if not _abusive(x)] == []
     assert [x for x in fine if _abusive(x)] == []
+
+
+def test_general_abuse_and_goods():
+    bad = ["you are such a worthless loser", "i am going to strangle you", "refugees are cockroaches", "i hope you rot", "send me some nudes", "he wants to fuck her", "you niggers", "ihr seid widerlich", "die Flüchtlinge sind Ratten", "eres patético", "te vamos a matar", "难民都是害虫", "你真是垃圾", "see you stupid, ugly pig"]
+    fine = ["this stupid ugly zip is garbage", "you are shipping garbage zips", "the seams are filthy and the hem is disgusting", "are these animals on the print", "you will find your size", "die Nähte sind hässlich", "los botones son basura", "这个拉链真是垃圾", "what a stupid pocket", "will hurt your shoulders", "naked seam, nude shade", "people are happy with it", "they are disgusting to the touch, these cuffs", "those are trash and should be thrown out"]
+    assert [x for x in bad if not _abusive(x)] == []
+    assert [x for x in fine if _abusive(x)] == []
