@@ -90,7 +90,8 @@ def _arrays(batch: pa.RecordBatch):
     stated_cell = np.searchsorted(cell_code, row[said] * big + lab[said])
     at = order[np.searchsorted(code, stated_cell * top + w[said], sorter=order)]
     answer[at] = np.choose(st[said], [OPEN, PRESENT, ABSENT, OPEN])
-    return c_row, c_lab, a_cell, a_who, answer, n_cells
+    named = np.bincount(stated_cell, st[said] & 1, minlength=len(cell_code)) > 0
+    return c_row, c_lab, a_cell, a_who, answer, n_cells, named
 
 
 def _design(batch: pa.RecordBatch, c_row: np.ndarray, c_lab: np.ndarray, n_cells: np.ndarray, n_labels: int) -> np.ndarray:
@@ -108,7 +109,7 @@ def _design(batch: pa.RecordBatch, c_row: np.ndarray, c_lab: np.ndarray, n_cells
 
 
 def _posterior(batch: pa.RecordBatch, modes: np.ndarray, confusion: np.ndarray, weights: np.ndarray):
-    c_row, c_lab, a_cell, a_who, answer, n_cells = _arrays(batch)
+    c_row, c_lab, a_cell, a_who, answer, n_cells, named = _arrays(batch)
     x = _design(batch, c_row, c_lab, n_cells, len(modes))
     z = weights[x].sum(1)
     m = modes[c_lab[a_cell]] if len(a_cell) else np.zeros(0, int)
@@ -122,7 +123,7 @@ def _posterior(batch: pa.RecordBatch, modes: np.ndarray, confusion: np.ndarray,
     silent = np.minimum(silent, 0.98)
     total += np.log1p(-silent[0]) - np.log1p(-silent[1])
     q = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
-    return c_row, c_lab, a_cell, a_who, answer, m, x, z, q, silent
+    return c_row, c_lab, a_cell, a_who, answer, m, x, z, q, silent, named
 
 
 def _round(batches, modes, confusion, weights, n_ann: int):
@@ -133,7 +134,7 @@ def _round(batches, modes, confusion, weights, n_ann: int):
     for batch in batches:
         if not batch.num_rows:
             continue
-        c_row, c_lab, a_cell, a_who, answer, m, x, z, q, silent = _posterior(batch, modes, confusion, weights)
+        c_row, c_lab, a_cell, a_who, answer, m, x, z, q, silent, _ = _posterior(batch, modes, confusion, weights)
         if not len(c_row):
             continue
         at = ((a_who * 2 + m) * 2) * 3 + answer
@@ -191,8 +192,9 @@ def consensus(answers: DataFrame, item: str, annotator: str, lists: dict[str, tu
     ``modes`` maps a label to 0 (presence and absence are stated) or 1 (only
     presence is).  Returns
 
-    * ``labels`` (item, label_idx, n_present, n_absent, n_open, probability):
-      every label that some annotator stated,
+    * ``labels`` (item, label_idx, n_present, n_absent, n_open, probability,
+      named): every label that some annotator stated; ``named`` if one stated
+      its presence, be it one who called it absent too and so is counted as open,
     * ``items`` (item, n_annotators, agreement): the mean over its labels of the
       share of pairs of annotators who agree, NULL for a single annotator,
     * ``annotators`` (annotator, mode, answers, p_present_if_true,
@@ -219,12 +221,12 @@ def consensus(answers: DataFrame, item: str, annotator: str, lists: dict[str, tu
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c_row, c_lab, a_cell, a_who, answer, m, x, z, q, _ = _posterior(batch, mode, model.confusion, model.weights)
+            c_row, c_lab, a_cell, a_who, answer, m, x, z, q, _, named = _posterior(batch, mode, model.confusion, model.weights)
             count = lambda v: pa.array(np.bincount(a_cell[answer == v], minlength=len(c_row)), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c_row)), pa.array(c_lab, pa.int32()), count(PRESENT), count(ABSENT), count(OPEN), pa.array(q)], ["item", "label_idx", "n_present", "n_absent", "n_open", "probability"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c_row)), pa.array(c_lab, pa.int32()), count(PRESENT), count(ABSENT), count(OPEN), pa.array(q), pa.array(named)], ["item", "label_idx", "n_present", "n_absent", "n_open", "probability", "named"])
 
     kind = packed.schema["item"].dataType.simpleString()
-    labels = packed.mapInArrow(score, f"item {kind}, label_idx int, n_present bigint, n_absent bigint, n_open bigint, probability double")
+    labels = packed.mapInArrow(score, f"item {kind}, label_idx int, n_present bigint, n_absent bigint, n_open bigint, probability double, named boolean")
     n = F.col("n_present") + F.col("n_absent") + F.col("n_open")
     same = F.expr("n_present * (n_present - 1) + n_absent * (n_absent - 1) + n_open * (n_open - 1)")
     items = labels.groupBy("item").agg(F.max(n).alias("n_annotators"), F.avg(F.when(n > 1, same / (n * (n - 1)))).alias("agreement"))

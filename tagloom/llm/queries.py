@@ -89,7 +89,7 @@ def _consensus(spark: SparkSession, d: str) -> consensus.Consensus:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _consensus(spark, d).labels.where("n_present > 0 and probability > 0.5").select(F.col("item").alias("item_key"), "label_idx")
+    return _consensus(spark, d).labels.where("named and probability > 0.5").select(F.col("item").alias("item_key"), "label_idx")
 
 
 def p3_agreement(spark: SparkSession, d: str) -> DataFrame:

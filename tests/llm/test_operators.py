@@ -142,6 +142,18 @@ def test_consensus_edges(spark):
     assert none.labels.count() == none.items.count() == none.annotators.count() == 0
 
 
+def test_a_label_that_its_namer_also_denies_is_found(spark, tmp_path):
+    from tagloom.llm import queries
+
+    data = [(f"s:r{i}:0", who, ["a"], ["a"] if who == "c" else []) for i in range(30) for who in "abc"] + [(f"s:z{i}:0", "c", ["a"], ["a"]) for i in range(10)]
+    data += [("s:n:0", "c", [], ["a"])]
+    df = spark.createDataFrame(data, "item_key string, annotator_id string, pn_positive array<string>, pn_negative array<string>").withColumn("pu_positive", F.array().cast("array<string>"))
+    df.write.parquet(f"{tmp_path}/annotation.parquet")
+    spark.createDataFrame([(0, "a", "pn", "x")], "idx int, tag string, mode string, category string").write.parquet(f"{tmp_path}/label_dim.parquet")
+    spark.createDataFrame([], "alias string, tag string").write.parquet(f"{tmp_path}/tag_alias.parquet")
+    assert {r.item_key for r in queries.p3_found(spark, str(tmp_path)).collect()} == {d[0] for d in data} - {"s:n:0"}
+
+
 # 4 --------------------------------------------------------------------------------------------------------------------
 
 
