@@ -413,6 +413,20 @@ def test_mixture_reaches_in_tokens_what_it_reports(spark):
     assert sum(r.reached_ppm for r in rep.values()) == pytest.approx(1e6)
 
 
+@needs_vocabulary
+def test_short_sources_are_taken_from_the_schedule(spark, monkeypatch):
+    from tagloom.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    m = queries._mixture(spark, d)
+    want = {r.source for r in m.report.where("short").collect()}
+    assert {r.source for r in queries.p9_found(spark, d).collect()} == want
+    wrong = m._replace(report=m.report.withColumn("used_tokens", F.lit(0.0)))
+    monkeypatch.setattr(queries, "_mixture", lambda *_: wrong)
+    with pytest.raises(Exception, match="differ"):
+        queries.p9_found(spark, d).collect()
+
+
 # 10 -------------------------------------------------------------------------------------------------------------------
 
 BAD = ["What an idiot you are", "you m0r0n", "WHAT A B i t c h", "such an i*iot", "you іdіоt!", "bitccch", "i​d​i​o​t", "𝓲𝓭𝓲𝓸𝓽", "go to hell!!", "写这个的人是脑.残吧", "滚 蛋", "今晚约pao加我", "du Arschloch", "eres un imbécil", "you d-u-m-b-a-s-s"]
