@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,21 +58,27 @@ def signature(members: Column, prefix: str, digits: int) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.array_join(F.sort_array(members), "\n"), 256), 1, digits))
 
 
-def band(h: Column, i: int, bits: int = 16) -> Column:
-    return F.shiftrightunsigned(h, bits * i).bitwiseAND(F.lit((1 << bits) - 1))
+def band_keys(h: Column, k: int, bands: int) -> Column:
+    """One 64-bit key per choice of ``bands - k`` bands: the bits of these bands, the others 0."""
+    width = 64 // bands
+    keys = []
+    for kept in itertools.combinations(range(bands), bands - k):
+        mask = sum(((1 << width) - 1) << (width * i) for i in kept)
+        keys.append(h.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+    return F.array(*keys)
 
 
 def near_pairs(values: DataFrame, h: str, k: int = 2, bands: int = 4) -> DataFrame:
     """(h_a, h_b, distance), h_a < h_b: different 64-bit values within ``k`` < ``bands`` bits.
 
-    With at most k flipped bits one of more than k bands is equal, so bands are
-    joined for equality and candidates verified before the distinct.
+    With at most k flipped bits at least ``bands - k`` bands are equal, so values
+    are joined on every choice of so many bands (of 4 bands and k = 2: six keys
+    of 32 bits each) and candidates verified before the distinct.
     """
-    if k >= bands:
-        raise ValueError("needs more bands than differing bits")
+    if k >= bands or 64 % bands:
+        raise ValueError("needs more bands than differing bits, of equal width")
     v = values.select(F.col(h).alias("h")).where("h is not null").distinct()
-    width = 64 // bands
-    cut = v.select("h", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), band(F.col("h"), i, width).alias("b")) for i in range(bands)])).alias("x")).select("h", "x.i", "x.b")
+    cut = v.select("h", F.posexplode(band_keys(F.col("h"), k, bands)).alias("i", "b"))
     a, b = cut.withColumnRenamed("h", "h_a"), cut.withColumnRenamed("h", "h_b")
     d = hamming64(F.col("h_a"), F.col("h_b"))
     return a.join(b, ["i", "b"]).where((F.col("h_a") < F.col("h_b")) & (d <= k)).select("h_a", "h_b", d.alias("distance")).distinct()

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tagloom.operators.ranked import values_at, wide_bucket
+
 
 def micros(ts: Column) -> Column:
     """Microseconds of an instant, with or without a zone (then UTC by the session)."""
@@ -108,4 +110,7 @@ def prefix_rollup(paths: DataFrame, path: str, value: str, bundles: DataFrame, b
 def step_timing(steps: DataFrame, order: str, seconds: str, skip: int = 2) -> DataFrame:
     """Mean without the first steps, the nearest-rank 95th percentile and the number of steps."""
     kept = steps.where(F.col(order) >= skip)
-    return kept.agg(F.count("*").alias("steps"), F.avg(seconds).alias("mean_seconds"), F.expr(f"percentile_disc(0.95) within group (order by {seconds})").alias("p95_seconds"))
+    mean = kept.agg(F.count("*").alias("steps"), F.avg(seconds).alias("mean_seconds"))
+    pts = kept.where(F.col(seconds).isNotNull()).groupBy(F.lit(1).alias("_g"), F.col(seconds).cast("double").alias("_s")).agg(F.count("*").alias("_n"))
+    rank = values_at(pts, ["_g"], "_s", "_n", {"p95_seconds": F.ceil(F.col("total") * F.lit(0.95)) - 1}, wide_bucket(F.col("_s")))
+    return mean.join(rank.select("p95_seconds"), F.lit(True), "left")  # one row each

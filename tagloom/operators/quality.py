@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.metrics import from_counts, ratio
-from tagloom.operators.ranked import count_if, totals_at_or_above
+from tagloom.operators.ranked import count_if, totals_at_or_above, unit_bucket, values_at
 
 
 def confusion(cells: DataFrame, by: list[str], flag: str = "raw") -> DataFrame:
@@ -62,11 +62,14 @@ def concordance(cells: DataFrame) -> DataFrame:
 
 def pu_quantiles(cells: DataFrame, at: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
     """Score quantiles of both sides per PU label, interpolated; NULL for an empty side."""
-    qs = F.array(*map(F.lit, at))
-    s = _sides(cells)
-    side = lambda x: F.percentile(F.when(F.col("side") == x, F.col("score")), qs)
-    per = s.groupBy("label_idx", "tag").agg(side("p").alias("p"), side("u").alias("u"))
-    return per.select("label_idx", "tag", *[F.col(x)[i].alias(f"{n}_p{round(q * 100)}") for x, n in (("p", "positive"), ("u", "unlabeled")) for i, q in enumerate(at)])
+    pts = _sides(cells).groupBy("label_idx", "tag", "side", "score").agg(F.count("*").alias("n"))
+    place = lambda q: (F.col("total") - 1) * F.lit(q)
+    ends = {f"{e}{i}": f(place(q)) for i, q in enumerate(at) for e, f in (("lo", F.floor), ("hi", F.ceil))}
+    per = values_at(pts, ["label_idx", "tag", "side"], "score", "n", ends)
+    cut = lambda i, q: F.col(f"lo{i}") + (place(q) - F.floor(place(q))) * (F.col(f"hi{i}") - F.col(f"lo{i}"))
+    cuts = per.select("label_idx", "tag", "side", *[cut(i, q).alias(f"q{i}") for i, q in enumerate(at)])
+    one = lambda x, i: F.max(F.when(F.col("side") == x, F.col(f"q{i}")))
+    return cuts.groupBy("label_idx", "tag").agg(*[one(x, i).alias(f"{n}_p{round(q * 100)}") for x, n in (("p", "positive"), ("u", "unlabeled")) for i, q in enumerate(at)])
 
 
 def pu_by_label(viewed: DataFrame, flag: str = "final") -> DataFrame:
@@ -129,7 +132,7 @@ def masked_bce(cells: DataFrame, logit: Column, weight: Column | None = None) ->
     return per.agg(F.count("*").alias("active_records"), F.coalesce(F.avg("loss"), F.lit(0.0)).alias("loss"))
 
 
-def pairwise_hinge(cells: DataFrame, margin: float = 1.0, buckets: int = 512) -> DataFrame:
+def pairwise_hinge(cells: DataFrame, margin: float = 1.0) -> DataFrame:
     """Per PU label the mean of max(0, margin - p + u) over all pairs of a positive and an unlabelled score.
 
     Needs no pairs: for a positive p the unlabelled with u > p - margin count
@@ -139,7 +142,7 @@ def pairwise_hinge(cells: DataFrame, margin: float = 1.0, buckets: int = 512) ->
     p = s.where("side = 'p'").select("label_idx", "tag", (F.col("score") - margin).alias("x"), F.lit(1).alias("np"), F.lit(0).alias("nu"), F.lit(0.0).alias("su"))
     u = s.where("side = 'u'").select("label_idx", "tag", F.col("score").alias("x"), F.lit(0).alias("np"), F.lit(1).alias("nu"), F.col("score").alias("su"))
     pts = p.unionByName(u).groupBy("label_idx", "tag", "x").agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"), F.sum("su").alias("su"))
-    t = totals_at_or_above(pts, ["label_idx", "tag"], "x", ["np", "nu", "su"], buckets)
+    t = totals_at_or_above(pts, ["label_idx", "tag"], "x", ["np", "nu", "su"], unit_bucket(F.col("x"), 1024, min(0.0, -margin), 1.0))
     # an unlabelled score equal to p - margin adds nothing, so counting it does no harm
     total = F.sum(F.col("np") * (F.col("ge_su") - F.col("x") * F.col("ge_nu")))
     per = t.groupBy("label_idx", "tag").agg(total.alias("total"), F.max("all_np").alias("n_p"), F.max("all_nu").alias("n_u"))

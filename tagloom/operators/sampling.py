@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import itertools
-import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tagloom.schema import canonical_sha256
+from tagloom.operators.ranked import spread_rank
+from tagloom.session import Scratch
 
-
-#: Records that the sequential schedule takes.
-MAX_SCHEDULED = 5_000_000
+#: Labels of the balanced stream, a dimension.
+MAX_LABELS = 4096
 
 
 def hash_key(seed: int, key: str) -> Column:
@@ -70,59 +69,108 @@ def representatives(rows: DataFrame, key: str, outcome: str, bucket: str, order:
     return few.withColumn("pick", rank).where(F.col("pick") <= quota).drop("_h", "_r")
 
 
-def two_stream_schedule(n_records: int, candidates: Mapping[int, Mapping[int, float]], world: int, uniform: int, balanced: int, seed: int) -> tuple[list[tuple], dict]:
-    """Rows (global_batch, slot, record_index, stream, balanced_label_index, padding, fallback) and a summary with the schedule's hash.
+class Schedule(NamedTuple):
+    rows: DataFrame
+    batches: int
+
+
+def _places(rows: DataFrame, group: list[str], key: str, seed: int) -> DataFrame:
+    """0-based place ``at`` of every row in a seeded permutation of its group, and the group's ``size``."""
+    ranked = spread_rank(rows, group, [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], "at", out_total="size")
+    return ranked.withColumn("at", F.col("at") - 1)
+
+
+def two_stream_schedule(records: DataFrame, candidates: DataFrame, world: int, uniform: int, balanced: int, seed: int, scratch: Scratch | None = None) -> Schedule:
+    """(global_batch, slot, record_index, stream, balanced_label_index, padding, fallback) for ``world`` ranks.
 
-    Every record is drawn once by the uniform stream, in shuffled order, with
-    cyclic padding at the end; the balanced stream goes round the labels and
-    draws a candidate by weight that its batch has not used, else any unused
-    record as a fallback.  Sequential by nature: runs on the driver.
+    ``records`` (record_index), each once; ``candidates`` (label, record_index,
+    weight > 0), labels as INT.
+
+    The uniform stream has every record once, by its place in a seeded
+    permutation; the last batch is filled up with the permutation's first
+    records (padding).  The balanced stream goes round the labels.  A label's
+    turns are shared out among its candidates in proportion to their weights, by
+    systematic sampling along a permutation of theirs, and shuffled.  A record
+    that its batch has already gives way to the next candidate of the label;
+    if a label has no candidate left for a batch, its slot takes any record that
+    the batch lacks (fallback, without a label).  In a batch each rank has its
+    uniform slots, then its balanced ones.
+
+    Everything is done by joins on (batch, record) and on (label, place); a
+    round of them settles all slots whose proposal is free.
     """
-    if n_records < world * (uniform + balanced):
-        raise ValueError("the records must fill one batch")
-    if n_records > MAX_SCHEDULED:
-        raise ValueError(f"more than {MAX_SCHEDULED} records")
-    known = {k: (list(c), list(itertools.accumulate(c.values()))) for k, c in candidates.items() if c}
+    spark = records.sparkSession
+    scratch = scratch or Scratch(spark, "schedule")
     per_u, per_b = world * uniform, world * balanced
-    order = list(range(n_records))
-    random.Random(seed).shuffle(order)
-    rng = random.Random(seed ^ 0x5EED)
-    labels, turn, out = sorted(known), 0, []
-    pads = falls = 0
-    for batch, start in enumerate(range(0, n_records, per_u)):
-        real = order[start : start + per_u]
-        used, uni = set(real), [(i, "uniform", None, False, False) for i in real]
-        for i in order:
-            if len(uni) >= per_u:
-                break
-            if i not in used:
-                uni.append((i, "uniform", None, True, False))
-                used.add(i)
-                pads += 1
-        bal = []
-        for _ in range(per_b):
-            label = labels[turn % len(labels)] if labels else None
-            turn += 1
-            pick, fell = None, False
-            if label is not None:
-                ids, cum = known[label]
-                for _try in range(max(8, 2 * len(ids))):
-                    i = rng.choices(ids, cum_weights=cum)[0]
-                    if i not in used:
-                        pick = i
-                        break
-                else:
-                    free = [i for i in ids if i not in used]
-                    pick = max(free, key=candidates[label].get) if free else None
-            if pick is None:
-                rest = [i for i in range(n_records) if i not in used] or list(range(n_records))
-                pick, fell = rest[rng.randrange(len(rest))], True
-                falls += 1
-            used.add(pick)
-            bal.append((pick, "balanced", None if fell else label, False, fell))
-        rows = [x for r in range(world) for x in (*uni[r * uniform : (r + 1) * uniform], *bal[r * balanced : (r + 1) * balanced])]
-        out += [(batch, slot, *x) for slot, x in enumerate(rows)]
-    return out, {"batches": len(out) // (per_u + per_b), "padding": pads, "fallback": falls, "schedule_sha256": canonical_sha256([list(x) for x in out])}
+    n = records.count()
+    if n < per_u + per_b:
+        raise ValueError("the records must fill one batch")
+    batches = -(-n // per_u)
+    placed = scratch.keep(_places(records.select("record_index"), [], "record_index", seed).select("record_index", "at"), "permutation")
+    pads = batches * per_u - n
+    uni = placed.select("record_index", F.expr(f"at div {per_u}").alias("batch"), F.pmod("at", F.lit(per_u)).alias("i"), F.lit(False).alias("padding"))
+    pad = placed.where(F.col("at") < pads).select("record_index", F.lit(batches - 1).cast("bigint").alias("batch"), (F.col("at") + per_u - pads).alias("i"), F.lit(True).alias("padding"))
+    uni = uni.unionByName(pad)
+
+    # turns: every label draws as often as the round of labels comes to it
+    labels = [r[0] for r in candidates.where("weight > 0").select("label").distinct().orderBy("label").limit(MAX_LABELS + 1).collect()]
+    if len(labels) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    slots = batches * per_b
+    every = placed.select(F.lit(None).cast("int").alias("label"), "at", "record_index")
+    if labels:
+        known = candidates.where("weight > 0").select(F.col("label").cast("int").alias("label"), "record_index", F.col("weight").cast("double").alias("weight"))
+        known = scratch.keep(_places(known, ["label"], "record_index", seed + 1), "candidates")
+        turns = spark.createDataFrame([(j, i, (slots - i + len(labels) - 1) // len(labels)) for i, j in enumerate(labels)], "label int, i int, turns bigint")
+        line = spread_rank(known, ["label"], [F.xxhash64(F.lit(seed + 1), F.col("record_index")), F.col("record_index")], "before", weight=F.col("weight"), out_total="whole")
+        line = line.join(F.broadcast(turns), "label")  # one row per label
+        # the point that opens a candidate's stretch; the turns in it are his, the last stretch ends with the line
+        point = lambda x: F.least(F.col("turns"), F.ceil(x / F.col("whole") * F.col("turns") - 0.5)).cast("bigint")
+        opens = point(F.col("before"))
+        closes = F.when(F.col("at") == F.col("size") - 1, F.col("turns")).otherwise(point(F.col("before") + F.col("weight")))
+        drawn = line.withColumn("opens", opens).withColumn("closes", closes).where("closes > opens").select("label", "i", "at", "size", F.explode(F.sequence(F.col("opens"), F.col("closes") - 1)).alias("draw"))
+        drawn = spread_rank(drawn, ["label"], [F.xxhash64(F.lit(seed + 2), F.col("label"), F.col("draw")), F.col("draw")], "turn")
+        open_ = drawn.select("label", "at", "size", ((F.col("turn") - 1) * len(labels) + F.col("i")).alias("j"), F.lit(0).alias("tries"))
+        pool = scratch.keep(known.select("label", "at", "record_index").unionByName(every), "pool")
+    else:
+        open_ = spark.range(slots).select(F.lit(None).cast("int").alias("label"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("at"), F.lit(n).cast("bigint").alias("size"), F.col("id").alias("j"), F.lit(0).alias("tries"))
+        pool = every
+    open_ = scratch.keep(open_.withColumn("batch", F.expr(f"j div {per_b}")), "open")
+    taken = uni.select("batch", "record_index")
+    settled: list[DataFrame] = []
+    while not open_.isEmpty():
+        proposal = open_.join(pool, open_["label"].eqNullSafe(pool["label"]) & (open_["at"] == pool["at"])).select(open_["*"], "record_index")
+        free = proposal.join(taken, ["batch", "record_index"], "left_anti")
+        # of several slots of a batch that propose one record the first has it
+        won = scratch.keep(free.groupBy("batch", "record_index").agg(F.min(F.struct("j", "label")).alias("w")).select("batch", "record_index", F.col("w.j").alias("j"), F.col("w.label").alias("label")), "settled")
+        settled.append(won)
+        taken = taken.unionByName(won.select("batch", "record_index"))
+        rest = open_.join(won.select("j"), "j", "left_anti")
+        spent = F.col("tries") + 1 >= F.col("size")
+        nxt = rest.select(
+            F.when(~spent, F.col("label")).alias("label"),
+            F.when(spent, F.pmod(F.xxhash64(F.lit(seed + 3), "j"), F.lit(n))).otherwise((F.col("at") + 1) % F.col("size")).alias("at"),
+            F.when(spent, F.lit(n).cast("bigint")).otherwise(F.col("size")).alias("size"), "j",
+            F.when(spent, 0).otherwise(F.col("tries") + 1).alias("tries"), "batch",
+        )
+        nxt = scratch.keep(nxt, "open")
+        scratch.drop(open_)
+        open_ = nxt
+    bal = settled[0]
+    for s in settled[1:]:
+        bal = bal.unionByName(s)
+    width = uniform + balanced
+    slot = lambda i, per, first: (F.expr(f"{i} div {per}") * width + F.pmod(F.col(i), F.lit(per)) + first).cast("int").alias("slot")
+    a = uni.select(F.col("batch").cast("int").alias("global_batch"), slot("i", uniform, 0), "record_index", F.lit("uniform").alias("stream"), F.lit(None).cast("int").alias("balanced_label_index"), "padding", F.lit(False).alias("fallback"))
+    b = bal.withColumn("i", F.pmod("j", F.lit(per_b))).select(F.col("batch").cast("int").alias("global_batch"), slot("i", balanced, uniform), "record_index", F.lit("balanced").alias("stream"), F.col("label").alias("balanced_label_index"), F.lit(False).alias("padding"), F.col("label").isNull().alias("fallback"))
+    return Schedule(a.unionByName(b), batches)
+
+
+def schedule_digest(rows: DataFrame) -> DataFrame:
+    """(slots, digest): a SHA-256 of the sums of two 64-bit hashes of the rows, which hold their places themselves; needs no order."""
+    cols = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ("global_batch", "slot", "record_index", "stream", "balanced_label_index", "padding", "fallback")]
+    total = lambda salt: F.coalesce(F.sum(F.xxhash64(F.lit(salt), *cols).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string")
+    return rows.agg(F.count("*").alias("slots"), F.sha2(F.concat_ws(":", total("a"), total("b"), F.count("*").cast("string")), 256).alias("digest"))
 
 
 def rank_slots(schedule: DataFrame, rank: int, per_rank: int, start_batch: int = 0) -> DataFrame:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tagloom.functions import normalize as N
 from tagloom.operators import audit, cells, contracts, identity, quality, resolve, sampling, splits
-from tagloom.session import Scratch, scratch_dir, table
+from tagloom.session import Scratch, table
 from tagloom.sources import readers, writers
 
 Q: dict = {}
@@ -28,17 +25,17 @@ def query(sql: str | None = None):
     return add
 
 
-_WS = "'" + N.WHITE_SPACE + "'"
-_LK = f"lk AS (SELECT trim(tag, {_WS}) AS t, idx FROM label_dim UNION SELECT trim(a.alias, {_WS}), l.idx FROM tag_alias a JOIN label_dim l ON trim(a.tag, {_WS}) = l.tag)"
+WS = "'" + N.WHITE_SPACE + "'"
+LK = f"lk AS (SELECT trim(tag, {WS}) AS t, idx FROM label_dim UNION SELECT trim(a.alias, {WS}), l.idx FROM tag_alias a JOIN label_dim l ON trim(a.tag, {WS}) = l.tag)"
 _STAND = ", ".join(f"'{s}'" for s in N.STAND_INS)
-_NULLED = lambda c: f"CASE WHEN lower(trim({c}, {_WS})) IN ({_STAND}) THEN NULL ELSE trim({c}, {_WS}) END"
-_SHA = rf"CASE WHEN regexp_full_match(regexp_replace(lower(trim(sha256, {_WS})), '^sha256:', ''), '[0-9a-f]{{64}}') THEN regexp_replace(lower(trim(sha256, {_WS})), '^sha256:', '') END"
-_PH0 = f"regexp_replace(lower(trim(phash64, {_WS})), '^0x', '')"
+_NULLED = lambda c: f"CASE WHEN lower(trim({c}, {WS})) IN ({_STAND}) THEN NULL ELSE trim({c}, {WS}) END"
+_SHA = rf"CASE WHEN regexp_full_match(regexp_replace(lower(trim(sha256, {WS})), '^sha256:', ''), '[0-9a-f]{{64}}') THEN regexp_replace(lower(trim(sha256, {WS})), '^sha256:', '') END"
+_PH0 = f"regexp_replace(lower(trim(phash64, {WS})), '^0x', '')"
 _PH = f"CASE WHEN regexp_full_match({_PH0}, '[0-9a-f]{{1,16}}') THEN lpad({_PH0}, 16, '0') END"
 _REC0 = f"upper({_NULLED('record_id')})"
 _REC = rf"CASE WHEN regexp_full_match({_REC0}, '[A-Z]+[\s_\-]*[0-9]+') THEN regexp_replace({_REC0}, '^([A-Z]+)[\s_\-]*0*([0-9]+)$', '\1-\2') ELSE {_REC0} END"
 _PATH = rf"regexp_replace(regexp_replace(regexp_replace(split_part(replace(regexp_replace({_NULLED('image_path')}, '%2[fF]', '/', 'g'), '\', '/'), '?', 1), '/+', '/', 'g'), '^\./', ''), '[^/]+/\.\./', '')"
-_NORM = f"norm AS (SELECT DISTINCT key, source, split, captured_at, {_SHA} AS sha, {_PH} AS ph, {_REC} AS rec, {_PATH} AS path FROM evidence)"
+NORM = f"norm AS (SELECT DISTINCT key, source, split, captured_at, {_SHA} AS sha, {_PH} AS ph, {_REC} AS rec, {_PATH} AS path FROM evidence)"
 
 
 def _norm(spark: SparkSession, d: str) -> DataFrame:
@@ -55,12 +52,12 @@ def _lists(spark: SparkSession, d: str) -> dict:
     return {c: N.label_indices(F.col(c), lk) for c in ("pn_positive", "pu_positive", "pn_negative")}
 
 
-@query(f"WITH {_NORM} SELECT key, sha, ph, rec, path FROM norm")
+@query(f"WITH {NORM} SELECT key, sha, ph, rec, path FROM norm")
 def evidence_normal_forms(spark: SparkSession, d: str) -> DataFrame:
     return _norm(spark, d).distinct().select("key", "sha", "ph", "rec", "path")
 
 
-_TAGS = f"{_LK}, tags AS (" + " UNION ".join(f"SELECT key, '{c}' AS list, idx FROM (SELECT DISTINCT key, trim(unnest({c}), {_WS}) AS t FROM evidence) JOIN lk USING (t)" for c in ("pn_positive", "pu_positive", "pn_negative")) + ")"
+_TAGS = f"{LK}, tags AS (" + " UNION ".join(f"SELECT key, '{c}' AS list, idx FROM (SELECT DISTINCT key, trim(unnest({c}), {WS}) AS t FROM evidence) JOIN lk USING (t)" for c in ("pn_positive", "pu_positive", "pn_negative")) + ")"
 
 
 @query(f"WITH {_TAGS} SELECT list, idx AS label_idx, count(*) AS n_keys FROM tags GROUP BY 1, 2")
@@ -93,7 +90,7 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
     return contracts.duplicates(table(spark, d, "evidence"), ["key"])
 
 
-_CLOSURE = f"""WITH RECURSIVE {_NORM}, k AS (SELECT DISTINCT key, sha, ph FROM norm), e AS (
+_CLOSURE = f"""WITH RECURSIVE {NORM}, k AS (SELECT DISTINCT key, sha, ph FROM norm), e AS (
   SELECT key AS b, min(key) OVER (PARTITION BY sha) AS a FROM k WHERE sha IS NOT NULL UNION SELECT key, min(key) OVER (PARTITION BY ph) FROM k WHERE ph IS NOT NULL),
  e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
  r AS (SELECT DISTINCT key AS v, key AS w FROM k UNION SELECT r.v, e2.b FROM r JOIN e2 ON r.w = e2.a) SELECT v AS key, min(w) AS group_key FROM r GROUP BY 1"""
@@ -114,26 +111,26 @@ _PAIRS = f"""p AS (SELECT DISTINCT ph, CAST('0x' || substr(ph, 1, 8) AS BIGINT)
  pr AS (SELECT a.ph AS ph_a, b.ph AS ph_b, bit_count(xor(a.h, b.h)) + bit_count(xor(a.l, b.l)) AS distance FROM p a JOIN p b ON a.ph < b.ph WHERE bit_count(xor(a.h, b.h)) + bit_count(xor(a.l, b.l)) <= 2)"""
 
 
-@query(f"WITH {_NORM}, {_PAIRS} SELECT ph_a, ph_b, CAST(distance AS INT) AS distance FROM pr")
+@query(f"WITH {NORM}, {_PAIRS} SELECT ph_a, ph_b, CAST(distance AS INT) AS distance FROM pr")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = identity.near_pairs(_norm(spark, d).select(N.hex_to_long(F.col("ph")).alias("h")), "h", 2)
     text = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return p.select(F.least(text("h_a"), text("h_b")).alias("ph_a"), F.greatest(text("h_a"), text("h_b")).alias("ph_b"), "distance")
 
 
-@query(f"""WITH RECURSIVE {_NORM}, {_PAIRS}, e2 AS (SELECT ph_a AS a, ph_b AS b FROM pr UNION SELECT ph_b, ph_a FROM pr), r AS (SELECT ph AS v, ph AS w FROM p UNION SELECT r.v, e2.b FROM r JOIN e2 ON r.w = e2.a),
+@query(f"""WITH RECURSIVE {NORM}, {_PAIRS}, e2 AS (SELECT ph_a AS a, ph_b AS b FROM pr UNION SELECT ph_b, ph_a FROM pr), r AS (SELECT ph AS v, ph AS w FROM p UNION SELECT r.v, e2.b FROM r JOIN e2 ON r.w = e2.a),
  k AS (SELECT DISTINCT key, ph FROM norm), m AS (SELECT v, min(k.key) AS component FROM r JOIN k ON k.ph = r.w GROUP BY 1) SELECT k.key, coalesce(m.component, k.key) AS component FROM k LEFT JOIN m ON m.v = k.ph""")
 def near_dup_components(spark: SparkSession, d: str) -> DataFrame:
     rows = _norm(spark, d).select("key", N.hex_to_long(F.col("ph")).alias("h")).distinct()
     return identity.near_components(rows, "key", "h", 2)
 
 
-@query(f"""WITH {_NORM}, l AS (SELECT 'sha' AS kind, sha AS value, split FROM norm WHERE sha IS NOT NULL UNION SELECT 'ph', ph, split FROM norm WHERE ph IS NOT NULL) SELECT kind, value, string_agg(split, ',' ORDER BY split) AS splits FROM (SELECT DISTINCT * FROM l WHERE split IS NOT NULL) GROUP BY 1, 2 HAVING count(*) > 1""")
+@query(f"""WITH {NORM}, l AS (SELECT 'sha' AS kind, sha AS value, split FROM norm WHERE sha IS NOT NULL UNION SELECT 'ph', ph, split FROM norm WHERE ph IS NOT NULL) SELECT kind, value, string_agg(split, ',' ORDER BY split) AS splits FROM (SELECT DISTINCT * FROM l WHERE split IS NOT NULL) GROUP BY 1, 2 HAVING count(*) > 1""")
 def leakage_report(spark: SparkSession, d: str) -> DataFrame:
     return identity.leakage(_norm(spark, d), "split", {"sha": F.col("sha"), "ph": F.col("ph")}).withColumn("splits", F.array_join("splits", ","))
 
 
-_CLAIMS = f"{_NORM}, {_TAGS}, cl AS (SELECT sha AS g, idx, max(CAST(list = 'pn_positive' AS INT)) AS pp, max(CAST(list = 'pu_positive' AS INT)) AS up, max(CAST(list = 'pn_negative' AS INT)) AS ng FROM (SELECT DISTINCT key, sha FROM norm WHERE sha IS NOT NULL) JOIN tags USING (key) GROUP BY 1, 2)"
+_CLAIMS = f"{NORM}, {_TAGS}, cl AS (SELECT sha AS g, idx, max(CAST(list = 'pn_positive' AS INT)) AS pp, max(CAST(list = 'pu_positive' AS INT)) AS up, max(CAST(list = 'pn_negative' AS INT)) AS ng FROM (SELECT DISTINCT key, sha FROM norm WHERE sha IS NOT NULL) JOIN tags USING (key) GROUP BY 1, 2)"
 _BAD = "bad AS (SELECT g, excl_group, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS detail FROM cl JOIN label_dim USING (idx) WHERE excl_group IS NOT NULL AND (pp = 1 OR up = 1) GROUP BY 1, 2 HAVING count(*) >= 2)"
 _OK = "ok AS (SELECT cl.*, mode, excl_group FROM cl JOIN label_dim USING (idx) WHERE mode <> 'unsupported' AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.g = cl.g AND bad.excl_group = label_dim.excl_group))"
 _ST = "s AS (SELECT g, idx, CAST(pp = 1 OR up = 1 AS INT) AS label, CAST(pp = 1 OR (up = 0 AND ng = 1) AS INT) AS known, CAST(pp = 0 AND up = 1 AS INT) AS pu FROM ok)"
@@ -179,7 +176,7 @@ def conflict_notes(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve(cl, "g", dim, rules)[1]
 
 
-@query(f"WITH {_NORM} SELECT sha, key, rec, path FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY coalesce(trust_rank, 999), coalesce(rec, ''), coalesce(path, ''), key) AS r FROM norm LEFT JOIN evidence_source USING (source) WHERE sha IS NOT NULL) WHERE r = 1")
+@query(f"WITH {NORM} SELECT sha, key, rec, path FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY coalesce(trust_rank, 999), coalesce(rec, ''), coalesce(path, ''), key) AS r FROM norm LEFT JOIN evidence_source USING (source) WHERE sha IS NOT NULL) WHERE r = 1")
 def representative_rows(spark: SparkSession, d: str) -> DataFrame:
     rank = F.broadcast(table(spark, d, "evidence_source").select("source", "trust_rank"))
     rows = _norm(spark, d).where("sha is not null").join(rank, "source", "left")
@@ -187,7 +184,7 @@ def representative_rows(spark: SparkSession, d: str) -> DataFrame:
     return resolve.representative(rows, "sha", ["a", "b", "c", "key"], ["key", "rec", "path"]).select("sha", "key", "rec", "path")
 
 
-@query(f"WITH {_NORM}, k AS (SELECT DISTINCT key, source, sha FROM norm WHERE sha IS NOT NULL AND source IS NOT NULL), p AS (SELECT sha, source, count(*) AS n FROM k GROUP BY 1, 2) SELECT sha, string_agg(source, '+' ORDER BY source) AS sources, sum(n)::BIGINT AS binding_count FROM p GROUP BY 1")
+@query(f"WITH {NORM}, k AS (SELECT DISTINCT key, source, sha FROM norm WHERE sha IS NOT NULL AND source IS NOT NULL), p AS (SELECT sha, source, count(*) AS n FROM k GROUP BY 1, 2) SELECT sha, string_agg(source, '+' ORDER BY source) AS sources, sum(n)::BIGINT AS binding_count FROM p GROUP BY 1")
 def group_sources(spark: SparkSession, d: str) -> DataFrame:
     k = _norm(spark, d).select("key", "source", "sha").where("sha is not null and source is not null").distinct()
     return resolve.group_summary(k, "sha", "source", "key").select("sha", F.array_join("sources", "+").alias("sources"), "binding_count")
@@ -225,7 +222,7 @@ def positional_mismatches(spark: SparkSession, d: str) -> DataFrame:
     return audit.ordered_match(m, b, "position", "o_orderkey")
 
 
-_SLOTS = f"slots AS (SELECT DISTINCT global_batch, slot, record_index, lower(trim(stream, {_WS})) AS stream, balanced_label_index, padding, fallback FROM sample_reference)"
+_SLOTS = f"slots AS (SELECT DISTINCT global_batch, slot, record_index, lower(trim(stream, {WS})) AS stream, balanced_label_index, padding, fallback FROM sample_reference)"
 
 
 def _slots(spark: SparkSession, d: str) -> DataFrame:
@@ -254,51 +251,93 @@ def rank_slots(spark: SparkSession, d: str) -> DataFrame:
     return sampling.rank_slots(_slots(spark, d), 3, 8, 5).select("global_batch", "slot", "record_index")
 
 
-@query()
-def component_split(spark: SparkSession, d: str) -> DataFrame:
-    """Near-duplicate components to splits; one row per component."""
+def _component_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(key, component, labels): near-duplicate components with the labels of their keys."""
     rows = _norm(spark, d).select("key", N.hex_to_long(F.col("ph")).alias("h")).distinct()
     comp = identity.near_components(rows, "key", "h", 2)
-    lab = table(spark, d, "evidence").select("key", _lists(spark, d)["pn_positive"].alias("labels")).dropDuplicates(["key"])
-    return splits.split_components(comp.join(lab, "key"), "component", "labels", {"train": 0.8, "val": 0.1, "test": 0.1}, 7)
+    lab = table(spark, d, "evidence").groupBy("key").agg(F.min(_lists(spark, d)["pn_positive"]).alias("labels"))  # copies of a row have the same
+    return Scratch(spark, "split").keep(comp.join(lab, "key"))
+
 
+_COMP = f"""{NORM}, {_PAIRS}, e2 AS (SELECT ph_a AS a, ph_b AS b FROM pr UNION SELECT ph_b, ph_a FROM pr), r AS (SELECT ph AS v, ph AS w FROM p UNION SELECT r.v, e2.b FROM r JOIN e2 ON r.w = e2.a),
+ k AS (SELECT DISTINCT key, ph FROM norm), m AS (SELECT v, min(k.key) AS component FROM r JOIN k ON k.ph = r.w GROUP BY 1), co AS (SELECT k.key, coalesce(m.component, k.key) AS component FROM k LEFT JOIN m ON m.v = k.ph)"""
+SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
 
-@query("SELECT split, within FROM (VALUES ('train', true), ('val', true), ('test', true)) v(split, within)")
+
+@query(f"WITH RECURSIVE {_COMP} SELECT component, true AS placed_once FROM co GROUP BY 1")
+def component_split(spark: SparkSession, d: str) -> DataFrame:
+    """Components and whether each has exactly one of the splits."""
+    plan = splits.split_components(_component_rows(spark, d), "component", "labels", SHARES, 7)
+    return plan.groupBy("component").agg((F.count_if(F.col("split").isin(*SHARES)) == 1).alias("placed_once"))
+
+
+@query(f"""WITH RECURSIVE {_COMP}, n AS (SELECT count(*) AS n, max(c) AS largest FROM (SELECT component, count(*) AS c FROM co GROUP BY 1)), v(split, share) AS (VALUES ('train', 0.8), ('val', 0.1), ('test', 0.1)), t AS (SELECT count(*) AS n FROM co)
+ SELECT split, t.n AS rows, greatest(ceil(t.n * 0.02), n.largest)::BIGINT AS tolerance, true AS within FROM v, n, t""")
 def split_ratio_check(spark: SparkSession, d: str) -> DataFrame:
-    """Are the shares of the component split within two per cent of all rows?"""
-    rows = _norm(spark, d).select("key", N.hex_to_long(F.col("ph")).alias("h")).distinct()
-    comp = Scratch(spark, "split").keep(identity.near_components(rows, "key", "h", 2))
-    lab = table(spark, d, "evidence").select("key", _lists(spark, d)["pn_positive"].alias("labels")).dropDuplicates(["key"])
-    plan = splits.split_components(comp.join(lab, "key"), "component", "labels", {"train": 0.8, "val": 0.1, "test": 0.1}, 7)
-    n = comp.join(plan, "component").groupBy("split").agg(F.count("*").alias("n"))
-    want = F.when(F.col("split") == "train", 0.8).otherwise(0.1)
-    whole = F.sum("n").over(Window.partitionBy())  # three rows, one per split
-    return n.select("split", (F.abs(F.col("n") - want * whole) <= F.greatest(F.ceil(whole * 0.02), F.lit(1))).alias("within"))
+    """Rows and tolerance of the component split, and whether each split is within it."""
+    rows = _component_rows(spark, d)
+    plan = splits.split_components(rows, "component", "labels", SHARES, 7)
+    per = rows.groupBy("component").agg(F.count("*").alias("c")).join(plan, "component").groupBy("split").agg(F.sum("c").alias("n"), F.max("c").alias("largest"))
+    want = F.element_at(F.create_map(*[F.lit(x) for s, v in SHARES.items() for x in (s, v)]), F.col("split"))
+    whole = Window.partitionBy()  # three rows, one per split
+    t = per.withColumn("rows", F.sum("n").over(whole)).withColumn("tolerance", F.greatest(F.ceil(F.col("rows") * 0.02), F.max("largest").over(whole)))
+    return t.select("split", "rows", "tolerance", (F.abs(F.col("n") - want * F.col("rows")) <= F.col("tolerance")).alias("within"))
+
 
+@query(f"""WITH RECURSIVE {_COMP}, {_TAGS}, l AS (SELECT DISTINCT co.component, idx FROM tags JOIN co USING (key) WHERE list = 'pn_positive') SELECT idx AS label_idx, count(*) AS components, least(count(*), 3) AS splits FROM l GROUP BY 1""")
+def split_support_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per label its components, and in how many splits some of them stand: in all three if there are as many."""
+    rows = _component_rows(spark, d)
+    plan = splits.split_components(rows, "component", "labels", SHARES, 7)
+    long = rows.select("component", F.explode("labels").alias("label_idx")).distinct()
+    return long.join(plan, "component").groupBy("label_idx").agg(F.count("*").alias("components"), F.count_distinct("split").alias("splits"))
 
-@query()
+
+def _schedule(spark: SparkSession, d: str) -> sampling.Schedule:
+    """A schedule over all records, with every record that has a label as its candidate, weighted by its rows."""
+    scratch = Scratch(spark, "schedule")
+    e = table(spark, d, "evidence").where("record_index is not null").groupBy("record_index").agg(F.min(_lists(spark, d)["pn_positive"]).alias("l"), F.count("*").alias("weight"))
+    e = scratch.keep(e, "records")
+    return sampling.two_stream_schedule(e, e.select(F.explode("l").alias("label"), "record_index", "weight"), 8, 6, 2, 7, scratch)
+
+
+_RI = "ri AS (SELECT DISTINCT record_index FROM evidence WHERE record_index IS NOT NULL), nb AS (SELECT CAST(ceil(count(*) / 48.0) AS BIGINT) AS b, count(*) AS n FROM ri)"
+
+
+@query(f"WITH {_RI}, s AS (SELECT unnest(range((SELECT b FROM nb) * 64)) AS x) SELECT CAST(x // 64 AS INT) AS global_batch, CAST(x % 64 AS INT) AS slot, CASE WHEN x % 8 < 6 THEN 'uniform' ELSE 'balanced' END AS stream, x // 64 = (SELECT b FROM nb) - 1 AND x % 8 < 6 AND x % 64 // 8 * 6 + x % 8 >= 48 - ((SELECT b * 48 - n FROM nb)) AS padding, 1 AS times FROM s")
 def two_stream_schedule(spark: SparkSession, d: str) -> DataFrame:
-    """A schedule over all records, with every record that has a label as its candidate."""
-    e = table(spark, d, "evidence").groupBy("record_index").agg(F.min(_lists(spark, d)["pn_positive"]).alias("l"))
-    pairs = e.select("record_index", F.explode("l").alias("label"))
-    cand: dict[int, dict[int, float]] = {}
-    for r in pairs.toLocalIterator():
-        cand.setdefault(r.label, {})[r.record_index] = 1.0
-    rows, _ = sampling.two_stream_schedule(e.count(), cand, 8, 6, 2, 7)
-    return spark.createDataFrame(rows, "global_batch int, slot int, record_index int, stream string, balanced_label_index int, padding boolean, fallback boolean")
+    """The slots of a schedule with their streams; ``times`` is how often the slot's record stands in its batch."""
+    rows = _schedule(spark, d).rows
+    once = rows.groupBy("global_batch", "record_index").agg(F.count("*").alias("times"))
+    return rows.join(once, ["global_batch", "record_index"]).select("global_batch", "slot", "stream", "padding", F.col("times").cast("int").alias("times"))
+
+
+@query(f"WITH {_RI} SELECT record_index, 1 AS uniform_times FROM ri")
+def schedule_uniform_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How often each record stands in the uniform stream, padding aside."""
+    rows = _schedule(spark, d).rows.where("stream = 'uniform' and not padding")
+    return rows.groupBy("record_index").agg(F.count("*").cast("int").alias("uniform_times"))
+
+
+@query(f"""WITH {_RI}, {_TAGS}, l AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT idx FROM tags WHERE list = 'pn_positive'))
+ SELECT idx AS label_idx, ((SELECT b FROM nb) * 16 - i + k - 1) // k AS turns, 0 AS strangers FROM l""")
+def schedule_label_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Balanced slots of each label, and how many of them hold a record without the label (a fallback would count for no label)."""
+    rows = _schedule(spark, d).rows.where("balanced_label_index is not null").select(F.col("balanced_label_index").alias("label_idx"), "record_index")
+    have = table(spark, d, "evidence").select("record_index", F.explode(_lists(spark, d)["pn_positive"]).alias("label_idx")).distinct().withColumn("own", F.lit(1))
+    return rows.join(have, ["record_index", "label_idx"], "left").groupBy("label_idx").agg(F.count("*").alias("turns"), F.count_if(F.col("own").isNull()).cast("int").alias("strangers"))
 
 
-@query()
+@query("""SELECT r_regionkey, strlen('{"r_name":"' || r_name || '"}') + 1 AS length, false AS differs FROM region""")
 def inventory_hashes(spark: SparkSession, d: str) -> DataFrame:
     """Writes a small tree, its checksum file, and compares both."""
-    root = scratch_dir(spark).removeprefix("file://") + "/inventory"
-    os.makedirs(f"{root}/tree/sub", exist_ok=True)
-    for r in table(spark, d, "region").orderBy("r_regionkey").collect():
-        writers.atomic_text(json.dumps(r.asDict()) + "\n", f"{root}/tree/sub/{r.r_regionkey}.json")
+    root = Scratch(spark, "inventory").folder("files")
+    table(spark, d, "region").orderBy("r_regionkey").coalesce(1).write.partitionBy("r_regionkey").json(f"{root}/tree/sub")
     writers.checksums(f"{root}/tree", spark, f"{root}/SHA256SUMS")
     inv = readers.inventory(spark, f"{root}/tree")
     diff = audit.provenance(readers.checksum_file(spark, f"{root}/SHA256SUMS"), inv, "path", "sha256")
-    return inv.join(diff.select("path", F.lit(True).alias("differs")), "path", "left").select("path", "length", "sha256", F.coalesce("differs", F.lit(False)).alias("differs"))
+    files = inv.join(diff.select("path", F.lit(True).alias("differs")), "path", "left").where("path like '%.json'")
+    return files.select(F.regexp_extract("path", "r_regionkey=([0-9]+)/", 1).cast("int").alias("r_regionkey"), "length", F.coalesce("differs", F.lit(False)).alias("differs"))
 
 
 @query("SELECT r_name AS name, md5(r_name) AS expected, CASE WHEN r_regionkey = 3 THEN NULL ELSE md5(r_name || 'x') END AS actual FROM region WHERE r_regionkey IN (1, 3)")

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tagloom.functions import render
 from tagloom.operators import monitor
-from tagloom.session import scratch_dir, table
+from tagloom.session import Scratch, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -120,19 +116,11 @@ def _stream(spark: SparkSession, d: str, build) -> DataFrame:
     """Events as a file stream worked off in one slice; the result is the sink's table."""
     from tagloom.streaming import monitor as M
 
-    local = scratch_dir(spark).removeprefix("file://")
-    os.makedirs(local, exist_ok=True)
-    root = tempfile.mkdtemp(prefix="stream-", dir=local)
-    os.makedirs(f"{root}/in")
-    if os.path.isdir(f"{d}/events.parquet"):
-        for f in os.listdir(f"{d}/events.parquet"):
-            shutil.copy(f"{d}/events.parquet/{f}", f"{root}/in/{f}")
-    else:
-        shutil.copy(f"{d}/events.parquet", f"{root}/in/part-0.parquet")
-    events = M.read_events(spark, f"file://{root}/in", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table(spark, d, "events").schema.fields))
-    out = build(M, events)
-    M.run_slice(out, f"file://{root}/out", f"file://{root}/checkpoint")
-    return spark.read.schema(out.schema).parquet(f"file://{root}/out")
+    scratch = Scratch(spark, "stream")
+    given = table(spark, d, "events")
+    out = build(M, M.read_events(spark, f"{d}/events.parquet", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields)))
+    M.run_slice(out, scratch.folder("out"), scratch.folder("checkpoint"))
+    return spark.read.schema(out.schema).parquet(scratch.folder("out"))
 
 
 @query(f"WITH {_RUNS} SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS us, run FROM q WHERE value > 80 AND run >= 2")
@@ -151,7 +139,9 @@ def stream_delta_percent(spark: SparkSession, d: str) -> DataFrame:
     return _stream(spark, d, lambda M, e: M.stream_delta(e, "user_id", "ts", "value")).withColumn("percent", F.round("percent", 4))
 
 
-@query()
+@query("""WITH l AS (SELECT user_id, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events)
+ SELECT CAST(user_id AS VARCHAR) AS key, us FROM l WHERE nx - us >= 21600000000 OR (nx IS NULL AND us // 1000 + 21600000 < (SELECT max(us) // 1000 FROM l))""")
 def stream_heartbeats(spark: SparkSession, d: str) -> DataFrame:
+    """Beats followed by none in time.  A key's last beat counts once the stream's own time has passed its timeout, so keys that are still within it at the end do not."""
     return _stream(spark, d, lambda M, e: M.stream_heartbeats(e, "user_id", "ts", 21600.0))
 

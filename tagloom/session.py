@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIRS: dict[str, str] = {}
-
 
 def build_session(app: str = "tagloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with UTC, AQE and the RocksDB state store; settings already present win."""
@@ -35,19 +32,16 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     It is the one the cluster names in ``spark.checkpoint.dir``.  Only where
-    that is unset a folder is made: a temporary one on a local master, else one
-    below the warehouse, which executors share.
+    that is unset, as in tests, it is a folder below the warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        if spark.sparkContext.master.startswith("local"):
-            _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tagloom-")
-        else:
-            _OWN_DIRS[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tagloom_scratch"
-    return _OWN_DIRS[app]
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tagloom_scratch"
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system that serves a path, and the path as it names it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 class Scratch:
@@ -63,10 +57,9 @@ class Scratch:
         self._n = 0
         atexit.register(self.close)
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+    def folder(self, name: str) -> str:
+        """A path below the table's folder, which goes with it."""
+        return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
@@ -79,12 +72,12 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_tagloom_path", None)
         if path:
-            fs, p = self._fs(path)
+            fs, p = file_system(self.spark, path)
             fs.delete(p, True)
 
     def close(self) -> None:
         try:
-            fs, p = self._fs(self.root)
+            fs, p = file_system(self.spark, self.root)
             fs.delete(p, True)
         except Exception:  # the session may already be gone
             pass

@@ -24,6 +24,7 @@ def test_json_lines(spark, tmp_path):
     bad = put(tmp_path / "b.jsonl", '{"id":"x"}\n{oops\n')
     with pytest.raises(Exception):
         readers.json_lines(spark, bad, "id string, n int").collect()
+    assert [(r.file, r.line, r.value) for r in readers.line_errors(spark, bad, "id string, n int").collect()] == [("b.jsonl", 2, "{oops")]
     with pytest.raises(ContractError):
         readers.json_object(put(tmp_path / "c.json", "[1]"))
 
@@ -67,6 +68,10 @@ def test_shards(spark, tmp_path):
     for r in range(2):
         put(tmp_path / f"test.rank{r:02d}-of-02.jsonl", json.dumps({"id": f"r{r}"}) + "\n")
     assert {(r.id, r.rank, r.world) for r in readers.shard_set(spark, str(tmp_path), "test", "id string").collect()} == {("r0", 0, 2), ("r1", 1, 2)}
+    rows = spark.createDataFrame([(0, "a", 0), (0, "b", 1), (1, "c", 0), (1, "c", 2)], "rank int, id string, pos int")
+    told = spark.createDataFrame([(0, 2, 2, "b", True), (2, 0, 0, None, True)], "rank int, durable_records int, next_local_index int, last_record_id string, complete boolean")
+    bad = {(r.rank, r.name) for r in readers.sidecar_disagreements(rows, told, "id", "pos").collect()}
+    assert bad == {(1, n) for n in ("sidecar", "durable_records", "next_local_index", "last_record_id", "distinct_keys", "complete", "contiguous")} - {(1, "x")}
     os.unlink(tmp_path / "test.rank01-of-02.jsonl")
     with pytest.raises(ContractError):
         readers.shard_set(spark, str(tmp_path), "test", "id string")
@@ -81,7 +86,12 @@ def test_writers(spark, tmp_path):
     writers.flat_csv(df, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).where("id = 'a'").first().l == "[1,2]"
     writers.atomic_json({"b": 1}, str(tmp_path / "x.json"))
-    assert readers.json_object(str(tmp_path / "x.json")) == {"b": 1} and not [f for f in os.listdir(tmp_path) if f.startswith("tmp")]
+    assert readers.json_object(str(tmp_path / "x.json")) == {"b": 1} and not [f for f in os.listdir(tmp_path) if f.endswith(".part")]
+    writers.atomic_json({"b": 2}, str(tmp_path / "x.json"))
+    assert readers.json_object(str(tmp_path / "x.json")) == {"b": 2}
+    for n in range(5):
+        (tmp_path / "steps" / f"step-{n}").mkdir(parents=True)
+    assert writers.keep_newest(str(tmp_path / "steps")) == ["step-0", "step-1"] and sorted(os.listdir(tmp_path / "steps")) == ["step-2", "step-3", "step-4"]
 
 
 def test_scratch_survives_and_cleans(spark):

@@ -2,10 +2,11 @@ import collections
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import audit, calibrate, cells, contracts, identity, monitor, predict, quality, resolve, sampling, splits
+from tagloom.operators import audit, calibrate, cells, contracts, identity, monitor, predict, quality, resolve, sampling, splits, stratify
 from tagloom.schema import LabelSchema, canonical_sha256
 
 R = random.Random(11)
@@ -149,29 +150,66 @@ def test_resolve(spark):
     assert {(r.g, r.kind, r.label_idx) for r in notes.collect()} == {("x", "mutually_exclusive_positive_conflict", None), ("y", "positive_overrode_negative", 2), ("y", "positive_overrode_implication_negative", 3)}
 
 
-def test_apportion_and_assign():
+def test_apportion_and_component_split(spark):
     shares = {"train": 0.8, "val": 0.1, "test": 0.1}
     assert splits.apportion(10, shares) == {"train": 8, "val": 1, "test": 1}
     assert splits.apportion(3, shares) == {"train": 1, "val": 1, "test": 1}
     assert splits.apportion(1, shares) == {"train": 1, "val": 0, "test": 0}
     r = random.Random(3)
-    sizes = [r.choice([1, 1, 1, 2, 5]) for _ in range(400)]
-    labels = [frozenset(r.sample(range(8), r.randrange(3))) for _ in sizes]
-    put = splits.assign(sizes, labels, [str(i) for i in range(400)], shares, 1)
+    sizes = [r.choice([1, 1, 1, 2, 5]) for _ in range(400)] + [250]  # one component has a third of the rows
+    labels = [sorted(r.sample(range(8), r.randrange(3))) for _ in sizes]
+    df = spark.createDataFrame([(f"c{i}", ls) for i, (n, ls) in enumerate(zip(sizes, labels)) for _ in range(n)], "c string, l array<int>")
+    put = {x.c: x.split for x in splits.split_components(df, "c", "l", shares, 1).collect()}
+    assert set(put) == {f"c{i}" for i in range(401)}
     n = sum(sizes)
     for s, x in shares.items():
-        assert abs(sum(k for k, p in zip(sizes, put) if p == s) - n * x) <= max(0.02 * n + 1, 5)
-    assert put == splits.assign(sizes, labels, [str(i) for i in range(400)], shares, 1)
+        assert abs(sum(k for i, k in enumerate(sizes) if put[f"c{i}"] == s) - n * x) <= 0.02 * n + 1
+        for j in range(8):
+            have = [i for i, ls in enumerate(labels) if j in ls]
+            assert abs(sum(put[f"c{i}"] == s for i in have) - len(have) * x) <= max(2.5, 0.03 * len(have))
+    assert put == {x.c: x.split for x in splits.split_components(df.repartition(7), "c", "l", shares, 1).collect()}
+    assert splits.split_components(df.limit(0), "c", "l", shares).count() == 0
     for bad in ({"a": 0.5}, {"a": 1.2, "b": -0.2}, {}):
         with pytest.raises(ValueError):
             splits.check_shares(bad)
 
 
+@pytest.mark.parametrize("n, weight", [(3, 1.0), (500, 1.0), (500, 3.0), (77, 0.5)])
+def test_equal_groups_are_placed_as_if_one_by_one(n, weight):
+    need, rows = np.array([400.0, 50.0, 49.5]), np.array([300.0, 60.0, 60.0])
+    got = stratify.fill(need, rows, rows * 0 + 1e9, n, weight, 1.0)
+    one = np.zeros(3, int)
+    for _ in range(n):
+        s = max(range(3), key=lambda i: (need[i] - one[i] * weight, rows[i] - one[i]))
+        one[s] += 1
+    assert got.sum() == n and (abs(got - one) <= 1).all()
+    assert stratify.fill(need, rows, np.array([10.0, 1e9, 1e9]), n, weight, 1.0)[0] <= 10
+
+
+def test_labels_go_by_what_is_left(spark):
+    # b is rarer than c at first, but c is rarest once the groups of a are gone
+    vec = lambda *ls: [(j, 1) for j in ls]
+    groups = [(f"x{i}", 1, vec(0, 2)) for i in range(3)] + [(f"y{i}", 1, vec(1)) for i in range(4)] + [(f"z{i}", 1, vec(1, 2)) for i in range(2)]
+    rounds = {(0, 0): 3, (0, 2): 3, (1, 1): 2, (1, 2): 2, (2, 1): 4}
+    assert stratify.confirm_order([0, 2, 1], 0, {0: 3, 1: 6, 2: 5}, rounds)[0] == 3
+    assert stratify.confirm_order([0, 1, 2], 0, {0: 3, 1: 6, 2: 5}, {(0, 0): 3, (0, 2): 3, (1, 1): 6, (1, 2): 2})[0] == 1
+    df = spark.createDataFrame(groups, "g string, size long, vec array<struct<label:int,n:long>>")
+    put = collections.Counter(r.split for r in stratify.stratify(df, "g", {"a": 0.5, "b": 0.5}).collect())
+    assert sum(put.values()) == 9 and abs(put["a"] - put["b"]) <= 1
+
+
 def test_positions(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
     got = splits.positions(df, ["k"], buckets=16).orderBy("k").collect()
     assert [r.position for r in got] == list(range(1000))
     assert splits.stride(df, ["k"], 3).where("rank = 2").count() == 333
+    odd = spark.createDataFrame([(0.5,), (None,), (float("nan"),), (2.0,), (1.0,)], "k double")
+    assert [r.position for r in splits.positions(odd, ["k"]).orderBy("k").collect()] == [0, 1, 2, 3, 4]
+    assert {r.position for r in splits.positions(odd, ["k"]).where("isnan(k)").collect()} == {4}
+    text = spark.createDataFrame([(f"s{i % 3}" if i % 5 else None, i) for i in range(60)], "s string, i int")
+    got = splits.positions(text, ["s", "i"], buckets=8).orderBy("s", "i").collect()
+    assert [r.position for r in got] == list(range(60))
+    assert splits.positions(text.limit(0), ["s"]).count() == 0
 
 
 def test_samples_do_not_depend_on_order(spark):
@@ -184,18 +222,31 @@ def test_samples_do_not_depend_on_order(spark):
     assert sampling.stratified_sample(df.limit(0), "id", strata, 3, 3).count() == 0
 
 
-def test_schedule():
-    cand = {0: {i: 1.0 for i in range(5)}, 1: {7: 2.0}}
-    rows, info = sampling.two_stream_schedule(40, cand, 2, 3, 1, 5)
-    assert rows == sampling.two_stream_schedule(40, cand, 2, 3, 1, 5)[0]
-    assert info["batches"] == 7 and info["padding"] == 2
+def test_schedule(spark):
+    cand = {0: {i: 1.0 for i in range(5)}, 1: {7: 2.0}, 2: {i: 1.0 + 8 * (i == 20) for i in range(20, 40)}}
+    records = spark.range(40).select(F.col("id").cast("int").alias("record_index"))
+    pairs = spark.createDataFrame([(j, i, w) for j, c in cand.items() for i, w in c.items()], "label int, record_index int, weight double")
+    s = sampling.two_stream_schedule(records, pairs, 2, 3, 2, 5)
+    rows = [tuple(r) for r in s.rows.orderBy("global_batch", "slot").collect()]
+    again = sampling.two_stream_schedule(records.repartition(5), pairs.repartition(3), 2, 3, 2, 5).rows
+    assert rows == [tuple(r) for r in again.orderBy("global_batch", "slot").collect()]
+    assert sampling.schedule_digest(s.rows).collect() == sampling.schedule_digest(again).collect()
+    assert s.batches == 7 and [r[:2] for r in rows] == [(b, i) for b in range(7) for i in range(10)]
     for b in range(7):
         batch = [r for r in rows if r[0] == b]
-        assert len(batch) == 8 and len({r[2] for r in batch}) == 8
-    assert {r[2] for r in rows if r[3] == "uniform" and not r[5]} == set(range(40))
-    assert all(r[2] in cand[r[4]] for r in rows if r[4] is not None)
+        assert len({r[2] for r in batch}) == 10 and [r[3] for r in batch] == 2 * (3 * ["uniform"] + 2 * ["balanced"])
+    uni = [r for r in rows if r[3] == "uniform"]
+    assert sorted(r[2] for r in uni if not r[5]) == list(range(40)) and sum(r[5] for r in uni) == 2
+    bal = [r for r in rows if r[3] == "balanced"]
+    assert all(r[2] in cand[r[4]] if not r[6] else r[4] is None for r in bal)
+    turns = collections.Counter(r[4] for r in bal)
+    assert turns[0] == 10 and turns[2] == 9 and turns[1] + turns[None] == 9 and turns[1] >= 5
+    heavy = sum(r[2] == 20 for r in bal)
+    assert heavy >= 2  # 9 of 28 parts of the weight
+    alone = sampling.two_stream_schedule(records, pairs.limit(0), 2, 3, 1, 5).rows.where("stream = 'balanced'").collect()
+    assert len(alone) == 14 and all(r.fallback for r in alone)
     with pytest.raises(ValueError):
-        sampling.two_stream_schedule(7, cand, 2, 3, 1, 5)
+        sampling.two_stream_schedule(records.limit(7), pairs, 2, 3, 1, 5)
 
 
 def test_monitor(spark):
