@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagloom.plans.evidence_queries import _LK, _NORM, _WS
+from tagloom.plans.evidence_queries import LK as _LK, NORM as _NORM, WS as _WS
 
 _BASKETS = f"""{_LK}, items AS (
   SELECT DISTINCT 'record' AS basket_kind, key AS b, idx AS i FROM (SELECT key, trim(unnest(pn_positive), {_WS}) AS t FROM evidence) JOIN lk USING (t)
