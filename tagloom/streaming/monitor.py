@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tagloom.operators.monitor import micros
+from tagloom.session import file_system
 
 
 def read_events(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
-    """A file stream, so many files per micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A file stream over a folder, or over one file, so many files per micro-batch."""
+    fs, p = file_system(spark, path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if fs.getFileStatus(p).isFile():  # the source lists folders only
+        return reader.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+    return reader.parquet(path)
 
 
 def stream_delta(events: DataFrame, key: str, ts: str, counter: str, idle_seconds: float = 86_400.0) -> DataFrame:
