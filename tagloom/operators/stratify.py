@@ -114,8 +114,8 @@ def _class_size(n: Column) -> Column:
     return F.when(n <= EXACT, n).otherwise(F.lit(EXACT) + F.ceil(F.log2(n / F.lit(float(EXACT))) * 64)).cast("int")
 
 
-def stratify(groups: DataFrame, gid: str, shares: Mapping[str, float], seed: int = 0, tolerance: float = 0.02, quotas=None, scratch: Scratch | None = None) -> DataFrame:
-    """(gid, split) of ``groups`` (gid, size, vec ARRAY<STRUCT<label INT, n BIGINT>>), one row per group.
+def stratify(groups: DataFrame, gid: str, shares: Mapping[str, float], seed: int = 0, tolerance: float = 0.02, quotas=None, scratch: Scratch | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(gid, split, ``carry``) of ``groups`` (gid, size, vec ARRAY<STRUCT<label INT, n BIGINT>>), one row per group.
 
     ``vec`` has each label once.  ``quotas`` (rows of a label -> rows per split)
     replaces exact shares.  Splits end within the larger of ``tolerance`` of all
@@ -129,14 +129,16 @@ def stratify(groups: DataFrame, gid: str, shares: Mapping[str, float], seed: int
     quotas = quotas or (lambda n: part * n)
     scratch = scratch or Scratch(spark, "stratify")
     labels = F.transform("vec", lambda x: x["label"])
-    g = groups.select(F.col(gid).alias("gid"), F.col("size").cast("bigint").alias("size"), F.coalesce(F.col("vec"), F.array().cast("array<struct<label:int,n:bigint>>")).alias("vec"))
+    g = groups.select(F.col(gid).alias("gid"), F.col("size").cast("bigint").alias("size"), F.coalesce(F.col("vec"), F.array().cast("array<struct<label:int,n:bigint>>")).alias("vec"), *[F.col(c).alias(f"c_{c}") for c in carry])
+    kept = [f"c_{c}" for c in carry]
+    whole = lambda df, split: df.select(F.col("gid").alias(gid), split.alias("split"), *[F.col(f"c_{c}").alias(c) for c in carry])
     g = scratch.keep(g.withColumn("h", F.xxhash64(F.lit(seed), "gid")).withColumn("sig", F.xxhash64(F.array_sort(labels))), "groups")
     pairs = g.select(F.explode(F.array_prepend(labels, F.lit(_ROWS))).alias("a"), "vec", "size").select("a", "size", F.explode(F.array_prepend("vec", F.struct(F.lit(_ROWS).alias("label"), F.col("size").alias("n")))).alias("x"))
     got = pairs.groupBy("a", F.col("x.label").alias("b")).agg(F.sum("x.n").alias("n"), F.max("size").alias("largest")).limit(MAX_LABELS**2 + 1).collect()
     if len({r.a for r in got}) > MAX_LABELS + 1:
         raise ValueError(f"more than {MAX_LABELS} labels")
     if not got:
-        return g.select(F.col("gid").alias(gid), F.lit("").alias("split"))
+        return whole(g, F.lit(""))
     totals = {r.b: r.n for r in got if r.a == _ROWS}
     n_rows, largest = totals.pop(_ROWS), max(r.largest for r in got)
     together = {(r.a, r.b): float(r.n) for r in got if r.a >= 0 and r.b >= 0 and r.a != r.b}
@@ -166,7 +168,7 @@ def stratify(groups: DataFrame, gid: str, shares: Mapping[str, float], seed: int
     placed = place_classes(classes, {j: np.asarray(quotas(n), float) for j, n in totals.items()}, part * n_rows, part * n_rows + slack)
     cols = [f"n{i}" for i in range(len(names))]
     plan = spark.createDataFrame([(*key, n, *map(int, c)) for key, n, c in placed], "p int, c int, part int, n bigint, " + ", ".join(f"{c} bigint" for c in cols))
-    ranked = spread_rank(classed.select("gid", "h", "p", "c", "part"), ["p", "c", "part"], [F.col("h"), F.col("gid")], "k")
+    ranked = spread_rank(classed.select("gid", "h", "p", "c", "part", *kept), ["p", "c", "part"], [F.col("h"), F.col("gid")], "k")
     put = ranked.join(F.broadcast(plan), ["p", "c", "part"])  # as many rows as classes
     # the k-th of n groups: each split takes its number of them, spread evenly over the ranks that the splits before it left
     k, n, split = F.col("k") - 1, F.col("n"), F.lit(names[-1])
@@ -177,4 +179,4 @@ def stratify(groups: DataFrame, gid: str, shares: Mapping[str, float], seed: int
         k, n = k - mine(k), n - F.col(cols[i])
     for hit, s in reversed(steps):
         split = F.when(hit, s).otherwise(split)
-    return put.select(F.col("gid").alias(gid), split.alias("split"))
+    return whole(put, split)
