@@ -29,21 +29,33 @@ from tagloom.session import Scratch
 #: Numbers of rows up to which a class holds groups of one number only.
 EXACT = 1024
 #: Parts of the hash of the labels for groups with one row of the label in turn.
-PARTS = 128
-#: Labels, whose pairs the driver holds.
+PARTS = 512
+#: Groups from which the order of the labels is guessed before it is checked on all.
+SAMPLE = 20_000
+#: Labels this near to the rarest are as rare.
+NEAR = 1.05
+#: Labels; of each pair the driver holds a number.
 MAX_LABELS = 4096
 _ROWS, _GROUPS = -1, -2
 
 
-def guess_order(left: dict[int, float], together: dict[tuple[int, int], float], totals: dict[int, float]) -> list[int]:
-    """The order in which labels would become the rarest, if labels met independently of each other."""
-    left, out = dict(left), []
-    while left:
-        j = min(left, key=lambda x: (left[x] <= 0, left[x], x))
-        del left[j]
+def guess_order(totals: dict[int, int], sample: list[dict[int, int]], sure: list[int] = ()) -> list[int]:
+    """The order in which labels become the rarest, by ``sample`` groups ({label: rows}) drawn up to the true totals; ``sure`` comes first."""
+    names = sorted(totals)
+    at = {j: i for i, j in enumerate(names)}
+    m = np.zeros((len(sample), len(names)))
+    for i, v in enumerate(sample):
+        for j, n in v.items():
+            m[i, at[j]] = n
+    seen = m.sum(0)
+    scale = np.array([totals[j] for j in names]) / np.maximum(seen, 1)
+    live, out, todo = np.ones(len(sample), bool), [], set(names)
+    while todo:
+        left = np.where(seen > 0, m[live].sum(0) * scale, [totals[j] for j in names])
+        j = sure[len(out)] if len(out) < len(sure) else min(todo, key=lambda x: (left[at[x]] <= 0, left[at[x]], x))
+        todo.discard(j)
         out.append(j)
-        for x in left:
-            left[x] *= 1 - min(1.0, together.get((j, x), 0.0) / totals[x])
+        live &= m[:, at[j]] == 0
     return out
 
 
@@ -51,13 +63,14 @@ def confirm_order(order: list[int], sure: int, totals: dict[int, int], rounds: d
     """How far ``order`` is right, and the rows of each label left then.
 
     ``rounds`` has the rows of a label in groups of a round, if rounds go by
-    ``order``; a round's numbers hold as long as the rounds before it do.
+    ``order``; a round's numbers hold as long as the rounds before it do.  Labels
+    within ``NEAR`` of the rarest count as equally rare.
     """
     left = dict(totals)
     for p, j in enumerate(order):
         if p >= sure:
             best = min((x for x in order[p:]), key=lambda x: (left[x] <= 0, left[x], x))
-            if best != j and left[best] > 0:
+            if best != j and left[best] > 0 and not 0 < left[j] <= left[best] * NEAR:
                 return p, left
         for x in order[p:]:
             left[x] -= rounds.get((p, x), 0)
@@ -72,7 +85,7 @@ def fill(need: np.ndarray, rows: np.ndarray, room: np.ndarray, n: int, weight: f
     """
     need, rows, room = need.copy(), rows.copy(), room.copy()
     got = np.zeros(len(need), np.int64)
-    if n > 16 * len(need) and weight > 0:  # all but the last few at once: bring the needs down to one level
+    if n > 4 * len(need) and weight > 0:  # all but the last few at once: bring the needs down to one level
         low, high = need.min() - n * weight, need.max()
         most = np.maximum(0, np.floor(room / size)) if size > 0 else np.full(len(need), n)
         bulk = lambda x: np.minimum(np.maximum(0, np.floor((need - x) / weight)), most)
@@ -133,16 +146,16 @@ def stratify(groups: DataFrame, gid: str, shares: Mapping[str, float], seed: int
     kept = [f"c_{c}" for c in carry]
     whole = lambda df, split: df.select(F.col("gid").alias(gid), split.alias("split"), *[F.col(f"c_{c}").alias(c) for c in carry])
     g = scratch.keep(g.withColumn("h", F.xxhash64(F.lit(seed), "gid")).withColumn("sig", F.xxhash64(F.array_sort(labels))), "groups")
-    pairs = g.select(F.explode(F.array_prepend(labels, F.lit(_ROWS))).alias("a"), "vec", "size").select("a", "size", F.explode(F.array_prepend("vec", F.struct(F.lit(_ROWS).alias("label"), F.col("size").alias("n")))).alias("x"))
-    got = pairs.groupBy("a", F.col("x.label").alias("b")).agg(F.sum("x.n").alias("n"), F.max("size").alias("largest")).limit(MAX_LABELS**2 + 1).collect()
-    if len({r.a for r in got}) > MAX_LABELS + 1:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    counted = F.array_prepend("vec", F.struct(F.lit(_ROWS).alias("label"), F.col("size").alias("n")))
+    got = g.select("size", F.explode(counted).alias("x")).groupBy(F.col("x.label").alias("label")).agg(F.sum("x.n").alias("n"), F.max("size").alias("largest")).limit(MAX_LABELS + 2).collect()
     if not got:
         return whole(g, F.lit(""))
-    totals = {r.b: r.n for r in got if r.a == _ROWS}
+    totals = {r.label: r.n for r in got}
+    if len(totals) > MAX_LABELS + 1:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     n_rows, largest = totals.pop(_ROWS), max(r.largest for r in got)
-    together = {(r.a, r.b): float(r.n) for r in got if r.a >= 0 and r.b >= 0 and r.a != r.b}
-    order, sure = guess_order(totals, together, totals), 0
+    sample = [{x.label: x.n for x in r.vec} for r in g.where("size(vec) > 0").orderBy("h").limit(SAMPLE).select("vec").collect()]
+    order, sure = guess_order(totals, sample), 0
     while True:
         place = F.create_map(*[F.lit(x) for p, j in enumerate(order) for x in (j, p)]) if order else None
         first = F.coalesce(F.array_min(F.transform("vec", lambda x: F.element_at(place, x["label"]))), F.lit(len(order))) if order else F.lit(0)
@@ -150,8 +163,9 @@ def stratify(groups: DataFrame, gid: str, shares: Mapping[str, float], seed: int
             break
         rounds = {(r.p, r.label): r.n for r in g.where("size(vec) > 0").select(first.alias("p"), F.explode("vec").alias("x")).groupBy("p", F.col("x.label").alias("label")).agg(F.sum("x.n").alias("n")).collect()}  # labels x labels
         sure, left = confirm_order(order, sure, totals, rounds)
-        rest = guess_order({j: left[j] for j in order[sure:]}, together, totals)
-        order = order[:sure] + rest
+        if sure < len(order):  # the rarest now is known; what comes after it is guessed again
+            best = min(order[sure:], key=lambda x: (left[x] <= 0, left[x], x))
+            order = guess_order(totals, sample, [*order[:sure], best])
     turn = F.get(F.array(*map(F.lit, order)), F.col("p")) if order else F.lit(None).cast("int")
     count = F.coalesce(F.get(F.filter("vec", lambda x: x["label"] == turn), F.lit(0))["n"], F.col("size")) if order else F.col("size")
     classed = g.withColumn("p", first).withColumn("c", _class_size(count)).withColumn("part", F.pmod("sig", F.greatest(F.lit(1), F.expr(f"{PARTS} div c"))).cast("int"))

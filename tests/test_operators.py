@@ -191,6 +191,8 @@ def test_labels_go_by_what_is_left(spark):
     vec = lambda *ls: [(j, 1) for j in ls]
     groups = [(f"x{i}", 1, vec(0, 2)) for i in range(3)] + [(f"y{i}", 1, vec(1)) for i in range(4)] + [(f"z{i}", 1, vec(1, 2)) for i in range(2)]
     rounds = {(0, 0): 3, (0, 2): 3, (1, 1): 2, (1, 2): 2, (2, 1): 4}
+    assert stratify.guess_order({0: 3, 1: 6, 2: 5}, [dict(v) for _, _, v in groups]) == [0, 2, 1]
+    assert stratify.guess_order({0: 3, 1: 6, 2: 5}, [], [1]) == [1, 0, 2]
     assert stratify.confirm_order([0, 2, 1], 0, {0: 3, 1: 6, 2: 5}, rounds)[0] == 3
     assert stratify.confirm_order([0, 1, 2], 0, {0: 3, 1: 6, 2: 5}, {(0, 0): 3, (0, 2): 3, (1, 1): 6, (1, 2): 2})[0] == 1
     df = spark.createDataFrame(groups, "g string, size long, vec array<struct<label:int,n:long>>")
