@@ -1,109 +1,84 @@
 """Splits that keep related records together: grouped iterative stratification.
 
-Records of one entity form a group; a group's label vector counts its records
-by label.  Groups are placed rarest outstanding label first, each into the split
-that needs that label most.  So that the driver's part does not grow with the
-data, groups are placed in units: groups whose rarest label (over all data) is
-the same and whose hash falls into the same of ``BUCKETS`` buckets go together,
-and a group that holds more than one part in ``LARGE`` of all records is a unit
-of its own.  There are at most labels x BUCKETS + LARGE units.
+Records of one entity form a group; a record that names several entities ties
+their groups into one, so groups are the components over all (record, entity)
+links.  A group's label vector counts its records by label.  Groups are placed
+with the rarest outstanding label first, each into the split that needs that
+label most; ``tagloom.operators.stratify`` does that on counts, for any number
+of groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 128
-LARGE = 2000
-
+from tagloom.llm import matchgroups
+from tagloom.operators.stratify import stratify
+from tagloom.session import Scratch
 
-def place_units(sizes: np.ndarray, vectors: np.ndarray, shares: Sequence[float]) -> np.ndarray:
-    """Iterative stratification of units: (units,), (units, labels) -> split number per unit.
-
-    The label with the fewest records left goes first; of its units the largest
-    first; a unit goes to the split that needs most of the label, then most
-    records at all, then the first.
-    """
-    shares = np.asarray(shares, float) / sum(shares)
-    left = np.ones(len(sizes), bool)
-    need = np.outer(shares, vectors.sum(0)).astype(float)
-    room = shares * sizes.sum()
-    out = np.full(len(sizes), -1)
-    by_label = [np.flatnonzero(vectors[:, j]) for j in range(vectors.shape[1])]
-    remaining = vectors.sum(0).astype(float)
+#: A group with more than one in so many records is joined to its records by a broadcast, so no task gets them all.
+HOT = 1000
 
-    def put(u: int, label: int | None) -> None:
-        key = [(need[s, label] if label is not None else 0.0, room[s], -s) for s in range(len(shares))]
-        s = max(range(len(shares)), key=lambda i: key[i])
-        out[u], left[u] = s, False
-        need[s] -= vectors[u]
-        room[s] -= sizes[u]
-        remaining[:] -= vectors[u]
 
-    done = np.zeros(vectors.shape[1], bool)
-    while True:
-        open_ = [j for j in range(vectors.shape[1]) if not done[j] and remaining[j] > 0.5]
-        if not open_:
-            break
-        j = min(open_, key=lambda j: (remaining[j], j))
-        todo = [u for u in by_label[j] if left[u]]
-        for u in sorted(todo, key=lambda u: (-vectors[u, j], -sizes[u], u)):
-            put(u, j)
-        done[j] = True
-    for u in sorted(np.flatnonzero(left), key=lambda u: (-sizes[u], u)):
-        put(u, None)
-    return out
+def _components(base: DataFrame, keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """``keyed`` with ``comp``: the least entity that the record's entities lead to, or NULL."""
+    several = keyed.where("ent <> last").select("key")
+    if several.isEmpty():
+        return keyed.withColumnRenamed("ent", "comp").drop("last")
+    ties = base.where("ent is not null").join(several, "key", "left_semi").select("key", "ent").distinct()
+    least = ties.groupBy("key").agg(F.min("ent").alias("a"))
+    named = matchgroups.group_links(ties.join(least, "key").select("a", F.col("ent").alias("b")), "a", "b", scratch).withColumnRenamed("key", "ent")
+    # tied entities may be few with many records each, the others many: AQE splits what is large on the left
+    return keyed.join(named, "ent", "left").withColumn("comp", F.coalesce("group_key", "ent")).drop("group_key", "ent", "last")
 
 
-def split_groups(rows: DataFrame, key: str, entity: str, labels: str, shares: dict[str, float]) -> DataFrame:
+def split_groups(rows: DataFrame, key: str, entity: str, labels: str, shares: dict[str, float], seed: int = 0, scratch: Scratch | None = None) -> DataFrame:
     """(key, entity_key, group_size, split): one row per key; keys of one entity share the split.
 
-    ``rows`` may repeat a key; NULL keys are no cases.  A NULL entity names
-    nothing: such a key is a group of its own.  If rows of one key name
-    different entities the least name holds.  ``labels`` is an ARRAY<INT> of
-    label numbers; of rows that repeat a key the first in order of the arrays
-    holds; a NULL list is an empty one.  Empty rows give an empty result.
+    ``entity_key`` is the least key of the group.  ``rows`` may repeat a key;
+    NULL keys are no cases.  A NULL entity names nothing: a key without any is a
+    group of its own.  ``labels`` is an ARRAY<INT> of label numbers from 0; of
+    rows that repeat a key the first in order of the arrays holds; a NULL list
+    is an empty one.  Empty rows give an empty result.
     """
-    spark = rows.sparkSession
+    scratch = scratch or Scratch(rows.sparkSession, "splits")
     base = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(entity).alias("ent"), F.coalesce(F.col(labels), F.array().cast("array<int>")).alias("lab"))
-    # letters decide whether a group is an entity or a single key, so the two never meet
-    gid = F.coalesce(F.concat(F.lit("e"), "ent"), F.concat(F.lit("k"), "key"))
-    keyed = base.groupBy("key").agg(F.min("ent").alias("ent"), F.min("lab").alias("lab")).select("key", F.xxhash64(gid).alias("h"), gid.alias("gid"), "lab")
-    # label -1 counts the records of a group
-    cells = keyed.select("gid", F.explode(F.array_append("lab", F.lit(-1))).alias("label")).groupBy("gid", "label").agg(F.count("*").alias("n"))
-    totals = {r.label: r.n for r in cells.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    n_keys = totals.pop(-1, 0)
-    if not n_keys:
-        return keyed.limit(0).select("key", F.col("key").alias("entity_key"), F.lit(0).cast("bigint").alias("group_size"), F.lit("").alias("split"))
-    order = sorted(totals, key=lambda j: (totals[j], j))
-    place = {j: i for i, j in enumerate(order)}
-    rank = F.create_map(*[x for j, i in place.items() for x in (F.lit(j), F.lit(i))]) if place else None
-    rarest = F.min(F.when(F.col("label") >= 0, F.element_at(rank, F.col("label")))) if rank is not None else F.min(F.lit(None).cast("int"))
-    whole = cells.groupBy("gid").agg(
-        F.sum(F.when(F.col("label") == -1, F.col("n"))).alias("size"),
-        F.coalesce(rarest, F.lit(len(order))).alias("r"),
-        F.collect_list(F.struct("label", "n")).alias("vec"),  # at most one entry per label
-    )
-    large = F.col("size") * LARGE > n_keys
-    unit = F.when(large, F.concat(F.lit("g"), "gid")).otherwise(F.concat_ws(":", F.lit("u"), F.col("r").cast("string"), F.pmod(F.xxhash64("gid"), F.lit(BUCKETS)).cast("string")))
-    units = whole.select(unit.alias("unit"), F.explode("vec").alias("x")).groupBy("unit", F.col("x.label").alias("label")).agg(F.sum("x.n").alias("n"))
-    got = units.groupBy("unit").agg(F.collect_list(F.struct("label", "n")).alias("v")).collect()
-    got.sort(key=lambda r: r.unit)
-    sizes, vectors = np.zeros(len(got)), np.zeros((len(got), len(order)))
-    for i, r in enumerate(got):
-        for x in r.v:
-            if x.label == -1:
-                sizes[i] = x.n
-            else:
-                vectors[i, place[x.label]] = x.n
-    names = list(shares)
-    put = place_units(sizes, vectors, [shares[s] for s in names])
-    plan = spark.createDataFrame([(r.unit, names[s]) for r, s in zip(got, put)], "unit string, split string")
-    groups = keyed.groupBy("gid").agg(F.min("key").alias("entity_key"), F.count("*").alias("size"), F.min(F.array_min(F.transform("lab", lambda j: F.element_at(rank, j))) if rank is not None else F.lit(None).cast("int")).alias("r"))
-    groups = groups.withColumn("r", F.coalesce("r", F.lit(len(order)))).withColumn("unit", unit)
-    placed = groups.join(F.broadcast(plan), "unit", "left").select("gid", "entity_key", F.col("size").alias("group_size"), "split")  # at most labels x BUCKETS + LARGE rows
-    return keyed.select("key", "gid").join(placed, "gid").select("key", "entity_key", "group_size", "split")
+    keyed = scratch.keep(base.groupBy("key").agg(F.min("ent").alias("ent"), F.max("ent").alias("last"), F.array_distinct(F.min("lab")).alias("lab")), "keys")
+    keyed = _components(base, keyed, scratch)
+    # label -1 counts the records of a group; counted before they are shuffled
+    tied = keyed.where("comp is not null")
+    cells = tied.select("comp", "key", F.explode(F.array_append("lab", F.lit(-1))).alias("label"))
+    cells = cells.groupBy("comp", "label").agg(F.count("*").alias("n"), F.min(F.when(F.col("label") == -1, F.col("key"))).alias("k"))
+    groups = cells.groupBy("comp").agg(
+        F.max(F.when(F.col("label") == -1, F.col("n"))).alias("size"), F.min("k").alias("entity_key"),
+        F.collect_list(F.when(F.col("label") >= 0, F.struct("label", "n"))).alias("vec"),  # at most one entry per label
+    )
+    one = lambda j: F.struct(j.alias("label"), F.lit(1).cast("bigint").alias("n"))
+    alone = keyed.where("comp is null").select(F.lit(None).cast("string").alias("comp"), F.lit(1).cast("bigint").alias("size"), F.col("key").alias("entity_key"), F.transform("lab", one).alias("vec"))
+    # the two kinds never meet, whatever their names are
+    every = groups.unionByName(alone).withColumn("gid", F.coalesce(F.concat(F.lit("e"), "comp"), F.concat(F.lit("k"), "entity_key"))).withColumn("group_size", F.col("size"))
+    placed = scratch.keep(stratify(every, "gid", shares, seed, scratch=scratch, carry=("comp", "entity_key", "group_size")), "placed")
+    out = placed.where("comp is null").select(F.col("entity_key").alias("key"), "entity_key", "group_size", "split")
+    return out.unionByName(_to_records(tied.select("key", "comp"), placed.where("comp is not null").drop("gid")))
+
+
+def _to_records(tied: DataFrame, placed: DataFrame) -> DataFrame:
+    n = placed.agg(F.coalesce(F.sum("group_size"), F.lit(0)).alias("n")).first().n
+    hot: Column = F.col("group_size") * HOT > n
+    large = F.broadcast(placed.where(hot))  # fewer than HOT rows, as their sizes sum to at most n
+    cols = ["key", "entity_key", "group_size", "split"]
+    a = tied.join(large, "comp").select(*cols)
+    b = tied.join(large.select("comp"), "comp", "left_anti").join(placed.where(~hot), "comp").select(*cols)
+    return a.unionByName(b)
+
+
+def share_report(placed: DataFrame, rows: DataFrame, key: str, labels: str, shares: dict[str, float]) -> DataFrame:
+    """(label_idx, split, records, share, deviation): how far each label's share of a split is from the one asked for; label NULL is all records."""
+    lab = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.array_distinct(F.min(F.coalesce(F.col(labels), F.array().cast("array<int>")))).alias("lab"))
+    long = placed.join(lab, "key").select("split", F.explode(F.array_append("lab", F.lit(None).cast("int"))).alias("label_idx"))
+    per = long.groupBy("label_idx").agg(F.count("*").alias("n"), *[F.count_if(F.col("split") == s).alias(f"s{i}") for i, s in enumerate(shares)])
+    total = sum(shares.values())
+    parts = F.array(*[F.struct(F.lit(s).alias("split"), F.col(f"s{i}").alias("records"), F.lit(v / total).alias("asked")) for i, (s, v) in enumerate(shares.items())])
+    x = per.select("label_idx", "n", F.explode(parts).alias("x"))
+    return x.select("label_idx", "x.split", "x.records", (F.col("x.records") / F.col("n")).alias("share"), (F.col("x.records") / F.col("n") - F.col("x.asked")).alias("deviation"))

@@ -181,9 +181,19 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 SHARES = {"train": 80.0, "val": 10.0, "test": 10.0}
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "evidence").select("key", N.record_name(F.col("record_id")).alias("entity"), N.label_indices(F.col("pn_positive"), _lookup(spark, d)).alias("labels"))
+
+
 def p7_splits(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "evidence").select("key", N.record_name(F.col("record_id")).alias("entity"), N.label_indices(F.col("pn_positive"), _lookup(spark, d)).alias("labels"))
-    return groupsplit.split_groups(e, "key", "entity", "labels", SHARES)
+    return groupsplit.split_groups(_records(spark, d), "key", "entity", "labels", SHARES)
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What each label's share of each split is, and how far from the one asked for."""
+    e = _records(spark, d)
+    r = groupsplit.share_report(groupsplit.split_groups(e, "key", "entity", "labels", SHARES), e, "key", "labels", SHARES)
+    return r.select("label_idx", "split", "records", F.round("share", 9).alias("share"), F.round("deviation", 9).alias("deviation"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -317,6 +317,20 @@ def test_splits_keep_groups_and_shares(spark):
     assert all(abs(c["val"] / sum(c.values()) - 0.1) < 0.05 for c in lab.values())
 
 
+def test_a_record_of_two_entities_ties_them(spark):
+    data = [(f"a{i}", "A", [0]) for i in range(20)] + [(f"b{i}", "B", [1]) for i in range(20)] + [("bridge", "A", [0]), ("bridge", "B", [0])]
+    data += [(f"s{i}", None, [i % 3]) for i in range(300)] + [(f"c{i}", f"C{i // 2}", None) for i in range(60)]
+    df = spark.createDataFrame(data, "key string, ent string, lab array<int>").withColumn("split", F.lit("clash"))
+    got = {r.key: r for r in groupsplit.split_groups(df, "key", "ent", "lab", {"train": 80, "val": 10, "test": 10}).collect()}
+    assert len(got) == 20 + 20 + 1 + 300 + 60
+    tied = [got[k] for k in got if k[0] in "ab"]
+    assert {r.entity_key for r in tied} == {"a0"} and {r.group_size for r in tied} == {41} and len({r.split for r in tied}) == 1
+    assert all(got[f"c{2 * i}"].split == got[f"c{2 * i + 1}"].split for i in range(30))
+    report = groupsplit.share_report(groupsplit.split_groups(df, "key", "ent", "lab", {"train": 80, "val": 10, "test": 10}), df, "key", "lab", {"train": 80, "val": 10, "test": 10}).collect()
+    assert all(abs(r.deviation) <= 0.02 for r in report if r.label_idx is None)
+    assert {(r.label_idx, r.records) for r in report if r.split == "train"} >= {(None, sum(x.split == "train" for x in got.values()))}
+
+
 def test_splits_without_labels_or_rows(spark):
     df = spark.createDataFrame([("a", "e", None), ("b", "e", []), ("c", None, None)], "key string, ent string, labels array<int>")
     got = groupsplit.split_groups(df, "key", "ent", "labels", {"train": 1, "test": 1}).collect()
