@@ -1,5 +1,10 @@
 """Abusive, hateful or sexual content: a weighted lexicon matched by Aho-Corasick after folding.
 
+A hit weighs by its concept: slur, threat, contempt for a group, sexual talk,
+demeaning phrase, insult, mild word.  Patterns combine persons or groups with
+weaker words; one is tried only on texts in which the automaton of its anchors,
+strings of which every match holds at least one, has found something.
+
 Folding undoes what hides a word: letter case, accents, full-width and
 mathematical alphabets, zero-width characters, look-alike letters of other
 scripts, digits for letters, letters set apart by a sign, repeated letters, and
@@ -18,6 +23,7 @@ import functools
 import itertools
 import math
 import re
+import re._parser as re_parser
 import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -31,19 +37,26 @@ from pyspark.sql import functions as F
 from tagloom.llm import abuse_lexicon as L
 from tagloom.llm._common import fresh
 
-STRONG, MILD = 10.0, 0.05
+#: Weight from which a hit counts as strong.
+STRONG = 5.0
 #: Score from which a document counts as abusive.
 THRESHOLD = 1.0
 
 _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}"
 _DROP = regex.compile(r"[\p{Mn}\p{Cf}\p{Me}]+")
 _APART = regex.compile(r"(?<![\p{L}\p{N}])(\p{L}|[0-9])([ ._\-·•|~+])(?:(?:\p{L}|[0-9*@#$])\2)*(?:\p{L}|[0-9*@#$])(?![\p{L}\p{N}])")
-_MIXED = regex.compile(r"[\p{Latin}0-9$€£]*\p{Latin}[\p{Latin}0-9$€£*@#]*")
+_MIXED = re.compile(r"[a-zß-ɏ0-9$€£]*(?:[a-zß-ɏ][0-9$€£]|[0-9$€£][a-zß-ɏ])[a-zß-ɏ0-9$€£*@#]*")
 _SIGNS = regex.compile(r"(?<![\p{L}\p{N}*@#%])(?=[*@#%]*\p{Latin})(?=\p{Latin}*[*@#%])[\p{Latin}*@#%]+(?![\p{L}\p{N}])")
 _MASK = regex.compile(r"(?<=\p{L})[*@#%]|[*@#%](?=\p{L})")
-_REPEAT = regex.compile(r"(\p{L})\1+")
+_REPEAT = re.compile(r"([^\W\d_])\1+")
+#: What must stand in a text for a step of the folding to matter.
+_MAY_BE_APART = re.compile(r"(?<![^\W_])[^\W_][ ._\-·•|~+][^\W_](?:[ ._\-·•|~+])[^\W_*@#$]|(?<![^\W_])[^\W_]([ ._\-·•|~+])[*@#$]\1")
+_LEET_SIGN = re.compile(r"[a-zß-ɏ][0-9$€£]|[0-9$€£][a-zß-ɏ]")
+_MASK_SIGN = re.compile(r"[*@#%]")
 #: A full stop between letters may only hide a word, and one after a single letter shortens it.
 _SENTENCE = regex.compile(r"[!?;。｡\n\r\u2028\u2029]+|(?<!(?<![\p{L}\p{N}])\p{L})\.+(?=[\s\p{P}]|$)|(?<=\p{Han})\.+(?=\s|$)")
+_SENTENCE_PLAIN = re.compile(r"[!?;\n\r]+|(?<!(?<![a-z0-9])[a-z])\.+(?=[\s!-/:-@\[-`{-~]|$)")
+_OTHER_PLAIN = re.compile(r"[^a-z0-9*]+")
 _OTHER = regex.compile(rf"[^\p{{L}}\p{{N}}*]+")
 _CJK_GAP = regex.compile(rf"(?<=[{_CJK}])[ *]+(?=[{_CJK}])")
 _BORDER = regex.compile(rf"(?<=[{_CJK}])(?=[^{_CJK} ])|(?<=[^{_CJK} ])(?=[{_CJK}])")
@@ -70,7 +83,7 @@ def _known() -> set[str]:
     if not _KNOWN:
         phrases = itertools.chain.from_iterable(map(_alternatives, L.PHRASES))
         _KNOWN.update(_plain(w) for p in (*L.INSULTS, *L.EXPLICIT, *L.MILD, *phrases, *L.JOINING) for w in p.split() if not _IS_CJK.search(w))
-        patterns = regex.sub(r"\\p\{\p{L}+\}", " ", " ".join((*L.PATTERNS, *L.SETS.values())))
+        patterns = regex.sub(r"\\p\{\p{L}+\}", " ", " ".join((*itertools.chain.from_iterable(L.PATTERNS.values()), *L.SETS.values())))
         _KNOWN.update(w for w in regex.findall(r"\p{Latin}{2,}", patterns))
         _KNOWN.update("aiouey")
     return _KNOWN
@@ -154,34 +167,46 @@ class Folded(NamedTuple):
 
 
 def _fold(text: str, choice: int = 0) -> Folded:
-    t = unicodedata.normalize("NFKC", text).casefold()
-    t = _DROP.sub("", unicodedata.normalize("NFD", t))
-    t = unicodedata.normalize("NFC", t).translate(_GLYPHS)
-    t = _APART.sub(_join_apart, t)
-    t = _MIXED.sub(lambda m: m.group().translate(_LEET), t)
+    plain = text.isascii()
+    if plain:
+        t = text.lower()
+    else:
+        t = unicodedata.normalize("NFKC", text).casefold()
+        t = _DROP.sub("", unicodedata.normalize("NFD", t))
+        t = unicodedata.normalize("NFC", t).translate(_GLYPHS)
+    # each step runs only where its signs are
+    if _MAY_BE_APART.search(t):
+        t = _APART.sub(_join_apart, t)
+    if _LEET_SIGN.search(t):
+        t = _MIXED.sub(lambda m: m.group().translate(_LEET), t)
     choices = 1
+    if _MASK_SIGN.search(t):
 
-    def unmask(m: regex.Match) -> str:
-        nonlocal choices
-        words = _behind(m.group())
-        choices = max(choices, len(words))
-        return words[choice % len(words)] if words else m.group()
+        def unmask(m: regex.Match) -> str:
+            nonlocal choices
+            words = _behind(m.group())
+            choices = max(choices, len(words))
+            return words[choice % len(words)] if words else m.group()
 
-    t = _SIGNS.sub(unmask, t)
-    t = _MASK.sub("*", t)
+        t = _MASK.sub("*", _SIGNS.sub(unmask, t))
     t = _REPEAT.sub(r"\1", t)
-    out, ends = " ", []
-    for part in _SENTENCE.split(t):
-        part = _CJK_GAP.sub("", _OTHER.sub(" ", part))
-        part = " ".join(_BORDER.sub(" ", part).split())
+    out, n, ends = [], 1, []
+    for part in _SENTENCE_PLAIN.split(t) if plain else _SENTENCE.split(t):
+        if plain:
+            part = " ".join(_OTHER_PLAIN.sub(" ", part).split())
+        else:
+            part = _CJK_GAP.sub("", _OTHER.sub(" ", part))
+            part = " ".join(_BORDER.sub(" ", part).split())
         if not part:
             continue
-        if len(out) > 1:
-            ends.append(len(out) - 1)
-            if _IS_CJK.match(out[-2]) and _IS_CJK.match(part):
-                out = out[:-1]
-        out += f"{part} "
-    return Folded(out, ends, choices)
+        if out:
+            ends.append(n - 1)
+            if not plain and _IS_CJK.match(out[-1][-2]) and _IS_CJK.match(part):
+                out[-1] = out[-1][:-1]
+                n -= 1
+        out.append(f"{part} ")
+        n += len(part) + 1
+    return Folded(" " + "".join(out), ends, choices)
 
 
 def fold(text: str) -> str:
@@ -220,6 +245,55 @@ def _pattern(p: str) -> str:
     return p.replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{Han}", "[\u4e00-\u9fff]")
 
 
+def _exact(seq) -> list[set[str] | None]:
+    """A parsed pattern as pieces in a row: the strings that a piece may be, or None if that is open."""
+    out: list[set[str] | None] = []
+    for op, arg in seq:
+        name = str(op)
+        if name == "LITERAL":
+            piece: list[set[str] | None] = [{chr(arg)}]
+        elif name == "SUBPATTERN":
+            piece = _exact(arg[3])
+        elif name == "BRANCH":
+            ways = [_joined(_exact(x)) for x in arg[1]]
+            piece = [set().union(*[w[0] for w in ways])] if all(len(w) == 1 and w[0] is not None for w in ways) else [None]
+        elif name == "MAX_REPEAT" and arg[1] == 1:
+            inner = _joined(_exact(arg[2]))
+            piece = [inner[0] | {""}] if len(inner) == 1 and inner[0] is not None else [None]
+        elif name in ("AT", "ASSERT", "ASSERT_NOT"):
+            piece = []
+        else:
+            piece = [None]
+        out += piece
+    return out
+
+
+def _joined(pieces: list[set[str] | None], most: int = 3000) -> list[set[str] | None]:
+    """Neighbouring pieces made one as long as that has few strings."""
+    out: list[set[str] | None] = []
+    for p in pieces:
+        if p is not None and out and out[-1] is not None and len(out[-1]) * len(p) <= most:
+            out[-1] = {a + b for a in out[-1] for b in p}
+        else:
+            out.append(p)
+    return out or [{""}]
+
+
+def anchors(pattern: str) -> set[str]:
+    """Strings of which every match of the pattern holds at least one, as telling ones as can be; none if there are no such."""
+    common = set(L.JOINING) | set("i you u ya will am going want wants your me her him them are is should must and have has had be been do dont not".split())
+
+    def worth(strings: set[str]) -> tuple[int, int]:
+        letters = min(sum(len(w) * (4 if _IS_CJK.match(w) else 1) for w in x.split() if w not in common) for x in strings)
+        return (min(letters, 8), -len(strings))
+
+    # every split of a run of pieces is a choice as well, so that a common beginning need not stand for all
+    parsed = _exact(re_parser.parse(pattern))
+    choices = [p for p in (*parsed, *_joined(parsed)) if p is not None and "" not in p]
+    best = max(choices, key=worth, default=set())
+    return {x for x in best} if best and worth(best)[0] > 0 else set()
+
+
 class Lexicon:
     """Compiled automata; one per Python worker."""
 
@@ -232,7 +306,9 @@ class Lexicon:
         def add(form: str, weight: float) -> None:
             weights[form] = max(weights.get(form, 0.0), weight)
 
-        for w, phrases in ((MILD, L.MILD), (STRONG, [*L.INSULTS, *L.EXPLICIT, *itertools.chain.from_iterable(map(_alternatives, L.PHRASES))])):
+        w = L.WEIGHTS
+        by_weight = [(w["mild"], L.MILD), (w["insult"], L.INSULTS), (w["slur"], L.SLURS), (w["sexual"], L.EXPLICIT), (w["phrase"], itertools.chain.from_iterable(map(_alternatives, L.PHRASES)))]
+        for w, phrases in by_weight:
             for p in phrases:
                 if _IS_CJK.search(p):
                     for form in _cjk_forms(p):
@@ -242,7 +318,15 @@ class Lexicon:
                         add(f.rstrip() if _IS_CJK.match(f.strip()[-1]) else f, w)
                 else:
                     add(fold(p), w)
-        self.patterns = [(bool(_IS_CJK.search(p)), re.compile(_pattern(p))) for p in L.PATTERNS]
+        self.patterns = [(L.WEIGHTS[c], re.compile(_pattern(p))) for c, ps in L.PATTERNS.items() for p in ps]
+        self.anchors = ahocorasick.Automaton()
+        held: dict[str, set[int]] = {}
+        for i, (_, p) in enumerate(self.patterns):
+            for x in anchors(p.pattern) or {""}:
+                held.setdefault(x, set()).add(i)
+        self.always = held.pop("", set())
+        for x, ids in held.items():
+            self.anchors.add_word(x, ids)
         for form, w in weights.items():
             self.words.add_word(form, (len(form), w))
         for p in L.HARMLESS:
@@ -258,7 +342,7 @@ class Lexicon:
         for p, n in L.NAMED_AFTER_CJK:
             f = fold(p).strip()
             self.cues.add_word(f, (len(f), n, False))
-        for a in (self.words, self.safe, self.cues):
+        for a in (self.words, self.safe, self.cues, self.anchors):
             a.make_automaton()
 
     def _excepted(self, t: str, ends: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -306,17 +390,16 @@ class Lexicon:
             if t[x] != " ":
                 put.append(x + len(put))
         whole = "".join([*marked, t[last:]])
-        cjk = bool(_IS_CJK.search(t))
-        for is_cjk, p in self.patterns:
-            if is_cjk and not cjk:
-                continue
+        may = self.always.union(*[ids for _, ids in self.anchors.iter(whole)])
+        for i in sorted(may):
+            weight, p = self.patterns[i]
             for m in p.finditer(whole):
                 a, b = m.start() - bisect.bisect_left(put, m.start()), m.end() - bisect.bisect_left(put, m.end())
-                found.append((a - (t[a - 1] == " "), b + (t[b : b + 1] == " "), STRONG))
+                found.append((a - (t[a - 1] == " "), b + (t[b : b + 1] == " "), weight))
         for a, b, w in found:
             if within(a, b, safe) or within(a, b, named) and not _ADDRESSED.search(t, max(0, a - 40), a + (t[a] == " ")):
                 continue
-            if w == STRONG:
+            if w >= STRONG:
                 strong += 1
             total += w
         words = len(t) / 6

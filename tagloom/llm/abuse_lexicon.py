@@ -1,10 +1,12 @@
 """Words and phrases of the weighted lexicon, its exception phrases, and the tables of the folding.
 
+The lists are our own choice, from general knowledge of the four languages.
+
 Everything is plain text in four languages; ``abuse`` folds it in the same way
 as it folds documents.  ``{a|b}`` stands for its alternatives.
 """
 
-# Words that are abusive wherever they stand, unless an exception covers them.
+# Words that are abusive wherever they stand, unless an exception covers them.
 INSULTS = """
 idiot idiots moron morons imbecile imbeciles cretin cretins dumbass dumbasses asshole assholes arsehole bastard bastards bitch bitches
 scumbag scumbags motherfucker dickhead wanker whore whores slut sluts cunt cunts retard faggot subhuman subhumans dipshit shithead
@@ -20,7 +22,14 @@ maricon maricones puta putas puto putos sudaca sudacas tarado tarada retrasado r
 傻逼 傻比 煞笔 沙比 傻叉 王八蛋 贱人 贱货 脑残 蠢货 畜生 废物 费物 白痴 婊子 狗娘养的 人渣 混账东西 杂种 滚犊子 草泥马 操你妈 尼玛死
 """.split()
 
-# Explicit sexual words that a text about clothes has no use for.
+# Of these, slurs against groups of people.
+SLURS = set(
+    """
+nigger niggers nigga niggas spic spics kike kikes wetback wetbacks gook gooks raghead ragheads towelhead towelheads paki pakis faggot faggots fags tranny trannies shemale retard retards subhuman subhumans untermensch kanake kanaken neger negers schwuchtel schwuchteln spast spasti spasten maricon maricones sudaca sudacas subnormal subnormales retrasado retrasados mongolo
+""".split()
+)
+
+# Explicit sexual words that a text about clothes has no use for.
 EXPLICIT = """
 porn porno pornos pornhub blowjob handjob cumshot dildo nudes horny pussy tits titties cocksucker masturbate masturbating orgasm
 ficken fickt titten muschi nacktbilder nacktfotos wichsen
@@ -30,7 +39,7 @@ follar follarte follarme follarla pollas mamada mamadas corrida tetona tetonas c
 黄色视频 色情 成人片 自慰 手淫 射精 乳交 肛交 内射 援交 嫖娼 裸体照 裸体视频 上床 一夜情 开房 性交易 操逼 鸡巴 奶子 黄片 果照 裸照 裸聊 约炮 约泡 做爱 打飞机 口交 淫荡 骚货 艹模特 操模特 偷拍裙底
 """.split()
 
-# Phrases that are abusive in themselves.
+# Phrases that are abusive in themselves.
 PHRASES = """
 piece of {shit|crap|filth|garbage}
 {human|absolute} {garbage|trash|waste|filth}
@@ -70,7 +79,7 @@ que te {jodan|follen|den}
 """
 PHRASES = PHRASES.strip().split("\n")
 
-# Fixed values: {name} in a pattern stands for one of these.
+# {name} in a pattern stands for one of these.
 SETS = {
     "weak": "stupid|dumb|pathetic|disgusting|filthy|worthless|brainless|ugly|useless|rotten|vile|repulsive|ignorant|miserable|mindless|spineless|lazy|fat|dirty|hideous|clueless|loser|losers|pig|pigs|scum|trash|garbage|rat|rats|worm|worms|creature|clown|cow|dog|dogs|freak|freaks|pervert|perverts|prick|pricks|crap|shit|filth|vermin|disgrace|nobody|failure|parasite|leech|animal|animals|monster|cockroach|ape|apes|monkey|monkeys",
     "base": "vermin|filth|scum|trash|garbage|parasites?|animals|subhumans?|(?:a )?disease|(?:a )?plague|(?:a )?cancer|rats|cockroaches|lice|pigs|dogs|apes|monkeys|savages|criminals|thieves|inferior|worthless|disgusting|stupid|dirty|lazy|retarded|dumb|brainless|pests?|leeches|dirt",
@@ -84,26 +93,54 @@ SETS = {
     "群": "(?:(?:人|女人|男人|女的|男的|妇女|同性恋|难民|移民|穆斯林|黑人|老人|胖子|穷人|乡巴佬|残疾人)|他们|她们|这些人|这种人|这帮人|那帮人|你们)",
 }
 
-# Patterns over the folded text; ``_`` stands for a space at either end, ``~`` for up to two words between.
-PATTERNS = r"""
-_(?:{you})(?: (?:are|re|r|is))?(?: (?:such|just|all|nothing|but|a|an|so|really|the|bunch|of|most|absolute|complete|total|fucking|bloody|utter|little|old|and))* (?:{weak})_
+
+# Patterns over the folded text, by concept; ``_`` stands for a space at either end, ``~`` for up to two words between.
+DEMEANING = r"""
+_(?:world|earth|everyone|we)(?: \p{L}+){0,3} better(?: off)? (?:without|before) (?:you|{group})_
 _what (?:a|an) ~(?:{weak}) (?:you|he|she|they) (?:are|is)_
 _only (?:a|an) ~(?:{weak}) (?:would|could|can)_
 _(?:listen|hey|oi|shut up)(?: you)? (?:{weak})_
 _(?:nobody|no one|noone) (?:~)(?:likes|wants|needs|loves|would miss|will miss|cares about|asked for) (?:you|your)(?: (?:(?:stupid|brainless|dumb|worthless|pathetic|ugly) )?(?:opinion|face|kind|here))?_
-_(?:world|earth|everyone|we)(?: \p{L}+){0,3} better(?: off)? (?:without|before) (?:you|{group})_
-_if you (?:just )?(?:stopped breathing|were dead|died|disappeared|never woke up)_
-_(?:hope|wish|pray)(?: that)? (?:you|he|she|they|your \p{L}+) (?:all )?(?:die|dies|choke|chokes|rot|burn|suffer|bleed|drown|get cancer|get hit|get run over|get raped|never wake up|were dead|fall down|go blind|crash)_
-_(?:go to sleep and |and |please |just )never wake up_
 _you (?:were|are) (?:a mistake|better off dead|born a mistake|not even human)_
-_(?:your )?(?:parents|mother|father|family) (?:must|should) (?:be|feel) (?:sick|ashamed|disgusted)_
-_ashamed ~raised you_
 _(?:make|makes) me (?:want to )?(?:spit|puke|vomit|throw up|sick|gag)_
+_(?:du|ihr)(?: (?:bist|seid|bleibst))?(?: (?:so|echt|ein|eine|nur|wirklich|doch|ganz|verdammter|verdammte|dreckiger))* (?:dumm|dumme|dummer|blod|bloder|blode|hasslich|ekelhaft|widerlich|wertlos|nutzlos|erbarmlich|schwein|schweine|sau|abschaum|dreck|mull|versager|ratte|ungeziefer|affe|parasit|opfer|lappen)_
+_(?:verdienen|verdient)(?: es)? nicht zu leben_
+_(?:eres|sois|tu|estas)(?: (?:un|una|unos|tan|muy|solo|de|lo|mas|verdadero|pedazo|puro|pura))* (?:estupid[oa]s?|tont[oa]s?|fe[oa]s?|basura|inutil|inutiles|cerd[oa]s?|perr[oa]s?|rata|escoria|asco|asqueros[oa]s?|parasito|mierda|patetic[oa]s?|animal|gusano|fracasad[oa]s?)_
+_nadie te (?:quiere|soporta|extranaria|echaria de menos|lloraria)_
+(?:你|妳|您)们?(?:真|就|全|都)?(?:是|这|这个|个|这种|真是)*(?:蠢|笨|丑|垃圾|猪|狗|臭|恶心|没用|废|烂|贱|虫|变态)(?!.{0,3}(?:衣|货|色))
+(?:你)?(?:爸妈|父母|爹妈|妈|家人).{0,6}(?:丢人|丢脸|后悔|生了个|瞎了眼)
+_(?:you|u|ya) (?:\p{L}+ )?(?:belong|deserve to be) (?:in|on|under|at) (?:a|the) (?:\p{L}+ )?(?:gutter|garbage|dump|trash|sewer|street|bin|zoo)_
+_(?:nobody|no one) (?:will|would) (?:ever )?(?:love|miss|want|cry for) (?:you|someone like you)_
+"""
+
+# As above, threats and wishes of harm.
+THREATS = r"""
+_(?:hope|wish|pray)(?: that)? (?:you|he|she|they|your \p{L}+) (?:all )?(?:die|dies|choke|chokes|rot|burn|suffer|bleed|drown|get cancer|get hit|get run over|get raped|never wake up|were dead|fall down|go blind|crash)_
+_if you (?:just )?(?:stopped breathing|were dead|died|disappeared|never woke up)_
 _i (?:will|ll|am going to|am gonna|m going to|gonna|shall|want to|would love to)(?: \p{L}+){0,5} (?:{harm}) (?:you|your (?:{body}|family|kids|children|face)|u|him|her|them)_
 _(?:i know|know) where you (?:live|work|sleep|park)_
 _come to your (?:house|home|place|work|door)(?: \p{L}+){0,2} and_
 _(?:someone|somebody|they|one|i|we)(?: \p{L}+)? (?:should|ought to|needs to|must) (?:{harm}) (?:the model|her|him|you|them|these people|those people|the seller|the \p{L}+er)_
 _(?:break|smash|cut|crush|rip)(?: off)? your (?:{body})_
+_wenn du (?:nicht mehr|tot|weg|stirbst|sterben)_
+_ich (?:\p{L}+ ){0,3}(?:schlag|schlage|bring|bringe|mach|mache|stech|steche|steck|finde|find|krieg|breche|brech|hau|haue|knall) (?:dich|dir|euch)_
+_(?:schlag|schlage|bring|stech|mach|prugel) (?:dich|euch) (?:tot|um|ab|fertig|kaputt)_
+_(?:si|ojala)(?: te)? (?:desaparecieras|desaparezcas|murieras|mueras|te mueras|te murieras)_
+_(?:te|os) (?:voy|vamos) a (?:matar|partir|romper|pegar|reventar|encontrar|violar|rajar|quemar|hundir|dar)_
+_(?:se )?donde (?:vives|trabajas)_
+(?:你|妳|您)(?:活着|生下来|出生|怎么).{0,6}(?:浪费|多余|错误|去死|跳楼|跳下去|不死)
+(?:你|妳)早(?:就)?(?:该|应该)(?:去)?(?:死|消失|自杀)
+(?:打断|砍断|打折|敲碎|弄死|打死|砍死|捅死|杀了|掐死|整死|揍死|揍扁)(?:了)?(?:你|他|她)
+(?:我)?知道你(?:住|在)(?:哪|什么)
+_(?:hang|shoot|kill|drown|burn|poison|hurt) (?:you|your) ?(?:self|family|kids|children|dog|house|all)?_(?= *$|.{0,20}_(?:now|tonight|soon|one day|slowly))
+_ich wei(?:s|ss|ß) wo (?:du|ihr) (?:wohn\p{L}*|arbeit\p{L}*|schlaf\p{L}*)_
+_(?:geh|geht|los) (?:endlich )?sterben_
+_do (?:us|everyone|the world|me|yourself) (?:all )?a favo(?:u)?r and (?:\p{L}+ ){0,2}(?:die|disappear|jump|drop dead|kill|hang|rot|vanish)_
+_se donde (?:vives|trabajas|duermes)_
+"""
+
+# As above, contempt or calls for violence against groups of people.
+AGAINST_GROUPS = r"""
 _(?:{group}) (?:are|is)(?: (?:all|just|nothing|but|the|really|only|like))* (?:{base})_
 _(?:they|those|them)(?: (?:are|re))?(?: (?:all|just|nothing|but|really|only))* (?:vermin|filth|scum|subhumans?|parasites|savages|cockroaches|lice|leeches)_
 _they (?:do not|dont|don t) deserve to (?:live|breathe|exist)_
@@ -112,74 +149,72 @@ _(?:{group}) (?:do not|dont|don t|should not|shouldn t|never) (?:deserve to|be a
 _(?:{group}) (?:should|must|ought to|deserve to|have to|need to) (?:all )?(?:be|get)?(?: )?(?:wiped out|shot|killed|gassed|deported|exterminated|hanged|burned|burnt|locked up|caged|kept out|put down|sterilized|beaten|die|banned from|thrown out|whipped|drowned|removed from)_
 _(?:lock|put|throw|keep|shut)(?: up)? (?:all )?(?:the )?(?:[^\W\d_]+ )?(?:them|{group}) (?:up |away )?(?:in|into|behind|out)(?: of)? (?:a |the )?(?:cage|cages|camp|camps|prison|bars|country|ovens|zoo)_
 _(?:deport|exterminate|gas|hang|shoot|kill|sterilize) (?:all |every )?(?:the |of )?(?:[^\W\d_]+ )?(?:{group})_
-_(?:let|letting|allow|allowed|allowing|were|was)(?: \p{L}+){0,2} (?:breathe|share) our (?:air|country)_
-_(?:never|dont|not)(?: \p{L}+)? (?:let|dress|serve|sell to) (?:{group})_(?=.{0,60}_(?:{base})_)
+_(?:{gruppe}) (?:sind|gehoren)(?: (?:alle|nur|doch|wie|eine|der|wirklich|nichts|als))* (?:seuche|ungeziefer|abschaum|parasiten|tiere|dreck|schweine|untermenschen|ratten|krebs|pest|mull|affen|kriminelle|weggesperrt|vergast|erschossen|ausgerottet|abgeschoben|eingesperrt|vernichtet|weg|raus|minderwertig|dumm)_
+_kein recht (?:auf leben|zu leben|zu atmen)_
+_(?:{grupo}) son (?:(?:una|unos|unas|todos|todas|solo|como|pura|puros) )*(?:plaga|animales|escoria|parasitos|basura|ratas|cerdos|cancer|delincuentes|subhumanos|inferiores|bestias|mierda|peste|enfermedad|estupidos)_
+_no (?:merecen|merece|mereces|merecéis|tienen derecho a) (?:vivir|respirar|existir)_
+_(?:hay que|deberian|habria que|deben) (?:echar|matar|encerrar|expulsar|exterminar|eliminar|quemar|fusilar|gasear) a_
+{群}(?:就|都|全|全都|统统|真)?(?:是|像).{0,4}(?:寄生虫|毒瘤|畜生|垃圾|害虫|蛀虫|渣|劣等|猪|狗|病毒|祸害|贱)
+{群}(?:就|都|全|全都|根本)?(?:不配|没资格|不该|没脸)(?:活|出生|进|呼吸|做人|当人)
+{群}(?:就|都|全|全都|统统)?(?:该|应该|应当).{0,3}(?:死|杀|赶|关|灭绝|消失|枪毙|滚|阉)
+(?:把)?{群}(?:都|全)?(?:赶出|关进|关起|赶走|灭)
+(?:看见|看到|一见|见到){群}.{0,3}(?:恶心|想吐|来气)
+_(?:{group}) (?:are|is)(?: (?:all|just|nothing|but|the|really|only|like|\p{L}+ and))* (?:vermin|filth|scum|subhumans?|parasites|savages|terrorists|rapists|animals)_
+_(?:{group}) belong (?:in|behind|on) (?:the |a )?(?:kitchen|cage|cages|zoo|camp|camps|chains|gutter|jail|leash)_
+_(?:we|they|someone|you) (?:should|must|ought to|need to|have to) (?:just |all )?(?:kill|shoot|gas|hang|exterminate|deport|sterilize|wipe out|burn) (?:them|these people|those people|all of them|every one of them|{group})_
+_(?:{group}) (?:are|were|is|was|being) (?:ever )?(?:allowed|let) (?:to )?(?:live|exist|breathe|breed|vote|be born|in here|near us)_
+_(?:exterminate|gas|lynch) (?:them|these people|those people|all of them)_
+_(?:{gruppe}) (?:raus|geh(?:o|oe)ren (?:geschlagen|verboten))_
+_(?:{gruppe})(?: \p{L}+)? das sind (?:alles|alle|nur|doch)(?: \p{L}+)? (?:verbrecher|kriminelle|parasiten|tiere|abschaum|dreck)_
+_(?:{grupo}) son (?:\p{L}+ )?(?:ladrones|criminales|asquerosos|violadores|terroristas|vagos)(?: \p{L}+)?_
+滚回(?:你们?的?|他们的?)?(?:国家|国|老家|乡下)
+"""
+
+# As above, sexually explicit talk and solicitation.
+SEXUAL = r"""
+_(?:{you})(?: (?:are|re|r|is))?(?: (?:such|just|all|nothing|but|a|an|so|really|the|bunch|of|most|absolute|complete|total|fucking|bloody|utter|little|old|and))* (?:{weak})_
 _(?:want|wants|wanna|like|love|going|gonna|need|wish|dying)(?: to)? (?:fuck|bang|screw|lick|rape|finger) (?:{person})_
 _fuck (?:{person})_
 _(?:lick|licked|licks|sucked|suck|fingered|fucked|banged|groped|fondled) (?:{person})_
 _(?:send|show|give|post|mail)(?: \p{L}+){0,3} (?:nudes?|naked|tits|pussy|boobs|cock|dick|ass)_
-_(?:take|strip|pull)(?: \p{L}+)? (?:everything|clothes|your clothes|it all) off(?: \p{L}+){0,2} (?:for me|on camera|touch|show|slowly|now)_
 _touch (?:yourself|your (?:self|tits|body))_
 _(?:looking|look|searching|up|ready) for (?:\p{L}+ )?(?:sex|hookups?|a fuck|a blowjob|a quickie)_
 _(?:had|have|having|want|wants|free|hot|anal|oral|wild|paid|hard)(?: \p{L}+)? sex (?:in|on|with|tonight|now|chat|video|videos|cam)_
 _(?:sex|fuck|hookup) tonight_
-_(?:his|her|my|your|the) (?:\p{L}+ )?(?:cock|dick|pussy|tits|clit|nipples|boobs)(?: (?:is|was|got|stood|gets|almost|were|are))* (?:hard|wet|stiff|dripping|throbbing|erect|hanging out|fall out|falling out|pop out|bare)_
 _(?:wet|tight|hot|shaved|dripping) (?:pussy|cunt|clit)_
-_(?:until|till|made|make) (?:she|he|her|him|you|me) (?:came|cum|climax|orgasm|squirt)_
 _(?:jerk|jerked|jerking|jack|jacked|wank|wanked|rub one|get|got|gets)(?: myself)? off (?:to|on|over)_
 _(?:got|get|gets|makes me|made me|feel) (?:so )?(?:horny|hard|wet) (?:for|from|looking|watching|over|at|seeing)_
-_(?:leaked|hidden|secret|spy|hot) (?:clips|camera|cam|video|videos|footage)(?: \p{L}+)? (?:the )?(?:changing|fitting|dressing|locker|shower) rooms?_
-_(?:clips|videos|footage|pics) from the (?:changing|fitting|dressing|locker|shower) rooms?_
-_(?:du|ihr)(?: (?:bist|seid|bleibst))?(?: (?:so|echt|ein|eine|nur|wirklich|doch|ganz|verdammter|verdammte|dreckiger))* (?:dumm|dumme|dummer|blod|bloder|blode|hasslich|ekelhaft|widerlich|wertlos|nutzlos|erbarmlich|schwein|schweine|sau|abschaum|dreck|mull|versager|ratte|ungeziefer|affe|parasit|opfer|lappen)_
-_niemand(?: \p{L}+){0,3} (?:vermissen|vermisst|leiden|braucht dich|mag dich)_(?=.{0,40}_(?:du|dich|dir)_|)
-_wenn du (?:nicht mehr|tot|weg|stirbst|sterben)_
-_ich (?:\p{L}+ ){0,3}(?:schlag|schlage|bring|bringe|mach|mache|stech|steche|steck|finde|find|krieg|breche|brech|hau|haue|knall) (?:dich|dir|euch)_
-_(?:schlag|schlage|bring|stech|mach|prugel) (?:dich|euch) (?:tot|um|ab|fertig|kaputt)_
-_(?:{gruppe}) (?:sind|gehoren)(?: (?:alle|nur|doch|wie|eine|der|wirklich|nichts|als))* (?:seuche|ungeziefer|abschaum|parasiten|tiere|dreck|schweine|untermenschen|ratten|krebs|pest|mull|affen|kriminelle|weggesperrt|vergast|erschossen|ausgerottet|abgeschoben|eingesperrt|vernichtet|weg|raus|minderwertig|dumm)_
-_(?:verdienen|verdient)(?: es)? nicht zu leben_
-_kein recht (?:auf leben|zu leben|zu atmen)_
-_(?:in den kafig|ins gas|ins lager|an die wand)_
 _(?:will|wurde|mochte|wollte)(?: \p{L}+){0,4} (?:ficken|bumsen|vogeln|durchficken)_
 _(?:suche|biete|will)(?: \p{L}+){0,2} sex_
 _(?:schick|zeig|schickt|sende)(?: \p{L}+){0,2} (?:nackt\p{L}*|titten|muschi|brüste|bruste|arsch)_
-_zieh dich(?: \p{L}+)? (?:aus|nackt)_(?=.{0,40}(?:fur mich|fass|kamera|zeig|beruhr))
 _(?:macht|machen|bin)(?: \p{L}+)? (?:geil|feucht|notgeil)(?: auf| wenn|_)
-_(?:eres|sois|tu|estas)(?: (?:un|una|unos|tan|muy|solo|de|lo|mas|verdadero|pedazo|puro|pura))* (?:estupid[oa]s?|tont[oa]s?|fe[oa]s?|basura|inutil|inutiles|cerd[oa]s?|perr[oa]s?|rata|escoria|asco|asqueros[oa]s?|parasito|mierda|patetic[oa]s?|animal|gusano|fracasad[oa]s?)_
-_(?:si|ojala)(?: te)? (?:desaparecieras|desaparezcas|murieras|mueras|te mueras|te murieras)_
-_nadie te (?:quiere|soporta|extranaria|echaria de menos|lloraria)_
-_(?:te|os) (?:voy|vamos) a (?:matar|partir|romper|pegar|reventar|encontrar|violar|rajar|quemar|hundir|dar)_
-_(?:se )?donde (?:vives|trabajas)_
-_(?:{grupo}) son (?:(?:una|unos|unas|todos|todas|solo|como|pura|puros) )*(?:plaga|animales|escoria|parasitos|basura|ratas|cerdos|cancer|delincuentes|subhumanos|inferiores|bestias|mierda|peste|enfermedad|estupidos)_
-_no (?:merecen|merece|mereces|merecéis|tienen derecho a) (?:vivir|respirar|existir)_
-_(?:hay que|deberian|habria que|deben) (?:echar|matar|encerrar|expulsar|exterminar|eliminar|quemar|fusilar|gasear) a_
 _(?:me|te|nos) (?:pone|ponen|pones|puso) (?:muy )?(?:cachond[oa]s?|caliente|duro|dura|mojada)_
 _(?:quiero|busco|vamos a|ofrezco|necesito)(?: \p{L}+)? (?:follar\p{L}*|sexo|coger|chupar\p{L}*|polvo)_
 _(?:mandame|enviame|pasame|ensename|muestrame)(?: \p{L}+){0,3} (?:desnud[oa]s?|tetas|nudes|culo|coño|cono|polla)_
 _sexo (?:esta noche|gratis|ahora|oral|anal)_
-(?:你|妳|您)们?(?:真|就|全|都)?(?:是|这|这个|个|这种|真是)*(?:蠢|笨|丑|垃圾|猪|狗|臭|恶心|没用|废|烂|贱|虫|变态)(?!.{0,3}(?:衣|货|色))
-(?:你|妳|您)(?:活着|生下来|出生|怎么).{0,6}(?:浪费|多余|错误|去死|跳楼|跳下去|不死)
-(?:你|妳)早(?:就)?(?:该|应该)(?:去)?(?:死|消失|自杀)
-(?:浪费|污染)(?:空气|粮食)
-(?:从|去)(?:楼|桥|天台|窗).{0,2}跳
-(?:你)?(?:爸妈|父母|爹妈|妈|家人).{0,6}(?:丢人|丢脸|后悔|生了个|瞎了眼)
-(?:打断|砍断|打折|敲碎|弄死|打死|砍死|捅死|杀了|掐死|整死|揍死|揍扁)(?:了)?(?:你|他|她)
-(?:我)?知道你(?:住|在)(?:哪|什么)
-{群}(?:就|都|全|全都|统统|真)?(?:是|像).{0,4}(?:寄生虫|毒瘤|畜生|垃圾|害虫|蛀虫|渣|劣等|猪|狗|病毒|祸害|贱)
-{群}(?:就|都|全|全都|根本)?(?:不配|没资格|不该|没脸)(?:活|出生|进|呼吸|做人|当人)
-{群}(?:就|都|全|全都|统统)?(?:该|应该|应当).{0,3}(?:死|杀|赶|关|灭绝|消失|枪毙|滚|阉)
-(?:把)?{群}(?:都|全)?(?:赶出|关进|关起|赶走|灭)
-(?:看见|看到|一见|见到){群}.{0,3}(?:恶心|想吐|来气)
-关进笼子
 (?:看|搞|弄|撩)得我(?:都)?(?:硬|湿)|我(?:都)?硬了|我湿了
 (?:想|要|好想)(?:操|艹|干|上|日|睡|肏)(?:死)?(?:你|她|他|模|女|这个)
 全?脱(?:光|了|掉).{0,6}(?:摸|给我|镜头|拍|看)
-(?:试衣间|更衣室|厕所|浴室|裙底)(?:偷拍|激情|做爱|做|约|自拍视频)|偷拍(?:视频|照片|裙底|片)
 (?:发|来|给|求|传)(?:我|点|几张|张|些)?.{0,4}(?:裸|果照|私密照|黄图|露点|奶|胸照)
 (?:约|找|求)(?:炮|泡|人睡|一夜)
+_(?:suck|lick|ride|stroke) (?:my|his|her|your) (?:big |hard |wet )?(?:dick|cock|balls|pussy|clit|tits)_
+_(?:big|huge|hard|throbbing|wet|stiff|erect|tight) (?:cock|dick|boner|pussy|cunt|clit)_
+_(?:made|make|makes|making) (?:her|him|me|you) (?:cum|come hard|squirt|orgasm|climax)_
+_(?:strip|undress) (?:for me|naked|on camera|on cam|in front of)_
+_(?:spy|hidden|secret) (?:cam|camera|video|videos|footage) (?:of|in|from) (?:the )?(?:girls|women|ladies|changing|shower|locker|toilet|bedroom)_
+_(?:bend|bending) (?:you|her|him) over_
+_(?:his|her|my|your) (?:cock|dick|pussy|tits|clit|nipples) (?:is|was|got|gets|went|grew|stood|goes) (?:so |all |rock )?(?:hard|wet|stiff|erect)_
+_zieh dich aus_(?=.{0,40}_(?:fur mich|kamera|zeig|nackt))
 """
-PATTERNS = PATTERNS.strip().split("\n")
 
-# Words that only add up with others.
+# Patterns by concept.
+PATTERNS = {"demeaning": DEMEANING.split("\n"), "threat": THREATS.split("\n"), "group": AGAINST_GROUPS.split("\n"), "sexual": SEXUAL.split("\n")}
+PATTERNS = {c: [p for p in ps if p] for c, ps in PATTERNS.items()}
+
+# Weight of one hit by concept.
+WEIGHTS = {"slur": 10.0, "threat": 10.0, "group": 10.0, "sexual": 9.0, "phrase": 8.0, "demeaning": 8.0, "insult": 7.0, "mild": 0.1}
+
+# Words that only add up with others.
 MILD = """
 damn stupid crap shit hell sexy naked nude ugly pathetic disgusting loser pig filthy worthless brainless
 scheisse dumm geil nackt
@@ -187,16 +222,16 @@ mierda estupido estupida desnudo inutil
 蠢 恶心 性感 变态
 """.split()
 
-# Words that stand between others where letters are set apart.
+# Words that stand between others where letters are set apart.
 JOINING = """
 the a an is are was this that these those of to in on at and or but so such not no it he she they we my his her our their who what with for from all just
 der die das ein eine ist sind war und oder so nicht er sie es wir mein dein auf von mit fur zu el la los las un una es son era y o no tan de del en con por para mi su
 """.split()
 
-# Words that a first letter and three signs may stand for, beside the insults.
+# Words that a first letter and three signs may stand for, beside the insults.
 MASKED = {"fuck", "shit"}
 
-# Harmless phrases; a hit inside one does not count.
+# Harmless phrases; a hit inside one does not count.
 HARMLESS = """
 idiot proof
 idiot checked
@@ -217,7 +252,7 @@ son of a bitch of a zip
 性别
 """.strip().split("\n")
 
-# Fixed values: (cue, words): phrases after which up to so many words are only named, in rules, reports and lists of removed posts.
+# (cue, words): phrases after which up to so many words are only named, in rules, reports and lists of removed posts.
 NAMED_AFTER = [
     ("comments with the word", 2),
     ("posts with the word", 2),
@@ -227,6 +262,9 @@ NAMED_AFTER = [
     ("calls someone a", 2),
     ("calls someone an", 2),
     ("call someone a", 2),
+    ("call anyone a", 2),
+    ("call anyone an", 2),
+    ("call people", 3),
     ("call someone an", 2),
     ("was called", 3),
     ("called someone", 3),
@@ -245,10 +283,10 @@ NAMED_AFTER = [
     ("palabras bloqueadas", 6),
 ]
 
-# Fixed values: (cue, words) of the same kind that come after what they name.
+# (cue, words) of the same kind that come after what they name.
 NAMED_BEFORE = [("as content to remove", 5), ("content to remove", 5), ("has to be reported", 3), ("have to be reported", 3), ("se denuncia", 6), ("wird gemeldet", 3), ("wurde gemeldet", 3)]
 
-# Fixed values: (cue, characters) of the same kind in Chinese text, which has no word borders.
+# (cue, characters) of the same kind in Chinese text, which has no word borders.
 NAMED_AFTER_CJK = [("屏蔽词", 24), ("条带", 6), ("骂人", 6), ("规范第", 14), ("留言里的", 6)]
 
 # Pinyin and look-alike characters that stand for one character of a Chinese word.

@@ -481,3 +481,26 @@ def test_general_abuse_and_goods():
     fine = ["this stupid ugly zip is garbage", "you are shipping garbage zips", "the seams are filthy and the hem is disgusting", "are these animals on the print", "you will find your size", "die Nähte sind hässlich", "los botones son basura", "这个拉链真是垃圾", "what a stupid pocket", "will hurt your shoulders", "naked seam, nude shade", "people are happy with it", "they are disgusting to the touch, these cuffs", "those are trash and should be thrown out"]
     assert [x for x in bad if not _abusive(x)] == []
     assert [x for x in fine if _abusive(x)] == []
+
+
+def test_anchors_lose_no_match():
+    lex = abuse.lexicon()
+    texts = ["all refugees should be shot", "I am going to stab you", "black people are animals", "I will find out your address and beat you up", "Ich weiß wo du wohnst", "滚回你的国家", "他们这种人就该死", "see you in the shop", "Women belong in the kitchen", "suck my dick", "los gitanos son unos ladrones asquerosos"]
+    for x in texts:
+        whole = abuse.fold(x)
+        may = lex.always.union(*[ids for _, ids in lex.anchors.iter(whole)])
+        assert {i for i, (_, p) in enumerate(lex.patterns) if p.search(whole)} <= may
+        assert (lex.weigh(x)[1] >= abuse.THRESHOLD) == (x != "see you in the shop")
+    got = abuse.anchors("(?:ab|cd)e(?:lion|tiger) ?x*")
+    assert got and all(any(a in x for a in got) for x in ("abelion", "cdelion ", "abetiger x", "cdetigerxx"))
+    assert not abuse.anchors("(?:lion)?.*")
+
+
+def test_weights_go_by_concept_and_length():
+    lex = abuse.lexicon()
+    score = lambda x: lex.weigh(x)[1]
+    slur, insult, mild = score("you are a subhuman"), score("what an idiot"), score("damn ugly stitching")
+    assert slur > insult > abuse.THRESHOLD > mild > 0
+    long = " The seam of the coat holds well." * 3000
+    assert abuse.THRESHOLD <= score("what an idiot." + long) < insult and score("damn ugly stitching." + long) < mild
+    assert score("i.d.i.o.t") >= abuse.THRESHOLD and score(".".join("xyzq" * 60) + ". i.d.i.o.t") >= abuse.THRESHOLD
