@@ -15,7 +15,19 @@ _SLOTS = f"""s AS (SELECT DISTINCT global_batch, slot, lower(trim(stream, {_WS})
  z AS (SELECT count(DISTINCT (global_batch, slot)) // 10 AS size FROM s),
  r AS (SELECT t.category_id, any_value(t.target_ppm) AS ppm, any_value(t.min_rows) AS least, count(s.slot) AS rows FROM sample_target t LEFT JOIN s ON s.stream = lower(trim(t.stream, {_WS})) AND s.i IS NOT DISTINCT FROM t.balanced_label_index GROUP BY 1)"""
 
+_OVERLAPS = f"""{_NORM}, k AS (SELECT DISTINCT key, sha, path, ph, CAST('0x' || substr(ph, 1, 8) AS BIGINT) AS h, CAST('0x' || substr(ph, 9, 8) AS BIGINT) AS l, lower(trim(split, {_WS})) AS s FROM norm),
+ t AS (SELECT * FROM k WHERE s = 'train'), e AS (SELECT * FROM k WHERE s IN ('val', 'test')),
+ p AS (SELECT e.key, 'sha256' AS how, t.key AS other FROM t JOIN e ON t.sha = e.sha UNION SELECT e.key, 'image_path', t.key FROM t JOIN e ON t.path = e.path UNION SELECT e.key, 'phash64', t.key FROM t JOIN e ON bit_count(xor(t.h, e.h)) + bit_count(xor(t.l, e.l)) <= 2)"""
+
 SQL = {
+    "p6_report": f"""WITH {_OVERLAPS}, h AS (SELECT key, max((how = 'sha256')::INT) AS x, max((how = 'phash64')::INT) AS y, max((how = 'image_path')::INT) AS z FROM p GROUP BY 1),
+ q AS (SELECT DISTINCT key, source, lower(trim(split, {_WS})) AS split FROM evidence WHERE key IS NOT NULL)
+ SELECT split, source, count(*) AS n_keys, count(x) AS n_overlapping, coalesce(sum(x), 0)::BIGINT AS n_sha256, coalesce(sum(y), 0)::BIGINT AS n_phash64, coalesce(sum(z), 0)::BIGINT AS n_image_path FROM q LEFT JOIN h USING (key) WHERE split IN ('val', 'test') GROUP BY 1, 2""",
+    "p5_groups": f"""WITH RECURSIVE {_NORM}, k AS (SELECT DISTINCT key, ph FROM norm WHERE key IS NOT NULL), e AS (
+  SELECT key_a AS a, key_b AS b FROM match_pair WHERE lower(trim(verdict, {_WS})) = 'match' AND key_a IN (SELECT key FROM k) AND key_b IN (SELECT key FROM k)
+  UNION SELECT min(key) OVER (PARTITION BY ph), key FROM k WHERE ph IS NOT NULL),
+ e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT key AS v, key AS w FROM k UNION SELECT r.v, e2.b FROM r JOIN e2 ON r.w = e2.a)
+ SELECT v AS key, min(w) AS group_key FROM r GROUP BY 1""",
     "p1_found": f"WITH {_BASKETS} SELECT basket_kind, label_a, label_b FROM t WHERE n_ab >= 5 AND n_ab * n_baskets >= 3 * n_a * n_b",
     "p1_pairs": f"""WITH {_BASKETS}, d AS (SELECT *, n_ab::DOUBLE AS x, (n_a - n_ab)::DOUBLE AS y, (n_b - n_ab)::DOUBLE AS z, (n_baskets - n_a - n_b + n_ab)::DOUBLE AS w FROM t)
  SELECT basket_kind, label_a, label_b, n_ab, n_a, n_b, n_baskets, round(x * n_baskets / (n_a::DOUBLE * n_b), 9) AS lift, round(((x + 0.5) * (w + 0.5)) / ((y + 0.5) * (z + 0.5)), 9) AS odds_ratio FROM d""",

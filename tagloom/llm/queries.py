@@ -158,20 +158,27 @@ def _split() -> Column:
     return F.lower(N.strip(F.col("split")))
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+def _overlaps(spark: SparkSession, d: str) -> crosssplit.Overlaps:
     e = table(spark, d, "evidence").select("key", "sha256", "image_path", "phash64", F.when(_split() == "train", "train").when(_split().isin("val", "test"), "eval").alias("side"))
     bits = N.hamming64(N.hex_to_long(F.col("eval_value")), N.hex_to_long(F.col("train_value"))) <= 2
-    return crosssplit.cross_split_pairs(e, "key", "side", {"sha256": N.sha256_hex(F.col("sha256")), "image_path": N.image_path(F.col("image_path"))}, {"phash64": (N.phash_hex(F.col("phash64")), 2, 16, bits)})
+    # two flipped bits change at most two hex digits and move none: of four segments two stand, 32 bits together
+    near = {"phash64": crosssplit.Near(N.phash_hex(F.col("phash64")), 2, 16, bits, aligned=True, together=2)}
+    return crosssplit.Overlaps(e, "key", "side", {"sha256": N.sha256_hex(F.col("sha256")), "image_path": N.image_path(F.col("image_path"))}, near)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _overlaps(spark, d).select(F.least("train_key", "eval_key").alias("key_a"), F.greatest("train_key", "eval_key").alias("key_b")).distinct()
+    return _overlaps(spark, d).pairs().select(F.least("train_key", "eval_key").alias("key_a"), F.greatest("train_key", "eval_key").alias("key_b")).distinct()
+
+
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation keys that also stand in train, with the class of the value that gave them away and its number of links."""
+    return _overlaps(spark, d).members()
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    """Evaluation keys that also stand in train, by split and source, and by what gave them away."""
-    e = table(spark, d, "evidence").select(F.col("key").alias("eval_key"), _split().alias("split"), "source").where("split in ('val', 'test')").distinct()
-    hit = _overlaps(spark, d).groupBy("eval_key").agg(*[F.max((F.col("by") == x).cast("int")).alias(f"by_{x}") for x in ("sha256", "phash64", "image_path")])
+    """Counts of evaluation keys that also stand in train, by split and source, and by what gave them away; without pairs."""
+    e = table(spark, d, "evidence").where("key is not null").select(F.col("key").alias("eval_key"), _split().alias("split"), "source").where("split in ('val', 'test')").distinct()
+    hit = _overlaps(spark, d).members().groupBy("eval_key").agg(*[F.max((F.col("by") == x).cast("int")).alias(f"by_{x}") for x in ("sha256", "phash64", "image_path")])
     t = e.join(hit, "eval_key", "left")
     return t.groupBy("split", "source").agg(F.count("*").alias("n_keys"), F.count("by_sha256").alias("n_overlapping"), *[F.coalesce(F.sum(f"by_{x}"), F.lit(0)).alias(f"n_{x}") for x in ("sha256", "phash64", "image_path")])
 

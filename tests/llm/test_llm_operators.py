@@ -281,14 +281,44 @@ def test_segments_of_fixed_length(spark):
     assert got == {(a, b) for a in set(base) for b in set(other) if _edit(a, b) <= 2}
 
 
-def test_cross_split_pairs(spark):
-    data = [("t1", "train", "s1", "0" * 16), ("t2", "train", None, "f" * 16), ("v1", "eval", "s1", "0" * 15 + "3"), ("v2", "eval", None, "0" * 14 + "10"), ("v3", None, "s1", "0" * 16), (None, "train", "s1", None), ("v1", "eval", "s1", None)]
-    df = spark.createDataFrame(data, "key string, side string, sha string, h string").withColumn("k", F.lit("clash")).withColumn("by", F.lit(0))
-    got = crosssplit.cross_split_pairs(df, "key", "side", {"sha": F.col("sha")}, {"h": (F.col("h"), 2, 16, None)})
-    assert rows(got) == [("t1", "v1", "h"), ("t1", "v1", "sha"), ("t1", "v2", "h")]
-    assert crosssplit.cross_split_pairs(df.limit(0), "key", "side", {"sha": F.col("sha")}, {}).count() == 0
+def test_aligned_segments_find_every_pair_of_substitutions(spark):
+    base = [[rng.choice("0123456789abcdef") for _ in range(16)] for _ in range(80)]
+
+    def mutate(v):
+        v = list(v)
+        for i in rng.sample(range(16), rng.randrange(4)):
+            v[i] = rng.choice("0123456789abcdef")
+        return "".join(v)
+
+    other = [mutate(v) for v in base for _ in range(3)]
+    base = ["".join(v) for v in base]
+    df = lambda v: spark.createDataFrame([(x,) for x in v] + [(None,)], "value string")
+    far = lambda a, b: sum(x != y for x, y in zip(a, b))
+    for together in (1, 2, 3):
+        got = set(map(tuple, crosssplit.near_values(df(base), df(other), 2, length=16, aligned=True, together=together).collect()))
+        assert got >= {(a, b) for a in set(base) for b in set(other) if far(a, b) <= 2}
+        assert all(_edit(a, b) <= 2 for a, b in got)
+    with pytest.raises(ValueError):
+        crosssplit.near_values(df(base), df(other), 2, aligned=True)
+
+
+def test_overlaps(spark):
+    data = [("t1", "train", "s1", "0" * 16), ("t2", "train", None, "f" * 16), ("v1", "eval", "s1", "0" * 15 + "3"), ("v2", "eval", None, "0" * 14 + "10"), ("v3", None, "s1", "0" * 16), (None, "train", "s1", None), ("v1", "eval", "s1", None), ("t3", "train", "s1", "1" * 16), ("t1", "train", "s1", "0" * 16)]
+    df = spark.createDataFrame(data, "key string, side string, sha string, h string").withColumn("k", F.lit("clash")).withColumn("by", F.lit(0)).withColumn("train", F.lit(1))
+    o = crosssplit.Overlaps(df, "key", "side", {"sha": F.col("sha")}, {"h": crosssplit.Near(F.col("h"), 2, 16)})
+    assert rows(o.pairs()) == [("t1", "v1", "h"), ("t1", "v1", "sha"), ("t1", "v2", "h"), ("t3", "v1", "sha")]
+    assert sorted((r.eval_key, r.by, r.links) for r in o.members().collect()) == [("v1", "h", 1), ("v1", "sha", 2), ("v2", "h", 1)]
+    empty = crosssplit.Overlaps(df.limit(0), "key", "side", {"sha": F.col("sha")}, {})
+    assert empty.pairs().count() == 0 and empty.members().count() == 0
     with pytest.raises(ValueError):
-        crosssplit.cross_split_pairs(df, "key", "side", {}, {})
+        crosssplit.Overlaps(df, "key", "side", {}, {})
+
+
+def test_members_of_a_value_that_a_third_shares(spark):
+    df = spark.range(60_000).select(F.concat(F.lit("k"), "id").alias("key"), F.when(F.col("id") % 5 == 0, "eval").otherwise("train").alias("side"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("sha"), F.when(F.col("id") % 3 == 1, "a" * 16).alias("h"))
+    m = crosssplit.Overlaps(df, "key", "side", {"sha": F.col("sha")}, {"h": crosssplit.Near(F.col("h"), 2, 16, aligned=True, together=2)}).members()
+    got = {r.by: (r.n, r.links) for r in m.groupBy("by").agg(F.count("*").alias("n"), F.max("links").alias("links")).collect()}
+    assert got == {"sha": (4000, 16000), "h": (4000, 16000)}
 
 
 # 7 --------------------------------------------------------------------------------------------------------------------
