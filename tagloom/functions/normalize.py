@@ -7,6 +7,7 @@ text and stand-ins for "no value" to NULL.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from itertools import chain
 
@@ -131,8 +132,13 @@ def label_indices(c: Column, lookup: dict[str, int]) -> Column:
         return empty
     if len(lookup) > MAP_LIMIT:
         return F.coalesce(_lookup_udf(lookup)(c), empty)
-    m = F.create_map(*[F.lit(x) for x in chain.from_iterable(sorted(lookup.items()))])
-    found = F.transform(c, lambda t: F.try_element_at(m, strip(t)))
+    # a map is searched from its beginning, so names are spread over small maps by a checksum
+    parts: list[dict[str, int]] = [{} for _ in range(max(1, len(lookup) // 2))]
+    for name, i in sorted(lookup.items()):
+        parts[zlib.crc32(name.encode()) % len(parts)][name] = i
+    maps = F.array(*[F.create_map(*[F.lit(x) for x in chain.from_iterable(p.items())]) if p else F.create_map().cast("map<string,int>") for p in parts])
+    here = lambda s: F.try_element_at(F.get(maps, F.pmod(F.crc32(s), F.lit(len(parts))).cast("int")), s)
+    found = F.transform(c, lambda t: _once(strip(t), here))
     return F.coalesce(F.array_sort(F.array_distinct(F.filter(found, lambda i: i.isNotNull()))), empty)
 
 
