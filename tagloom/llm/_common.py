@@ -2,48 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from tagloom.operators.ranked import fresh, spread_rank
 
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that no column of ``df`` has, letter case aside."""
-    have = {c.lower() for c in df.columns}
-    name = stem
-    while name.lower() in have:
-        name += "_"
-    return name
-
-
-def spread_rank(df: DataFrame, group: list[str], order: list[Column], out: str, buckets: int = 4096, weight: Column | None = None, out_total: str | None = None) -> DataFrame:
-    """1-based rank of every row within its group, for groups that no single task could sort.
-
-    ``order`` must begin with a BIGINT that is uniform over its range, such as
-    ``xxhash64``: its top bits name a bucket.  Rows are counted per (group,
-    bucket), a window over those few counts gives each bucket its offset, and
-    rows are ranked within a bucket only.  With ``weight`` the rank becomes the
-    sum of the weights before the row.  ``out_total`` adds the group's total.
-    """
-    b, off, tot = fresh(df, "_bucket"), fresh(df, "_offset"), out_total or fresh(df, "_total")
-    w = F.lit(1) if weight is None else weight
-    rows = df.withColumn(b, F.floor((F.shiftrightunsigned(order[0], 32) * F.lit(buckets)) / F.lit(1 << 32)).cast("int"))
-    counts = rows.groupBy(*group, b).agg(F.sum(w).cast("bigint").alias("_n"))
-    by_group = Window.partitionBy(*group)
-    before = by_group.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    other = {c: fresh(rows, f"_g{i}") for i, c in enumerate([*group, b])}
-    counts = counts.select(*[F.col(c).alias(x) for c, x in other.items()], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(off), F.sum("_n").over(by_group).alias(tot))
-    cond = F.lit(True)
-    for c, x in other.items():
-        cond &= F.col(f"`{c}`").eqNullSafe(F.col(x))
-    joined = rows.join(counts, cond, "left").drop(*other.values())
-    inner = Window.partitionBy(*group, b).orderBy(*order)
-    if weight is None:
-        ranked = joined.withColumn(out, F.col(off) + F.row_number().over(inner))
-    else:
-        prior = F.coalesce(F.sum(w).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = joined.withColumn(out, (F.col(off) + prior).cast("bigint"))
-    return ranked.drop(b, off) if out_total else ranked.drop(b, off, tot)
+__all__ = ["fresh", "keep_order_hash", "spread_rank"]
 
 
 def keep_order_hash(seed: int, *cols: str | Column) -> Column:

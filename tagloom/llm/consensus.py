@@ -25,8 +25,12 @@ from tagloom.session import Scratch
 
 #: Annotators and label x feature columns whose parameters the driver holds.
 MAX_ANNOTATORS = 200_000
+#: Labels, each of which has weights that the driver holds.
+MAX_LABELS = 4096
 #: Hash space of item features.
-FEATURES = 64
+FEATURES = 512
+#: Classes of the number of labels raised, two per octave: enough for any vocabulary.
+COUNTS = 64
 PRESENT, ABSENT, OPEN = 0, 1, 2
 
 
@@ -54,12 +58,15 @@ def pack_answers(answers: DataFrame, item: str, annotator: str, lists: dict[str,
     stated = lambda s: lambda i: F.struct(i.alias("label"), F.lit(s).alias("s"))
     parts = F.flatten(F.array(*[F.transform(F.coalesce(c, F.array().cast("array<int>")), stated(s)) for c, s in lists.values()]))
     seen = F.array(F.struct(F.lit(-1).alias("label"), F.lit(0).alias("s")))
-    feats = F.array_sort(F.array(*[F.pmod(F.xxhash64(F.lit(i), F.coalesce(c.cast("string"), F.lit(""))), F.lit(FEATURES)).cast("int") for i, c in enumerate(features)])) if features else F.array().cast("array<int>")
-    long = answers.where(F.col(item).isNotNull() & F.col(annotator).isNotNull()).select(F.col(item).alias("item"), F.col(annotator).alias("a"), feats.alias("f"), F.explode(F.concat(seen, parts)).alias("x"))
-    long = long.join(F.broadcast(names), long["a"] == names["name"]).select("item", "who", "f", F.col("x.label").alias("label"), F.col("x.s").alias("s"))  # at most MAX_ANNOTATORS rows
-    one = long.groupBy("item", "who", "label").agg(F.bit_or("s").alias("s"), F.min("f").alias("f"))
+    # numbers in columns of their own, so that a hash aggregation takes them
+    feats = {f"f{i}": F.pmod(F.xxhash64(F.lit(i), F.coalesce(c.cast("string"), F.lit(""))), F.lit(FEATURES)).cast("int") for i, c in enumerate(features)}
+    long = answers.where(F.col(item).isNotNull() & F.col(annotator).isNotNull()).select(F.col(item).alias("item"), F.col(annotator).alias("a"), *[c.alias(n) for n, c in feats.items()], F.explode(F.concat(seen, parts)).alias("x"))
+    long = long.join(F.broadcast(names), long["a"] == names["name"]).select("item", "who", *feats, F.col("x.label").alias("label"), F.col("x.s").alias("s"))  # at most MAX_ANNOTATORS rows
+    one = long.groupBy("item", "who", "label").agg(F.bit_or("s").alias("s"), *[F.min(n).alias(n) for n in feats])
     # per item at most annotators x labels entries, however often it was answered
-    return one.groupBy("item").agg(F.min("f").alias("f"), F.sort_array(F.collect_list(F.struct("who", "label", "s"))).alias("x")).select("item", "f", F.col("x.who").alias("who"), F.col("x.label").alias("label"), F.col("x.s").alias("s"))
+    packed = one.groupBy("item").agg(*[F.min(n).alias(n) for n in feats], F.sort_array(F.collect_list(F.struct("who", "label", "s"))).alias("x"))
+    f = F.array_sort(F.array(*feats)) if feats else F.array().cast("array<int>")
+    return packed.select("item", f.alias("f"), F.col("x.who").alias("who"), F.col("x.label").alias("label"), F.col("x.s").alias("s"))
 
 
 def _arrays(batch: pa.RecordBatch):
@@ -104,7 +111,7 @@ def _design(batch: pa.RecordBatch, c_row: np.ndarray, c_lab: np.ndarray, n_cells
         vals = f.values.to_numpy(zero_copy_only=False).astype(np.int64)
         per = vals[off[:-1, None] + np.arange(width)]
         cols += [n_labels + per[c_row, i] for i in range(width)]
-    cols.append(n_labels + FEATURES + np.minimum(n_cells[c_row], 15))
+    cols.append(n_labels + FEATURES + np.minimum(np.floor(2 * np.log2(n_cells[c_row])).astype(np.int64), COUNTS - 1))
     return np.stack(cols, 1)
 
 
@@ -145,10 +152,13 @@ def _round(batches, modes, confusion, weights, n_ann: int):
             conf += np.bincount(((a_who * 2 + m) * 2 + t) * 3 + OPEN, unseen[t][a_cell], minlength=len(conf))
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         v = p * (1 - p)
-        for i in range(x.shape[1]):
-            grad += np.bincount(x[:, i], q - p, minlength=n_feat)
-            for j in range(x.shape[1]):
-                hess += np.bincount(x[:, i] * n_feat + x[:, j], v, minlength=n_feat * n_feat).reshape(n_feat, n_feat)
+        # over the features that occur, each pair of columns once
+        used, at = np.unique(x, return_inverse=True)
+        at, k, width = at.reshape(x.shape), len(used), x.shape[1]
+        grad[used] += np.bincount(at.ravel(), np.repeat(q - p, width), minlength=k)
+        i, j = np.triu_indices(width)
+        half = np.bincount((at[:, i] * k + at[:, j]).ravel(), np.repeat(v, len(i)) * np.tile(np.where(i == j, 0.5, 1.0), len(v)), minlength=k * k).reshape(k, k)
+        hess[np.ix_(used, used)] += half + half.T
     flat = np.concatenate([conf, grad, hess.ravel()])
     at = np.flatnonzero(flat)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at])], ["i", "x"])
@@ -160,7 +170,7 @@ def fit(packed: DataFrame, annotators: list[str], modes: np.ndarray, rounds: int
     Each annotator's matrix is smoothed towards the pooled one (weight 6), so
     people with few answers are judged with caution.
     """
-    n_ann, n_feat = len(annotators), len(modes) + FEATURES + 16
+    n_ann, n_feat = len(annotators), len(modes) + FEATURES + COUNTS
     conf = np.zeros((n_ann, 2, 2, 3))
     conf[:, 0] = [[0.2, 0.6, 0.2], [0.7, 0.15, 0.15]]
     conf[:, 1] = [[0.2, 0.2, 0.6], [0.7, 0.05, 0.25]]
@@ -215,7 +225,7 @@ def consensus(answers: DataFrame, item: str, annotator: str, lists: dict[str, tu
     mode = np.zeros(max(modes, default=0) + 1, int)
     for j, m in modes.items():
         mode[j] = m
-    model = fit(packed, people, mode, rounds) if people else Model([], np.zeros((0, 2, 2, 3)), np.zeros(len(mode) + FEATURES + 16))
+    model = fit(packed, people, mode, rounds) if people else Model([], np.zeros((0, 2, 2, 3)), np.zeros(len(mode) + FEATURES + COUNTS))
 
     def score(batches):
         for batch in batches:

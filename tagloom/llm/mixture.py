@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 The mixture is a row of slots.  Slot i stands for the point frac(i * golden
-ratio), which the cumulative weights map to a source, so every stretch of slots
+ratio), in whole numbers of 40 bits, which the cumulative weights map to a source, so every stretch of slots
 has the target shares as nearly as whole slots allow.  A source's documents are
 shuffled, laid end to end and cut into blocks of ``block_tokens`` tokens; a
 document is cut wherever a border falls.  The k-th slot of a source takes its
@@ -9,6 +9,8 @@ block k modulo its number of blocks, until the tokens asked of the source are
 met or all its blocks have been used ``max_repeats`` times.  The last block of a
 source is shorter than the others, so a source counts with the slots it takes to
 give the tokens asked of it, and its last slot takes only what is left to take.
+What a source cannot give even with all repeats is asked of the others that can
+give more, in proportion to their weights.
 What was reached is measured on the schedule and the blocks.
 """
 
@@ -17,17 +19,26 @@ from __future__ import annotations
 import itertools
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tagloom.llm._common import keep_order_hash, spread_rank
+from tagloom.llm.quota import fill
 
 #: Rows of the target table; it becomes a literal array.
 MAX_SOURCES = 10_000
 #: Tokens of a slot.
 BLOCK_TOKENS = 4096
-_GOLDEN = 0.6180339887498949
+#: 2 ** 40 times the golden ratio less one, made odd, so that 2 ** 40 slots have different points.
+_BITS, _GOLDEN = 40, 679535556991
+
+
+def _point(slot: Column) -> Column:
+    """``slot * _GOLDEN`` modulo 2 ** 40, without overflow."""
+    half = 1 << (_BITS // 2)
+    low, high = F.pmod(slot, F.lit(half)), F.pmod(F.floor(slot / half), F.lit(half))
+    return F.pmod(low * _GOLDEN + F.pmod(high * _GOLDEN, F.lit(half)) * half, F.lit(1 << _BITS))
 
 
 class Mixture(NamedTuple):
@@ -44,13 +55,13 @@ def mix_sources(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_T
     used.  Returns
 
     * ``schedule`` (slot, source, block, repeat, n_tokens): the slots in order,
-      each with the tokens it takes from the beginning of its block; slots of a
-      source beyond its repeats are left out, which is what the report shows,
+      each with the tokens it takes from the beginning of its block,
     * ``blocks`` (source, block, doc_id, n_tokens, start, doc_start): the pieces
       of documents by block; ``start`` is the number of the source's tokens
       before the piece, ``doc_start`` that of the document's,
     * ``report`` per source of the targets: tokens, asked tokens, capacity,
-      used tokens as scheduled, target_ppm, reached_ppm, repeats, short.
+      planned tokens (asked, as far as there are, and what it takes over from
+      others), used tokens as scheduled, target_ppm, reached_ppm, repeats, short.
 
     A part of a token that is asked for counts as a whole one.
     Documents with NULL or no tokens take no room.  Repeated source rows in the
@@ -73,11 +84,12 @@ def mix_sources(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_T
         passes, rest = divmod(want, tok) if tok else (0, want)
         return passes * -(-tok // block_tokens) + -(-rest // block_tokens)
 
-    # weights hold what is asked, so that a source that ends early takes nothing from the stretch before
-    asked = [slots(tok, want) for *_, tok, want in lines]
-    met = [slots(tok, min(want, tok * reps)) for _, _, _, reps, tok, want in lines]
-    n = sum(asked)
-    edges = [x / n for x in itertools.accumulate(asked)] if n else []
+    plan_tokens = [min(want, tok * reps) for _, _, _, reps, tok, want in lines]
+    room = [tok * reps - x for (_, _, _, reps, tok, _), x in zip(lines, plan_tokens)]
+    plan_tokens = [x + y for x, y in zip(plan_tokens, fill(max(0, total - sum(plan_tokens)), [ppm for _, _, ppm, *_ in lines], room))]
+    met = [slots(tok, x) for (*_, tok, _), x in zip(lines, plan_tokens)]
+    n = sum(met)
+    edges = [(x << _BITS) // n for x in itertools.accumulate(met)] if n else []
     start = spread_rank(sized.join(F.broadcast(names), "source", "left_semi").where("n_tokens > 0"), ["source"], [keep_order_hash(seed, "doc_id"), F.col("doc_id")], "at", weight=F.col("n_tokens"))
     pieces = start.withColumn("block", F.explode(F.sequence(F.expr(f"at div {block_tokens}"), F.expr(f"(at + n_tokens - 1) div {block_tokens}"))))
     begin = F.greatest("at", F.col("block") * block_tokens)
@@ -87,9 +99,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_T
         schedule = spark.createDataFrame([], "slot bigint, source string, block bigint, repeat bigint, n_tokens bigint")
     else:
         # points of the golden ratio come back to an interval of width w within 1.9 / w steps, so 3 n of them give each source its slots
-        points = spark.range(3 * n + 10).select(F.col("id").alias("slot"), (F.col("id") * _GOLDEN - F.floor(F.col("id") * _GOLDEN)).alias("u"))
+        points = spark.range(3 * n + 10).select(F.col("id").alias("slot"), _point(F.col("id")).alias("u"))
         at = F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda k, e: k + F.when(e <= F.col("u"), 1).otherwise(0))
-        meta = spark.createDataFrame([(i, source, -(-tok // block_tokens), min(want, tok * reps), tok, m) for (i, source, _, reps, tok, want), m in zip(lines, met)], "i int, source string, n_blocks bigint, want bigint, tok bigint, met bigint")
+        meta = spark.createDataFrame([(i, source, -(-tok // block_tokens), x, tok, m) for (i, source, _, _, tok, _), x, m in zip(lines, plan_tokens, met)], "i int, source string, n_blocks bigint, want bigint, tok bigint, met bigint")
         named = points.withColumn("i", at).join(F.broadcast(meta), "i").where("met > 0")
         # slots come in ranges, so the slot number itself spreads over the buckets
         spread = (F.col("slot").cast("double") / F.lit(float(3 * n + 10)) * F.lit(float(1 << 62))).cast("bigint") * 2
@@ -99,12 +111,12 @@ def mix_sources(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_T
         left = F.col("want") - F.col("repeat") * F.col("tok") - F.col("block") * block_tokens
         schedule = ranked.join(sizes, ["source", "block"]).select("slot", "source", "block", "repeat", F.least("size", left).alias("n_tokens"))
     got = schedule.groupBy("source").agg(F.sum("n_tokens").cast("double").alias("used_tokens"))
-    plan = spark.createDataFrame([(source, ppm, reps, tok, ppm * total / 1_000_000, tok * reps, tok * reps * 1_000_000 < ppm * total) for _, source, ppm, reps, tok, _ in lines], "source string, target_ppm bigint, max_repeats bigint, tokens bigint, asked_tokens double, capacity_tokens bigint, short boolean")
+    plan = spark.createDataFrame([(source, ppm, reps, tok, ppm * total / 1_000_000, tok * reps, x, tok * reps * 1_000_000 < ppm * total) for (_, source, ppm, reps, tok, _), x in zip(lines, plan_tokens)], "source string, target_ppm bigint, max_repeats bigint, tokens bigint, asked_tokens double, capacity_tokens bigint, planned_tokens bigint, short boolean")
     used = F.coalesce("used_tokens", F.lit(0.0))
     report = plan.join(got, "source", "left").withColumn("used_tokens", used)  # a row per source of the targets
     mixed = F.sum("used_tokens").over(Window.partitionBy())
     report = report.select(
-        "source", "target_ppm", "max_repeats", "tokens", "asked_tokens", "capacity_tokens", "used_tokens", "short",
+        "source", "target_ppm", "max_repeats", "tokens", "asked_tokens", "capacity_tokens", "planned_tokens", "used_tokens", "short",
         F.when(mixed > 0, F.col("used_tokens") * 1e6 / mixed).otherwise(0.0).alias("reached_ppm"),
         F.when(F.col("tokens") > 0, F.col("used_tokens") / F.col("tokens")).otherwise(0.0).alias("repeats"),
     )

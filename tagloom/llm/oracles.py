@@ -32,6 +32,10 @@ SQL = {
     "p1_pairs": f"""WITH {_BASKETS}, d AS (SELECT *, n_ab::DOUBLE AS x, (n_a - n_ab)::DOUBLE AS y, (n_b - n_ab)::DOUBLE AS z, (n_baskets - n_a - n_b + n_ab)::DOUBLE AS w FROM t)
  SELECT basket_kind, label_a, label_b, n_ab, n_a, n_b, n_baskets, round(x * n_baskets / (n_a::DOUBLE * n_b), 9) AS lift, round(((x + 0.5) * (w + 0.5)) / ((y + 0.5) * (z + 0.5)), 9) AS odds_ratio FROM d""",
     "p2_found": f"WITH {_SLOTS} SELECT category_id FROM r, z WHERE rows * 1000000 < ppm::BIGINT * size OR rows < least",
+    "p2_checks": f"""WITH {_SLOTS} SELECT least(any_value(z.size), sum(rows))::BIGINT AS sample_rows, sum(rows)::BIGINT AS supply, 0 AS twice, 0 AS "over", 0 AS small, count(*) FILTER (rows * 1000000 < ppm::BIGINT * size) AS below_share, count(*) FILTER (rows < least) AS below_min FROM r, z""",
+    "p4_survivors": f"""WITH {_NORM}, k AS (SELECT DISTINCT key, sha, (source IS NOT NULL)::INT + (rec IS NOT NULL)::INT + (path IS NOT NULL)::INT + (ph IS NOT NULL)::INT AS n, rec, path, ph, coalesce(trust_rank, 2147483647) AS t, captured_at FROM norm LEFT JOIN evidence_source USING (source) WHERE sha IS NOT NULL),
+ f AS (SELECT sha, key, row_number() OVER (PARTITION BY sha ORDER BY n DESC, t, captured_at DESC NULLS LAST, key) AS o FROM k), g AS (SELECT sha, count(DISTINCT key) > 1 AS several, bool_or(rec IS NOT NULL) AS has_record_id, bool_or(path IS NOT NULL) AS has_image_path, bool_or(ph IS NOT NULL) AS has_phash64 FROM k GROUP BY 1)
+ SELECT sha AS sha256, key, several, has_record_id, has_image_path, has_phash64 FROM f JOIN g USING (sha) WHERE o = 1""",
     "p4_found": f"""WITH {_NORM}, k AS (SELECT DISTINCT key, sha, (source IS NOT NULL)::INT AS a, (rec IS NOT NULL)::INT AS b, (path IS NOT NULL)::INT AS c, (ph IS NOT NULL)::INT AS d, coalesce(trust_rank, 2147483647) AS t, captured_at FROM norm LEFT JOIN evidence_source USING (source) WHERE sha IS NOT NULL)
  SELECT x.sha AS sha256, x.key FROM k x WHERE EXISTS (SELECT 1 FROM k y WHERE y.sha = x.sha AND y.key <> x.key)
   AND NOT EXISTS (SELECT 1 FROM k y WHERE y.sha = x.sha AND y.key <> x.key AND NOT (x.a >= y.a AND x.b >= y.b AND x.c >= y.c AND x.d >= y.d AND x.t <= y.t AND x.captured_at >= y.captured_at

@@ -32,15 +32,20 @@ def _kind() -> Column:
     return F.when(F.col("kind") == 0, "record").otherwise("batch").alias("basket_kind")
 
 
-def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
     items, n = _baskets(spark, d)
-    t = cooccur.association(cooccur.pair_counts(items, vocabulary=n))
+    # the counts are read four times: pairs, both items, baskets
+    return cooccur.association(Scratch(spark, "p1").keep(cooccur.pair_counts(items, vocabulary=n), "counts"))
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    t = _pairs(spark, d)
     return t.select(_kind(), "label_a", "label_b", "n_ab", "n_a", "n_b", "n_baskets", F.round("lift", 9).alias("lift"), F.round("odds_ratio", 9).alias("odds_ratio"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    items, n = _baskets(spark, d)
-    t = cooccur.beyond_chance(cooccur.association(cooccur.pair_counts(items, vocabulary=n)))
+    # three times chance is far above an odds ratio of one; the exact count follows
+    t = cooccur.beyond_chance(_pairs(spark, d).where("odds_ratio > 1"))
     return t.select(_kind(), "label_a", "label_b")
 
 
@@ -62,13 +67,29 @@ def _draw(spark: SparkSession, d: str) -> quota.Drawn:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _draw(spark, d).report.where("below_share or below_min").select("category_id")
+    """Categories that the allocation drains and the drawn sample does not go beyond, if by the exact counts they fall short."""
+    x = _draw(spark, d)
+    drawn = x.sample.groupBy("category_id").agg(F.count("*").alias("drawn"))  # at most a row per target
+    t = x.report.join(drawn, "category_id", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    as_planned = F.when(F.col("drawn") == F.col("quota"), F.lit(True)).otherwise(F.raise_error(F.lit("the sample is not the one allotted")).cast("boolean"))
+    return t.where(as_planned & F.col("drained") & (F.col("below_share") | F.col("below_min"))).select("category_id")
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return _draw(spark, d).report
 
 
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row about the sample: its rows, the rows asked for, slots drawn twice, categories drawn beyond their rows or quota, small ones below what they could have, and their supply by category."""
+    x = _draw(spark, d)
+    s = p2_sample(spark, d)
+    per = s.groupBy("category_id").agg(F.count("*").alias("drawn"), F.count_distinct("global_batch", "slot").alias("slots"))
+    t = x.report.join(per, "category_id", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    over = (F.col("drawn") > F.col("rows")) | (F.col("drawn") != F.col("quota"))
+    small = F.col("drawn") < F.least("min_rows", "rows")
+    return t.agg(F.sum("drawn").alias("sample_rows"), F.sum("rows").alias("supply"), F.sum(F.col("drawn") - F.coalesce("slots", F.lit(0))).alias("twice"), F.count_if(over).alias("over"), F.count_if(small).alias("small"), F.count_if("below_share").alias("below_share"), F.count_if("below_min").alias("below_min"))
+
+
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     s = _draw(spark, d).sample
     return s.select("category_id", F.shiftright("at", 32).cast("int").alias("global_batch"), F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("slot"))
@@ -79,7 +100,9 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def _consensus(spark: SparkSession, d: str) -> consensus.Consensus:
     lookup = _lookup(spark, d)
-    dim = table(spark, d, "label_dim").select("idx", "mode", "category").limit(N.MAP_LIMIT).collect()
+    dim = table(spark, d, "label_dim").select("idx", "mode").where("idx is not null").limit(consensus.MAX_LABELS + 1).collect()
+    if len(dim) > consensus.MAX_LABELS:
+        raise ValueError(f"more than {consensus.MAX_LABELS} labels")
     modes = {r.idx: int(r.mode != "pn") for r in dim}
     lists = {c: (N.label_indices(F.col(c), lookup), s) for c, s in (("pn_positive", 1), ("pn_negative", 2), ("pu_positive", 1))}
     # what the item's key tells: its source, and whether its record was identified
@@ -105,10 +128,9 @@ def p3_annotators(spark: SparkSession, d: str) -> DataFrame:
 
 def _images(spark: SparkSession, d: str):
     e = table(spark, d, "evidence")
-    fields = {"source": F.col("source"), "record_id": N.record_name(F.col("record_id")), "image_path": N.image_path(F.col("image_path")), "phash64": N.phash_hex(F.col("phash64"))}
-    fused = {k: fields[k] for k in ("record_id", "image_path", "phash64")}
+    fused = {"record_id": N.record_name(F.col("record_id")), "image_path": N.image_path(F.col("image_path")), "phash64": N.phash_hex(F.col("phash64"))}
     rows = e.select("key", "source", "record_id", "image_path", "phash64", "captured_at", N.sha256_hex(F.col("sha256")).alias("digest"))
-    present = fields | {"source": N.blank_to_null(F.col("source"))}
+    present = fused | {"source": N.blank_to_null(F.col("source"))}
     best, model = fusion.best_records(rows, "digest", "key", "source", table(spark, d, "evidence_source"), "captured_at", fused, present)
     return rows, fused, best, model
 
@@ -123,6 +145,12 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fused_values(rows, best, "digest", fused).withColumnRenamed("digest", "sha256")
 
 
+def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """The survivors, and for which fields the fused record has a value."""
+    r = p4_records(spark, d)
+    return r.select("sha256", "key", "several", *[F.col(f"best_{n}").isNotNull().alias(f"has_{n}") for n in ("record_id", "image_path", "phash64")])
+
+
 def p4_sources(spark: SparkSession, d: str) -> DataFrame:
     _, _, _, m = _images(spark, d)
     return spark.createDataFrame([(s, float(m.accuracy[i]), float(m.copies[i].max())) for i, s in enumerate(m.names)], "source string, accuracy double, copies double")

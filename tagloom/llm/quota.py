@@ -59,12 +59,15 @@ def allocate(leaves: list[dict], size: int) -> list[dict]:
 
     A leaf asks for its share, at least ``least``.  Own supply is used first;
     then the unmet quota of each inner node, deepest first, goes to its other
-    leaves by their shares, so siblings take it before cousins do.
+    leaves by their shares, so siblings take it before cousins do.  ``wanted`` is
+    what the leaf asked for before it gave way to the minima of others, ``drained``
+    says that this took its whole supply.
     """
     asked = apportion(size, [x["ppm"] for x in leaves])
     for x, a in zip(leaves, asked):
         x["asked"] = max(a, x["least"])
         x["quota"] = min(x["asked"], x["rows"])
+        x["wanted"], x["drained"] = x["asked"], x["rows"] <= x["asked"]
     extra = sum(x["asked"] for x in leaves) - size  # minima took this much beyond the sample's size
     if extra > 0:
         spare = [max(0, x["quota"] - min(x["least"], x["rows"])) for x in leaves]
@@ -101,10 +104,12 @@ def draw_to_targets(rows: DataFrame, category: str, row_id: list[str], targets:
     ``min_rows`` and the columns of ``path`` from the root down.  ``rows`` must
     hold one row per thing that can be drawn; a row whose category is NULL or
     has no target is never drawn.  Returns the sample (the rows as they came)
-    and the report: per category ``rows``, ``asked``, ``quota`` (what is drawn),
-    ``passed`` (what it took over from others, negative if it gave way to
-    minima), ``below_share`` and ``below_min``, both by the whole supply, and
-    ``reached_ppm``.  Empty rows give an empty sample and a report of zeros.
+    and the report: per category ``rows``, ``wanted`` (its share, at least its
+    minimum), ``asked`` (what is left of that once it gave way to the minima of
+    others), ``quota`` (what is drawn), ``passed`` (what it took over from
+    others), ``missing`` (wanted but not drawn, whatever the reason), ``drained``
+    (all its rows were wanted), ``below_share`` and ``below_min``, both by the
+    whole supply, and ``reached_ppm``.  Empty rows give an empty sample and a report of zeros.
     """
     spark = rows.sparkSession
     t = targets.select(F.col(category).alias("c"), F.coalesce("target_ppm", F.lit(0)).cast("long").alias("ppm"), F.coalesce("min_rows", F.lit(0)).cast("long").alias("least"), F.array(*[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in path]).alias("path")).where("c is not null").limit(MAX_CATEGORIES + 1).collect()
@@ -119,8 +124,8 @@ def draw_to_targets(rows: DataFrame, category: str, row_id: list[str], targets:
     allocate(leaves, size)
     kind = targets.schema[category].dataType.simpleString()
     drawn = max(1, sum(x["quota"] for x in leaves))
-    lines = [(x["c"], x["ppm"], x["least"], x["rows"], x["asked"], x["quota"], x["passed"], x["rows"] * 1_000_000 < x["ppm"] * size, x["rows"] < x["least"], x["quota"] * 1e6 / drawn) for x in leaves]
-    report = spark.createDataFrame(lines, f"`{category}` {kind}, target_ppm bigint, min_rows bigint, rows bigint, asked bigint, quota bigint, passed bigint, below_share boolean, below_min boolean, reached_ppm double")
+    lines = [(x["c"], x["ppm"], x["least"], x["rows"], x["wanted"], x["asked"], x["quota"], x["passed"], max(0, x["wanted"] - x["quota"]), x["drained"], x["rows"] * 1_000_000 < x["ppm"] * size, x["rows"] < x["least"], x["quota"] * 1e6 / drawn) for x in leaves]
+    report = spark.createDataFrame(lines, f"`{category}` {kind}, target_ppm bigint, min_rows bigint, rows bigint, wanted bigint, asked bigint, quota bigint, passed bigint, missing bigint, drained boolean, below_share boolean, below_min boolean, reached_ppm double")
     rank, quota, cat = fresh(rows, "_rank"), fresh(rows, "_quota"), fresh(rows, "_cat")
     quotas = report.where("quota > 0").select(F.col(category).alias(cat), F.col("quota").alias(quota))
     open_ = rows.join(F.broadcast(quotas), F.col(f"`{category}`") == F.col(cat)).drop(cat)  # at most MAX_CATEGORIES rows of 16 bytes
