@@ -29,9 +29,9 @@ from tagloom.session import Scratch
 #: Numbers of rows up to which a class holds groups of one number only.
 EXACT = 1024
 #: Parts of the hash of the labels for groups with one row of the label in turn.
-PARTS = 512
+PARTS = 128
 #: Groups from which the order of the labels is guessed before it is checked on all.
-SAMPLE = 20_000
+SAMPLE = 5_000
 #: Labels this near to the rarest are as rare.
 NEAR = 1.05
 #: Labels; of each pair the driver holds a number.
