@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +73,25 @@ def worst(statuses: DataFrame, status: str, order: tuple[str, ...] = ("success",
     place = F.array_position(F.array(*map(F.lit, order)), F.col(status))
     top = F.max(F.when(place > 0, place).otherwise(len(order)))
     return statuses.agg(F.element_at(F.array(*map(F.lit, order)), F.coalesce(top, F.lit(1)).cast("int")).alias("verdict"))
+
+
+def ordered_digest(rows: DataFrame, order: list[str], key: str) -> str:
+    """SHA-256 of the keys in order, one per line.  A digest of bytes in order is sequential: sorted on the executors, it is taken as parts come in."""
+    h = hashlib.sha256()
+    for r in rows.select(*order, F.col(key).cast("string").alias("_k")).orderBy(*order).select("_k").toLocalIterator(prefetchPartitions=True):
+        h.update(f"{r[0]}\n".encode())
+    return h.hexdigest()
+
+
+def cache_key(split: Column, key: Column, digits: int = 32) -> Column:
+    """First digits of the SHA-256 of split and key with a zero byte between."""
+    return F.substring(F.sha2(F.concat(split.cast("string"), F.char(F.lit(0)), key.cast("string")), 256), 1, digits)
+
+
+def tagged_union(parts: dict[str, DataFrame], tag: str = "split") -> DataFrame:
+    """All parts under each other, with the name of the part; columns that a part lacks are NULL."""
+    out = None
+    for n, df in parts.items():
+        df = df.withColumn(tag, F.lit(n))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out

@@ -114,3 +114,46 @@ def step_timing(steps: DataFrame, order: str, seconds: str, skip: int = 2) -> Da
     pts = kept.where(F.col(seconds).isNotNull()).groupBy(F.lit(1).alias("_g"), F.col(seconds).cast("double").alias("_s")).agg(F.count("*").alias("_n"))
     rank = values_at(pts, ["_g"], "_s", "_n", {"p95_seconds": F.ceil(F.col("total") * F.lit(0.95)) - 1}, wide_bucket(F.col("_s")))
     return mean.join(rank.select("p95_seconds"), F.lit(True), "left")  # one row each
+
+
+# Titles of the thermal states, in Chinese and English.
+THERMAL_TITLES = {
+    "zh": {"nominal": "正常", "fair": "偏热", "serious": "严重", "critical": "危急"},
+    "en": {"nominal": "Normal", "fair": "Elevated", "serious": "Serious", "critical": "Critical"},
+}
+
+
+def thermal_title(state: Column, language: str = "zh") -> Column:
+    """Title of a thermal state; NULL for an unknown one."""
+    titles = THERMAL_TITLES[language]
+    return F.try_element_at(F.create_map(*[F.lit(x) for p in titles.items() for x in p]), state)
+
+
+def severity(state: Column) -> Column:
+    """0 for nominal up to 3 for critical; NULL for an unknown state."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, THERMAL_TITLES["en"])), state), F.lit(0)) - 1
+
+
+def display_mode(thermal: Column, applications: Column) -> Column:
+    return F.when(thermal & applications, "full").when(thermal, "thermal_only").when(applications, "applications_only").otherwise("hidden")
+
+
+def visible(regular: Column, bundle: Column, process: Column, own: int) -> Column:
+    """Is an application shown: a regular one, with a bundle, and not the monitor itself?"""
+    return F.coalesce(regular & bundle.isNotNull() & (process != own), F.lit(False))
+
+
+def may_terminate(bundle: Column, protected: list[str]) -> Column:
+    """An application may be ended unless it is protected or has no bundle."""
+    return F.coalesce(~bundle.isin(*protected), F.lit(False))
+
+
+def keep_live(states: DataFrame, live: DataFrame, key: str) -> DataFrame:
+    """States of keys that are still there; the others are purged."""
+    return states.join(live.select(key).distinct(), key, "left_semi")
+
+
+def pick_sampled(ranked: DataFrame, sampled: DataFrame, key: str) -> DataFrame:
+    """The sampled rows behind a ranking, with its rank columns."""
+    extra = [c for c in ranked.columns if c != key and c not in sampled.columns]
+    return sampled.join(ranked.select(key, *extra), key)

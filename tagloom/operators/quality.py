@@ -147,3 +147,10 @@ def pairwise_hinge(cells: DataFrame, margin: float = 1.0) -> DataFrame:
     total = F.sum(F.col("np") * (F.col("ge_su") - F.col("x") * F.col("ge_nu")))
     per = t.groupBy("label_idx", "tag").agg(total.alias("total"), F.max("all_np").alias("n_p"), F.max("all_nu").alias("n_u"))
     return per.where("n_p > 0 and n_u > 0").select("label_idx", "tag", F.col("n_p").alias("positives"), F.col("n_u").alias("unlabeled"), (F.col("total") / (F.col("n_p") * F.col("n_u"))).alias("loss"))
+
+
+def pair_sides(cells: DataFrame, uniform: Column) -> DataFrame:
+    """Adds ``side`` to PU cells of a batch: 'p' for a stated positive of either stream, 'u' for an unlabelled cell of the uniform stream; other cells are left out."""
+    c = cells.where("mode = 'pu'")
+    free = (F.col("known") == 0) & (F.col("pu") == 0)
+    return c.withColumn("side", F.when(F.col("pu") == 1, "p").when(uniform & free, "u")).where("side is not null")

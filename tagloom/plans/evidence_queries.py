@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from tagloom.functions import normalize as N
 from tagloom.operators import audit, cells, contracts, identity, quality, resolve, sampling, splits
+from tagloom.plans import build
 from tagloom.session import Scratch, table
 from tagloom.sources import readers, writers
 
@@ -38,7 +39,7 @@ _PATH = rf"regexp_replace(regexp_replace(regexp_replace(split_part(replace(regex
 NORM = f"norm AS (SELECT DISTINCT key, source, split, captured_at, {_SHA} AS sha, {_PH} AS ph, {_REC} AS rec, {_PATH} AS path FROM evidence)"
 
 
-def _norm(spark: SparkSession, d: str) -> DataFrame:
+def normal_forms(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "evidence")
     return e.select("key", "source", "split", "captured_at", N.sha256_hex(F.col("sha256")).alias("sha"), N.phash_hex(F.col("phash64")).alias("ph"), N.record_name(F.col("record_id")).alias("rec"), N.image_path(F.col("image_path")).alias("path"))
 
@@ -47,14 +48,14 @@ def _lookup(spark: SparkSession, d: str) -> dict[str, int]:
     return N.tag_lookup(table(spark, d, "label_dim"), table(spark, d, "tag_alias"))
 
 
-def _lists(spark: SparkSession, d: str) -> dict:
+def label_lists(spark: SparkSession, d: str) -> dict:
     lk = _lookup(spark, d)
     return {c: N.label_indices(F.col(c), lk) for c in ("pn_positive", "pu_positive", "pn_negative")}
 
 
 @query(f"WITH {NORM} SELECT key, sha, ph, rec, path FROM norm")
 def evidence_normal_forms(spark: SparkSession, d: str) -> DataFrame:
-    return _norm(spark, d).distinct().select("key", "sha", "ph", "rec", "path")
+    return normal_forms(spark, d).distinct().select("key", "sha", "ph", "rec", "path")
 
 
 _TAGS = f"{LK}, tags AS (" + " UNION ".join(f"SELECT key, '{c}' AS list, idx FROM (SELECT DISTINCT key, trim(unnest({c}), {WS}) AS t FROM evidence) JOIN lk USING (t)" for c in ("pn_positive", "pu_positive", "pn_negative")) + ")"
@@ -62,7 +63,7 @@ _TAGS = f"{LK}, tags AS (" + " UNION ".join(f"SELECT key, '{c}' AS list, idx FRO
 
 @query(f"WITH {_TAGS} SELECT list, idx AS label_idx, count(*) AS n_keys FROM tags GROUP BY 1, 2")
 def tag_counts(spark: SparkSession, d: str) -> DataFrame:
-    lists = _lists(spark, d)
+    lists = label_lists(spark, d)
     named = F.array(*[F.struct(F.lit(n).alias("list"), c.alias("i")) for n, c in lists.items()])
     long = table(spark, d, "evidence").select("key", F.explode(named).alias("x")).select("key", "x.list", F.explode("x.i").alias("label_idx"))
     return long.distinct().groupBy("list", "label_idx").agg(F.count("*").alias("n_keys"))
@@ -70,7 +71,7 @@ def tag_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TAGS} SELECT key, list, idx AS label_idx FROM tags JOIN label_dim USING (idx) WHERE (list = 'pu_positive' AND mode <> 'pu') OR (list <> 'pu_positive' AND mode <> 'pn')")
 def evidence_mode_violations(spark: SparkSession, d: str) -> DataFrame:
-    named = F.array(*[F.struct(F.lit(n).alias("list"), c.alias("i")) for n, c in _lists(spark, d).items()])
+    named = F.array(*[F.struct(F.lit(n).alias("list"), c.alias("i")) for n, c in label_lists(spark, d).items()])
     long = table(spark, d, "evidence").select("key", F.explode(named).alias("x")).select("key", "x.list", F.explode("x.i").alias("label_idx")).distinct()
     dim = F.broadcast(table(spark, d, "label_dim").select(F.col("idx").alias("label_idx"), "mode"))
     return long.join(dim, "label_idx").where("(list = 'pu_positive' and mode <> 'pu') or (list <> 'pu_positive' and mode <> 'pn')").select("key", "list", "label_idx")
@@ -81,7 +82,7 @@ _STATE = """st AS (SELECT key, idx, max(CASE list WHEN 'pn_positive' THEN 3 WHEN
 
 @query(f"WITH {_TAGS}, {_STATE} SELECT tag, count(*) FILTER (c = 3) AS known_positive, count(*) FILTER (c = 1) AS known_negative, count(*) FILTER (c = 2) AS pu_positive FROM st JOIN label_dim USING (idx) GROUP BY 1")
 def evidence_supervision(spark: SparkSession, d: str) -> DataFrame:
-    c = cells.from_evidence(table(spark, d, "evidence"), table(spark, d, "label_dim"), _lists(spark, d), ["key"])
+    c = cells.from_evidence(table(spark, d, "evidence"), table(spark, d, "label_dim"), label_lists(spark, d), ["key"])
     return c.groupBy("tag").agg(F.count_if((F.col("known") == 1) & (F.col("label") == 1)).alias("known_positive"), F.count_if((F.col("known") == 1) & (F.col("label") == 0)).alias("known_negative"), F.count_if(F.col("pu") == 1).alias("pu_positive"))
 
 
@@ -98,7 +99,7 @@ _CLOSURE = f"""WITH RECURSIVE {NORM}, k AS (SELECT DISTINCT key, sha, ph FROM no
 
 @query(_CLOSURE)
 def exact_identity_groups(spark: SparkSession, d: str) -> DataFrame:
-    return identity.exact_groups(_norm(spark, d), "key", {"sha": F.col("sha"), "ph": F.col("ph")})
+    return identity.exact_groups(normal_forms(spark, d), "key", {"sha": F.col("sha"), "ph": F.col("ph")})
 
 
 @query(f"WITH RECURSIVE {_CLOSURE.split('WITH RECURSIVE ', 1)[1].rsplit(' SELECT v AS key', 1)[0]}, g AS (SELECT v AS key, min(w) AS group_key FROM r GROUP BY 1) SELECT group_key, 'exact:' || substr(sha256(string_agg(key, chr(10) ORDER BY key)), 1, 20) AS group_id, count(*) AS members FROM g GROUP BY 1")
@@ -113,7 +114,7 @@ _PAIRS = f"""p AS (SELECT DISTINCT ph, CAST('0x' || substr(ph, 1, 8) AS BIGINT)
 
 @query(f"WITH {NORM}, {_PAIRS} SELECT ph_a, ph_b, CAST(distance AS INT) AS distance FROM pr")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = identity.near_pairs(_norm(spark, d).select(N.hex_to_long(F.col("ph")).alias("h")), "h", 2)
+    p = identity.near_pairs(normal_forms(spark, d).select(N.hex_to_long(F.col("ph")).alias("h")), "h", 2)
     text = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return p.select(F.least(text("h_a"), text("h_b")).alias("ph_a"), F.greatest(text("h_a"), text("h_b")).alias("ph_b"), "distance")
 
@@ -121,13 +122,13 @@ def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {NORM}, {_PAIRS}, e2 AS (SELECT ph_a AS a, ph_b AS b FROM pr UNION SELECT ph_b, ph_a FROM pr), r AS (SELECT ph AS v, ph AS w FROM p UNION SELECT r.v, e2.b FROM r JOIN e2 ON r.w = e2.a),
  k AS (SELECT DISTINCT key, ph FROM norm), m AS (SELECT v, min(k.key) AS component FROM r JOIN k ON k.ph = r.w GROUP BY 1) SELECT k.key, coalesce(m.component, k.key) AS component FROM k LEFT JOIN m ON m.v = k.ph""")
 def near_dup_components(spark: SparkSession, d: str) -> DataFrame:
-    rows = _norm(spark, d).select("key", N.hex_to_long(F.col("ph")).alias("h")).distinct()
+    rows = normal_forms(spark, d).select("key", N.hex_to_long(F.col("ph")).alias("h")).distinct()
     return identity.near_components(rows, "key", "h", 2)
 
 
 @query(f"""WITH {NORM}, l AS (SELECT 'sha' AS kind, sha AS value, split FROM norm WHERE sha IS NOT NULL UNION SELECT 'ph', ph, split FROM norm WHERE ph IS NOT NULL) SELECT kind, value, string_agg(split, ',' ORDER BY split) AS splits FROM (SELECT DISTINCT * FROM l WHERE split IS NOT NULL) GROUP BY 1, 2 HAVING count(*) > 1""")
 def leakage_report(spark: SparkSession, d: str) -> DataFrame:
-    return identity.leakage(_norm(spark, d), "split", {"sha": F.col("sha"), "ph": F.col("ph")}).withColumn("splits", F.array_join("splits", ","))
+    return identity.leakage(normal_forms(spark, d), "split", {"sha": F.col("sha"), "ph": F.col("ph")}).withColumn("splits", F.array_join("splits", ","))
 
 
 _CLAIMS = f"{NORM}, {_TAGS}, cl AS (SELECT sha AS g, idx, max(CAST(list = 'pn_positive' AS INT)) AS pp, max(CAST(list = 'pu_positive' AS INT)) AS up, max(CAST(list = 'pn_negative' AS INT)) AS ng FROM (SELECT DISTINCT key, sha FROM norm WHERE sha IS NOT NULL) JOIN tags USING (key) GROUP BY 1, 2)"
@@ -142,7 +143,7 @@ _FIRED = "fired AS (SELECT s.g, r.then_idx AS idx, string_agg(DISTINCT r.rule, '
 
 def _resolved(spark: SparkSession, d: str):
     e = table(spark, d, "evidence")
-    rows = e.select(N.sha256_hex(F.col("sha256")).alias("g"), *[c.alias(n) for n, c in _lists(spark, d).items()]).where("g is not null")
+    rows = e.select(N.sha256_hex(F.col("sha256")).alias("g"), *[c.alias(n) for n, c in label_lists(spark, d).items()]).where("g is not null")
     cl = resolve.claims(rows, "g", {resolve.PN_POSITIVE: "pn_positive", resolve.PU_POSITIVE: "pu_positive", resolve.PN_NEGATIVE: "pn_negative"})
     cl = Scratch(spark, "claims").keep(cl)  # several branches read the claims
     dim = table(spark, d, "label_dim")
@@ -179,14 +180,14 @@ def conflict_notes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {NORM} SELECT sha, key, rec, path FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY coalesce(trust_rank, 999), coalesce(rec, ''), coalesce(path, ''), key) AS r FROM norm LEFT JOIN evidence_source USING (source) WHERE sha IS NOT NULL) WHERE r = 1")
 def representative_rows(spark: SparkSession, d: str) -> DataFrame:
     rank = F.broadcast(table(spark, d, "evidence_source").select("source", "trust_rank"))
-    rows = _norm(spark, d).where("sha is not null").join(rank, "source", "left")
+    rows = normal_forms(spark, d).where("sha is not null").join(rank, "source", "left")
     rows = rows.withColumns({"a": F.coalesce("trust_rank", F.lit(999)), "b": F.coalesce("rec", F.lit("")), "c": F.coalesce("path", F.lit(""))})
     return resolve.representative(rows, "sha", ["a", "b", "c", "key"], ["key", "rec", "path"]).select("sha", "key", "rec", "path")
 
 
 @query(f"WITH {NORM}, k AS (SELECT DISTINCT key, source, sha FROM norm WHERE sha IS NOT NULL AND source IS NOT NULL), p AS (SELECT sha, source, count(*) AS n FROM k GROUP BY 1, 2) SELECT sha, string_agg(source, '+' ORDER BY source) AS sources, sum(n)::BIGINT AS binding_count FROM p GROUP BY 1")
 def group_sources(spark: SparkSession, d: str) -> DataFrame:
-    k = _norm(spark, d).select("key", "source", "sha").where("sha is not null and source is not null").distinct()
+    k = normal_forms(spark, d).select("key", "source", "sha").where("sha is not null and source is not null").distinct()
     return resolve.group_summary(k, "sha", "source", "key").select("sha", F.array_join("sources", "+").alias("sources"), "binding_count")
 
 
@@ -240,7 +241,7 @@ def schedule_exposures(spark: SparkSession, d: str) -> DataFrame:
  SELECT tag, coalesce(p, 0)::BIGINT AS positives, coalesce(n, 0)::BIGINT AS negatives, round(least(greatest(coalesce(n, 0) / CAST(greatest(coalesce(p, 0), 1) AS DOUBLE), 1.0), 20.0), 9) AS weight FROM t JOIN label_dim USING (idx) WHERE mode = 'pn'""")
 def schedule_class_weights(spark: SparkSession, d: str) -> DataFrame:
     times = _slots(spark, d).groupBy("record_index").agg(F.count("*").alias("times"))
-    c = cells.from_evidence(table(spark, d, "evidence"), table(spark, d, "label_dim"), _lists(spark, d), ["key", "record_index"]).where("mode = 'pn'")
+    c = cells.from_evidence(table(spark, d, "evidence"), table(spark, d, "label_dim"), label_lists(spark, d), ["key", "record_index"]).where("mode = 'pn'")
     t = c.join(times, "record_index").groupBy("tag").agg(F.coalesce(F.sum(F.when((F.col("known") == 1) & (F.col("label") == 1), F.col("times"))), F.lit(0)).alias("positives"), F.coalesce(F.sum(F.when((F.col("known") == 1) & (F.col("label") == 0), F.col("times"))), F.lit(0)).alias("negatives"))
     w = F.col("negatives") / F.greatest(F.col("positives"), F.lit(1)).cast("double")
     return t.withColumn("weight", F.round(F.least(F.greatest(w, F.lit(1.0)), F.lit(20.0)), 9))
@@ -253,9 +254,9 @@ def rank_slots(spark: SparkSession, d: str) -> DataFrame:
 
 def _component_rows(spark: SparkSession, d: str) -> DataFrame:
     """(key, component, labels): near-duplicate components with the labels of their keys."""
-    rows = _norm(spark, d).select("key", N.hex_to_long(F.col("ph")).alias("h")).distinct()
+    rows = normal_forms(spark, d).select("key", N.hex_to_long(F.col("ph")).alias("h")).distinct()
     comp = identity.near_components(rows, "key", "h", 2)
-    lab = table(spark, d, "evidence").groupBy("key").agg(F.min(_lists(spark, d)["pn_positive"]).alias("labels"))  # copies of a row have the same
+    lab = table(spark, d, "evidence").groupBy("key").agg(F.min(label_lists(spark, d)["pn_positive"]).alias("labels"))  # copies of a row have the same
     return Scratch(spark, "split").keep(comp.join(lab, "key"))
 
 
@@ -296,7 +297,7 @@ def split_support_check(spark: SparkSession, d: str) -> DataFrame:
 def _schedule(spark: SparkSession, d: str) -> sampling.Schedule:
     """A schedule over all records, with every record that has a label as its candidate, weighted by its rows."""
     scratch = Scratch(spark, "schedule")
-    e = table(spark, d, "evidence").where("record_index is not null").groupBy("record_index").agg(F.min(_lists(spark, d)["pn_positive"]).alias("l"), F.count("*").alias("weight"))
+    e = table(spark, d, "evidence").where("record_index is not null").groupBy("record_index").agg(F.min(label_lists(spark, d)["pn_positive"]).alias("l"), F.count("*").alias("weight"))
     e = scratch.keep(e, "records")
     return sampling.two_stream_schedule(e, e.select(F.explode("l").alias("label"), "record_index", "weight"), 8, 6, 2, 7, scratch)
 
@@ -324,7 +325,7 @@ def schedule_uniform_coverage(spark: SparkSession, d: str) -> DataFrame:
 def schedule_label_balance(spark: SparkSession, d: str) -> DataFrame:
     """Balanced slots of each label, and how many of them hold a record without the label (a fallback would count for no label)."""
     rows = _schedule(spark, d).rows.where("balanced_label_index is not null").select(F.col("balanced_label_index").alias("label_idx"), "record_index")
-    have = table(spark, d, "evidence").select("record_index", F.explode(_lists(spark, d)["pn_positive"]).alias("label_idx")).distinct().withColumn("own", F.lit(1))
+    have = table(spark, d, "evidence").select("record_index", F.explode(label_lists(spark, d)["pn_positive"]).alias("label_idx")).distinct().withColumn("own", F.lit(1))
     return rows.join(have, ["record_index", "label_idx"], "left").groupBy("label_idx").agg(F.count("*").alias("turns"), F.count_if(F.col("own").isNull()).cast("int").alias("strangers"))
 
 
@@ -345,3 +346,21 @@ def provenance_diff(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "region").select(F.col("r_name").alias("name"), F.md5("r_name").alias("sha256"), "r_regionkey")
     b = a.where("r_regionkey <> 3").withColumn("sha256", F.when(F.col("r_regionkey") == 1, F.md5(F.concat("name", F.lit("x")))).otherwise(F.col("sha256")))
     return audit.provenance(a.drop("r_regionkey"), b.drop("r_regionkey"))
+
+
+_BUILT = f"""{_CLOSURE.split('WITH RECURSIVE ', 1)[1].rsplit(' SELECT v AS key', 1)[0]}, grp AS (SELECT v AS key, min(w) AS g FROM r GROUP BY 1), {_TAGS},
+ cl AS (SELECT g, idx, max(CAST(list = 'pn_positive' AS INT)) AS pp, max(CAST(list = 'pu_positive' AS INT)) AS up, max(CAST(list = 'pn_negative' AS INT)) AS ng FROM grp JOIN tags USING (key) GROUP BY 1, 2), {_BAD}, {_OK}, {_ST}, {_RULES}, {_FIRED},
+ fin AS (SELECT coalesce(label, 0) AS label, CASE WHEN why IS NOT NULL AND coalesce(label, 0) = 0 THEN 1 ELSE known END AS known, coalesce(pu, 0) AS pu FROM s FULL JOIN fo ON s.g = fo.g AND s.idx = fo.idx)"""
+
+
+@query(f"""WITH RECURSIVE {_BUILT} SELECT 'keys' AS name, count(*) AS n FROM grp UNION ALL SELECT 'records', count(DISTINCT g) FROM grp UNION ALL SELECT 'merged', count(*) - count(DISTINCT g) FROM grp
+ UNION ALL SELECT 'known_positive', count(*) FILTER (known = 1 AND label = 1) FROM fin UNION ALL SELECT 'known_negative', count(*) FILTER (known = 1 AND label = 0) FROM fin UNION ALL SELECT 'pu_positive', count(*) FILTER (pu = 1) FROM fin
+ UNION ALL SELECT * FROM (SELECT 'mutually_exclusive_positive_conflict' AS name, count(*) AS n FROM bad UNION ALL SELECT 'positive_overrode_negative', count(*) FROM ok WHERE (pp = 1 OR up = 1) AND ng = 1
+ UNION ALL SELECT 'positive_overrode_implication_negative', count(*) FROM s JOIN fo ON s.g = fo.g AND s.idx = fo.idx WHERE label = 1) WHERE n > 0 UNION ALL SELECT 'leaks', 0""")
+def built_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way from evidence to split records, in figures."""
+    e = table(spark, d, "evidence")
+    rows = e.select("key", N.sha256_hex(F.col("sha256")).alias("sha"), N.phash_long(F.col("phash64")).alias("ph"), *[c.alias(n) for n, c in label_lists(spark, d).items()])
+    rules = spark.createDataFrame(RULES, "rule string, if_idx int, if_state string, then_idx int")
+    lists = {resolve.PN_POSITIVE: "pn_positive", resolve.PU_POSITIVE: "pu_positive", resolve.PN_NEGATIVE: "pn_negative"}
+    return build.build_summary(rows, build.build_records(rows, lists, table(spark, d, "label_dim"), rules, SHARES, 7))

@@ -37,7 +37,7 @@ def pn_confusion_by_label(spark: SparkSession, d: str) -> DataFrame:
     return rounded(quality.by_label(viewed(spark, d), "raw"))
 
 
-_MM = f"""c AS ({{conf}}), f AS (SELECT *, {figures()} FROM c),
+MICRO_MACRO = f"""c AS ({{conf}}), f AS (SELECT *, {figures()} FROM c),
  t AS (SELECT {{by}} sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn,
    {', '.join(f'round(avg("{x}"), 9) AS macro_{x}' for x in _FIG)}, count(*) AS labels_evaluated,
    count(*) FILTER (tp+fn > 0 AND tn+fp > 0) AS labels_with_both_classes, round(coalesce(avg(f1) FILTER (tp+fn > 0 AND tn+fp > 0), 0), 9) AS macro_f1_both_classes,
@@ -46,12 +46,12 @@ _MM = f"""c AS ({{conf}}), f AS (SELECT *, {figures()} FROM c),
  SELECT *, tp+fp+fn+tn AS known_cells, tp+fn AS known_positive, fp+tn AS known_negative, {figures(r=9)} FROM t"""
 
 
-@query(f"WITH {CELLS}, {VIEWED}, " + _MM.format(conf=confusion_sql("label_idx", "fin"), by="", group=""))
+@query(f"WITH {CELLS}, {VIEWED}, " + MICRO_MACRO.format(conf=confusion_sql("label_idx", "fin"), by="", group=""))
 def pn_micro_macro(spark: SparkSession, d: str) -> DataFrame:
     return rounded(quality.micro_macro(viewed(spark, d), "final"))
 
 
-@query(f"WITH {CELLS}, {VIEWED}, " + _MM.format(conf=confusion_sql("bucket, label_idx", "fin"), by="bucket,", group="GROUP BY bucket"))
+@query(f"WITH {CELLS}, {VIEWED}, " + MICRO_MACRO.format(conf=confusion_sql("bucket, label_idx", "fin"), by="bucket,", group="GROUP BY bucket"))
 def slice_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(quality.micro_macro(viewed(spark, d), "final", ["bucket"]))
 
@@ -297,7 +297,7 @@ def repro_diff(spark: SparkSession, d: str) -> DataFrame:
     return rounded(audit.vector_diff(a, b, "vec_id", "v"))
 
 
-@query("SELECT count(*) AS records, 0.125 AS max_abs_delta, count(*) FILTER (vec_id % 5 = 0) = 0 AS all_exact, count(*) FILTER (vec_id % 5 = 0) AS mismatches FROM embeddings")
+@query("SELECT count(*) AS records, (SELECT round(max(abs((x::DOUBLE + CASE WHEN vec_id % 5 = 0 THEN 0.125 ELSE 0 END) - x::DOUBLE)), 9) FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings)) AS max_abs_delta, count(*) FILTER (vec_id % 5 = 0) = 0 AS all_exact, count(*) FILTER (vec_id % 5 = 0) AS mismatches FROM embeddings")
 def repro_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(audit.diff_summary(repro_diff(spark, d)))
 
@@ -319,7 +319,12 @@ def hash_order_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.hash_sample(table(spark, d, "documents").select("doc_id"), "doc_id", 32, 7)
 
 
-@query()
+_STRATA = ["lang = 'en'", "lang = 'zh'", "lang = 'de'", "lang = 'es'", "source IS NULL"]
+_PICKS = [f"p{i} AS (SELECT doc_id, {i + 1} AS pick FROM o WHERE {c}{''.join(f' AND doc_id NOT IN (SELECT doc_id FROM p{j})' for j in range(i))} ORDER BY h, doc_id LIMIT 1)" for i, c in enumerate(_STRATA)]
+
+
+@query(f"""WITH o AS (SELECT doc_id, lang, source, sha256('7:' || doc_id) AS h FROM documents), {', '.join(_PICKS)}, s AS ({' UNION ALL '.join(f'SELECT * FROM p{i}' for i in range(len(_STRATA)))}),
+ f AS (SELECT doc_id, (SELECT count(*) FROM s) + row_number() OVER (ORDER BY h, doc_id) AS pick FROM o WHERE doc_id NOT IN (SELECT doc_id FROM s)) SELECT doc_id, lang, source, pick FROM (SELECT * FROM s UNION ALL SELECT * FROM f WHERE pick <= 32) JOIN documents USING (doc_id)""")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "source")
     return sampling.stratified_sample(docs, "doc_id", [F.col("lang") == x for x in ("en", "zh", "de", "es")] + [F.col("source").isNull()], 32, 7)
