@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.session import dimension
+
 #: Columns of a cell: label, known and pu are 0 or 1.
 CELL = ("record_id", "label_idx", "tag", "mode", "subcategory", "label", "known", "pu", "score")
 
@@ -18,7 +20,7 @@ def from_vectors(rows: DataFrame, dim: DataFrame, keep: list[str], vectors: dict
     zipped = F.arrays_zip(*[F.col(a).alias(c) for c, a in vectors.items()])
     long = rows.select(*keep, F.posexplode(zipped).alias("label_idx", "x"))
     flat = long.select(*keep, "label_idx", *[F.col("x").getField(c).alias(c) for c in vectors])
-    return flat.join(F.broadcast(dim.withColumnRenamed("idx", "label_idx")), "label_idx")
+    return flat.join(dimension(dim.withColumnRenamed("idx", "label_idx")), "label_idx")
 
 
 def to_vectors(cells: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -55,7 +57,7 @@ def from_evidence(rows: DataFrame, dim: DataFrame, lists: dict[str, Column], kee
     long = rows.select(*keep, F.explode(parts).alias("x")).select(*keep, F.col("x.i").alias("label_idx"), F.col("x.c").alias("c"))
     best = long.groupBy(*keep, "label_idx").agg(F.max("c").alias("c"))
     out = best.select(*keep, "label_idx", (F.col("c") >= 2).cast("int").alias("label"), F.col("c").isin(3, 1).cast("int").alias("known"), (F.col("c") == 2).cast("int").alias("pu"))
-    return out.join(F.broadcast(dim.withColumnRenamed("idx", "label_idx")), "label_idx")
+    return out.join(dimension(dim.withColumnRenamed("idx", "label_idx")), "label_idx")
 
 
 def _state(code: int):

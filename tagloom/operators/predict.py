@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from tagloom.functions.metrics import ratio
 from tagloom.functions.render import two_decimals
 from tagloom.operators.ranked import count_if
+from tagloom.session import dimension
 
 FALLBACK = 0.5
 
@@ -22,7 +23,7 @@ def raw_flag(threshold: Column | None = None) -> Column:
 def views(cells: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
     """Adds ``raw`` and ``final``.  In the final view at most one label per record and subcategory stays: the highest score, of equals the lowest index."""
     if thresholds is not None:
-        cells = cells.join(F.broadcast(thresholds.select("label_idx", "threshold")), "label_idx", "left")  # a row per label
+        cells = cells.join(thresholds.select("label_idx", "threshold"), "label_idx", "left")  # few rows; AQE sees how many
         raw = cells.withColumn("raw", raw_flag(F.coalesce("threshold", F.lit(FALLBACK)))).drop("threshold")
     else:
         raw = cells.withColumn("raw", raw_flag())
@@ -87,7 +88,7 @@ def payload_errors(payload: DataFrame, dim: DataFrame, categories: list[str]) ->
     order, no tag twice, at most one per subcategory, no unsupported label.
     """
     order = F.array(*map(F.lit, categories))
-    j = payload.join(F.broadcast(dim.select(F.col("tag"), F.col("idx"), F.col("category").alias("own"), "subcategory", "mode")), "tag", "left")
+    j = payload.join(dimension(dim.select(F.col("tag"), F.col("idx"), F.col("category").alias("own"), "subcategory", "mode")), "tag", "left")
     w = Window.partitionBy("record_id", "category").orderBy("pos")
     same = Window.partitionBy("record_id", "tag")
     sub = Window.partitionBy("record_id", "subcategory")

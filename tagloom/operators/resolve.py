@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.session import dimension
+
 #: Order of claims about a label in a group: a stated presence, a presence of a positive-unlabelled label, a stated absence.
 PN_POSITIVE, PU_POSITIVE, PN_NEGATIVE = 3, 2, 1
 
@@ -23,7 +25,7 @@ def _tag(code: int):
 
 def exclusion_conflicts(claimed: DataFrame, group: str, dim: DataFrame) -> DataFrame:
     """(group, excl_group, positive labels) where two or more labels that exclude each other are claimed present."""
-    g = F.broadcast(dim.where("excl_group is not null").select(F.col("idx").alias("label_idx"), "excl_group"))
+    g = dimension(dim.where("excl_group is not null").select(F.col("idx").alias("label_idx"), "excl_group"))
     pos = claimed.where("pos_pn = 1 or pos_pu = 1").join(g, "label_idx")
     return pos.groupBy(group, "excl_group").agg(F.array_sort(F.collect_set("label_idx")).alias("labels")).where("size(labels) >= 2")
 
@@ -38,7 +40,7 @@ def resolve(claimed: DataFrame, group: str, dim: DataFrame, implications: DataFr
     one; a derived absence never touches a conflicted group and yields to a
     presence, with a note.
     """
-    d = F.broadcast(dim.select(F.col("idx").alias("label_idx"), "mode", "excl_group"))
+    d = dimension(dim.select(F.col("idx").alias("label_idx"), "mode", "excl_group"))
     bad = exclusion_conflicts(claimed, group, dim)
     c = claimed.join(d, "label_idx").where("mode <> 'unsupported'").join(bad.select(group, "excl_group", F.lit(1).alias("bad")), [group, "excl_group"], "left")
     ok = c.where("bad is null")
@@ -49,7 +51,7 @@ def resolve(claimed: DataFrame, group: str, dim: DataFrame, implications: DataFr
     over = ok.where(((F.col("pos_pn") == 1) | (F.col("pos_pu") == 1)) & (F.col("neg") == 1)).select(group, F.lit("positive_overrode_negative").alias("kind"), F.lit(None).cast("string").alias("excl_group"), "label_idx", F.lit("").alias("detail"))
     notes = notes.unionByName(over)
     if implications is not None:
-        rule = F.broadcast(implications)
+        rule = dimension(implications)
         holds = ((F.col("if_state") == "present") & (F.col("label") == 1)) | ((F.col("if_state") == "known_present") & (F.col("label") == 1) & (F.col("known") == 1)) | ((F.col("if_state") == "known_absent") & (F.col("label") == 0) & (F.col("known") == 1))
         fired = states.join(rule, F.col("label_idx") == F.col("if_idx")).where(holds).groupBy(group, F.col("then_idx").alias("label_idx")).agg(F.array_join(F.array_sort(F.collect_set("rule")), "; ").alias("why"))
         fired = fired.join(d, "label_idx").join(bad.select(group, "excl_group", F.lit(1).alias("bad")), [group, "excl_group"], "left").where("bad is null").select(group, "label_idx", "why")

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from tagloom.functions import normalize as N
 from tagloom.operators import audit, cells, contracts, identity, quality, resolve, sampling, splits
 from tagloom.plans import build
-from tagloom.session import Scratch, table
+from tagloom.session import Scratch, dimension, table
 from tagloom.sources import readers, writers
 
 Q: dict = {}
@@ -73,7 +73,7 @@ def tag_counts(spark: SparkSession, d: str) -> DataFrame:
 def evidence_mode_violations(spark: SparkSession, d: str) -> DataFrame:
     named = F.array(*[F.struct(F.lit(n).alias("list"), c.alias("i")) for n, c in label_lists(spark, d).items()])
     long = table(spark, d, "evidence").select("key", F.explode(named).alias("x")).select("key", "x.list", F.explode("x.i").alias("label_idx")).distinct()
-    dim = F.broadcast(table(spark, d, "label_dim").select(F.col("idx").alias("label_idx"), "mode"))
+    dim = dimension(table(spark, d, "label_dim").select(F.col("idx").alias("label_idx"), "mode"))
     return long.join(dim, "label_idx").where("(list = 'pu_positive' and mode <> 'pu') or (list <> 'pu_positive' and mode <> 'pn')").select("key", "list", "label_idx")
 
 
@@ -179,7 +179,7 @@ def conflict_notes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {NORM} SELECT sha, key, rec, path FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY coalesce(trust_rank, 999), coalesce(rec, ''), coalesce(path, ''), key) AS r FROM norm LEFT JOIN evidence_source USING (source) WHERE sha IS NOT NULL) WHERE r = 1")
 def representative_rows(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.broadcast(table(spark, d, "evidence_source").select("source", "trust_rank"))
+    rank = dimension(table(spark, d, "evidence_source").select("source", "trust_rank"))
     rows = normal_forms(spark, d).where("sha is not null").join(rank, "source", "left")
     rows = rows.withColumns({"a": F.coalesce("trust_rank", F.lit(999)), "b": F.coalesce("rec", F.lit("")), "c": F.coalesce("path", F.lit(""))})
     return resolve.representative(rows, "sha", ["a", "b", "c", "key"], ["key", "rec", "path"]).select("sha", "key", "rec", "path")

@@ -6,6 +6,7 @@ import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tagloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -83,6 +84,11 @@ class Scratch:
             pass
 
 
+def dimension(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A small side of a join: broadcast if it has at most so many rows, which is counted first; a larger one is joined as any other table."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
