@@ -60,7 +60,11 @@ def contract(edges: DataFrame, scratch: Scratch, max_rounds: int = 200) -> tuple
 
 
 def flow_down(forest: list[DataFrame], scratch: Scratch) -> DataFrame | None:
-    """(v, seed) of every vertex that has a parent, from the last round up; seeds themselves are not listed."""
+    """(v, seed) of every vertex that has a parent, from the last round up; seeds themselves are not listed.
+
+    A parent dropped out in a later round or is a seed, so each layer looks up
+    its parents in the layers named before it and is written once.
+    """
     named: DataFrame | None = None
     for layer in reversed(forest):
         if named is None:
@@ -68,7 +72,7 @@ def flow_down(forest: list[DataFrame], scratch: Scratch) -> DataFrame | None:
             continue
         up = named.select(F.col("v").alias("parent"), "seed")
         here = layer.join(up, "parent", "left").select(F.col("child").alias("v"), F.coalesce("seed", "parent").alias("seed"))
-        named = scratch.keep(named.unionByName(here), "named")
+        named = named.unionByName(scratch.keep(here, "named"))
     return named
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import normalize as N
 from tagloom.llm import abuse, consensus, cooccur, crosssplit, fusion, groupsplit, matchgroups, mixture, quota, tokenizer
 from tagloom.llm.oracles import SQL
-from tagloom.session import Scratch, table
+from tagloom.session import Scratch, dimension, table
 
 
 def _lookup(spark: SparkSession, d: str) -> dict[str, int]:
@@ -23,7 +23,7 @@ def _lookup(spark: SparkSession, d: str) -> dict[str, int]:
 def _baskets(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     lookup = _lookup(spark, d)
     record = table(spark, d, "evidence").where("key is not null").select(F.lit(0).alias("kind"), F.xxhash64("key").alias("basket"), F.explode(N.label_indices(F.col("pn_positive"), lookup)).alias("item"))
-    known = F.broadcast(table(spark, d, "label_dim").select(F.col("idx").alias("item")).distinct())  # a dimension: as many rows as labels
+    known = dimension(table(spark, d, "label_dim").select(F.col("idx").alias("item")).distinct())
     batch = table(spark, d, "sample_reference").select(F.lit(1).alias("kind"), F.col("global_batch").cast("bigint").alias("basket"), F.col("balanced_label_index").alias("item")).join(known, "item", "left_semi")
     return record.unionByName(batch), len(set(lookup.values()))
 
@@ -56,10 +56,10 @@ def _draw(spark: SparkSession, d: str) -> quota.Drawn:
     stream = lambda: F.lower(N.strip(F.col("stream")))
     t = table(spark, d, "sample_target")
     dim = table(spark, d, "label_dim").select(F.col("idx").alias("balanced_label_index"), "category", "subcategory")
-    targets = t.withColumn("stream", stream()).join(F.broadcast(dim), "balanced_label_index", "left")
+    targets = t.withColumn("stream", stream()).join(dimension(dim), "balanced_label_index", "left")
     # one number that is no index stands for a null index on both sides
     index = lambda c: F.coalesce(c, F.lit(-(2**31))).alias("i")
-    cats = F.broadcast(t.select(stream().alias("s"), index(F.col("balanced_label_index")), "category_id").where("s is not null"))  # as many rows as targets
+    cats = dimension(t.select(stream().alias("s"), index(F.col("balanced_label_index")), "category_id").where("s is not null"))
     slots = table(spark, d, "sample_reference").where("global_batch is not null and slot is not null")
     slots = slots.select((F.col("global_batch").cast("bigint") * (1 << 32) + F.col("slot")).alias("at"), stream().alias("s"), index(F.col("balanced_label_index")))
     rows = slots.join(cats, ["s", "i"], "left").groupBy("at").agg(F.min("category_id").alias("category_id"))
