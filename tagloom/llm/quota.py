@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm._common import fresh, keep_order_hash, spread_rank
+from tagloom.session import Scratch
 
 #: Rows of a target table; it is a dimension that the driver allocates over.
 MAX_CATEGORIES = 200_000
@@ -112,6 +113,7 @@ def draw_to_targets(rows: DataFrame, category: str, row_id: list[str], targets:
     whole supply, and ``reached_ppm``.  Empty rows give an empty sample and a report of zeros.
     """
     spark = rows.sparkSession
+    rows = Scratch(spark, "quota").keep(rows, "rows")  # read for the counts, the ranks and the draw
     t = targets.select(F.col(category).alias("c"), F.coalesce("target_ppm", F.lit(0)).cast("long").alias("ppm"), F.coalesce("min_rows", F.lit(0)).cast("long").alias("least"), F.array(*[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in path]).alias("path")).where("c is not null").limit(MAX_CATEGORIES + 1).collect()
     if len(t) > MAX_CATEGORIES:
         raise ValueError(f"more than {MAX_CATEGORIES} categories")
