@@ -60,24 +60,24 @@ def spread_rank(df: DataFrame, group: list[str], order: list[Column], out: str,
     rows are ranked within a bucket only.  With ``weight`` the rank becomes the
     sum of the weights before the row.  ``out_total`` adds the group's total.
     """
-    b, off, tot = fresh(df, "_bucket"), fresh(df, "_offset"), out_total or fresh(df, "_total")
+    b, off, tot, h, h2 = fresh(df, "_bucket"), fresh(df, "_offset"), out_total or fresh(df, "_total"), fresh(df, "_hash"), fresh(df, "_hash2")
     w = F.lit(1) if weight is None else weight
     rows = df.withColumn(b, F.floor((F.shiftrightunsigned(order[0], 32) * F.lit(buckets)) / F.lit(1 << 32)).cast("int"))
-    counts = rows.groupBy(*group, b).agg(F.sum(w).alias("_n"))
+    # 128 bits stand for (group, bucket), NULL groups as well, so one exchange serves the join and the window
+    both = lambda t: t.withColumn(h, F.xxhash64(F.lit(1), *group, b)).withColumn(h2, F.xxhash64(F.lit(2), *group, b))
+    rows = both(rows)
+    counts = rows.groupBy(*group, b, h, h2).agg(F.sum(w).alias("_n"))
     by_group = Window.partitionBy(*group)
     before = by_group.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    other = {c: fresh(rows, f"_g{i}") for i, c in enumerate([*group, b])}
-    counts = counts.select(*[F.col(c).alias(x) for c, x in other.items()], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(off), F.sum("_n").over(by_group).alias(tot))
-    cond = F.lit(True)
-    for c, x in other.items():
-        cond &= F.col(f"`{c}`").eqNullSafe(F.col(x))
-    joined = rows.join(counts, cond, "left").drop(*other.values())
-    inner = Window.partitionBy(*group, b).orderBy(*order)
+    counts = counts.select(h, h2, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(off), F.sum("_n").over(by_group).alias(tot))
+    joined = rows.join(counts, [h, h2])
+    inner = Window.partitionBy(h, h2).orderBy(*order)
     if weight is None:
         ranked = joined.withColumn(out, (F.col(off) + F.row_number().over(inner)).cast("bigint"))
     else:
         prior = F.coalesce(F.sum(w).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         ranked = joined.withColumn(out, F.col(off) + prior)
+    ranked = ranked.drop(h, h2)
     return ranked.drop(b, off) if out_total else ranked.drop(b, off, tot)
 
 
